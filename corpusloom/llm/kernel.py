@@ -116,7 +116,7 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, (size * int(_ODD[63])) % (1 << 64), np.uint64)
+    out = np.full(n, (int(size) * int(_ODD[63])) % (1 << 64), np.uint64)
     for j in range(size):
         out += hashes[j : j + n] * _ODD[j % 60] + np.uint64(j)
     return mix(out)
