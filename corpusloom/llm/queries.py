@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, lm_scoring, ngram_join, quality, suffix_dedup, token_counts
+from corpusloom.llm import bpe, chat, decontaminate, language_id, lm_scoring, ngram_join, quality, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 4
+    found = language_id.identified(docs, docs.where(remainder != 2))
+    return found.withColumn("held_out", remainder == 2).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
