@@ -213,3 +213,24 @@ def digest(found: DataFrame) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 
+
+def _cleanness(held):
+    """A function from texts to whether no window of the broadcast block occurs in them."""
+
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        for a, _, raw, offsets in kernel.text_slices(texts):
+            h, by_text = kernel.word_hashes(raw, offsets, kernel.ALNUM)
+            for _, first, _ in _hits(h, by_text, held.value):
+                out[a + np.searchsorted(by_text[1:], first, "right")] = False
+        return pa.array(out)
+
+    return clean
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs in which no window occurs, with all their columns."""
+    for block in _blocks(items, item_id, item_text, block_words):
+        held = docs.sparkSession.sparkContext.broadcast(Windows(block, span, k))
+        docs = docs.where(F.arrow_udf(_cleanness(held), "boolean")(F.col(text)))
+    return docs

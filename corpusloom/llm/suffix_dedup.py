@@ -32,6 +32,7 @@ import hashlib
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,6 +211,18 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, context)), pa.array(len(before) - start), pa.array(kernel.as_long(h))], ["key", "context", "o", "h"])
 
 
+def kept_bytes(raw: bytes, spans: list) -> tuple[bytes, int]:
+    """(raw without the spans, how many maximal runs they make)."""
+    merged: list[list[int]] = []
+    for x, y in sorted((s["a"], s["b"]) for s in spans):
+        if merged and x <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+        else:
+            merged.append([x, y])
+    edges = [0, *(p for m in merged for p in m), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)), len(merged)
+
+
 def _removed(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
@@ -217,15 +230,8 @@ def _removed(batches):
             out = []
             for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                merged: list[list[int]] = []
-                for x, y in sorted((s["a"], s["b"]) for s in spans or ()):
-                    if merged and x <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], y)
-                    else:
-                        merged.append([x, y])
-                edges = [0, *(p for m in merged for p in m), len(raw)]
-                kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+                kept, runs = kept_bytes(raw, spans or ())
+                out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
             n, gone, spans, digest, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(3), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())],
@@ -270,11 +276,28 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return spans
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with a column __spans of what to remove from each text (null: nothing)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
-    spans = repeated_spans(docs, scratch).select(F.col("doc_id").alias("s_id"), F.col("fp").alias("s_fp"), "spans")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
+    spans = repeated_spans(slim, scratch).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("spans").alias("__spans"))
     few = spans.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(spans) if few else spans, docs["doc_id"].eqNullSafe(F.col("s_id")) & (docs["fp"] == F.col("s_fp")), "left")
-    return joined.select("doc_id", "text", "spans", "fp").mapInArrow(_removed, "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__fp"))
+    return docs.join(F.broadcast(spans) if few else spans, same, "left").drop("__id", "__fp")
+
+
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fp, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    joined = with_spans(slim, "doc_id", "text")
+    result = "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return joined.select("doc_id", "text", "__spans", F.xxhash64("text").alias("fp")).mapInArrow(_removed, result)
+
+
+def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([t if s is None else kept_bytes(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the repeated spans cut out of the texts; of a character cut in two nothing stays."""
+    return with_spans(docs, doc_id, text).withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col("__spans"))).drop("__spans")
