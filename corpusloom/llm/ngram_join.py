@@ -4,19 +4,22 @@ A text's set is its distinct 5-word shingles (its whole word sequence where it
 has fewer words), each known by 64 bits.  Texts link when their sets have a
 Jaccard similarity of at least ``num/den``.
 
-1. Every text gives its set's hash and its *prefix*: the ``n - ceil(t n) + 1``
-   shingles that come first in a global order.  Two linked sets share one.  The
-   order puts shingles that a sample shows to be frequent last, so that common
-   lines and passages rarely are in a prefix; any order gives the same links.
-2. Equal sets become one node.  A task sends a set's prefix once, so a large
-   group of copies costs a row per task and shingle.
+1. Shingles have a global order: first the *counted* quarter of all shingles (by
+   hash) from rare to frequent, then the rest by hash, last those that a sample
+   shows to be very frequent.  Two linked sets share one of the
+   ``n - ceil(t n) + 1`` shingles that come first in each, the *prefix*.
+2. Equal sets become one node.  A task sends a set once, so a large group of
+   copies costs a row per task and shingle.  The counted shingles are shuffled; a
+   shingle that only one node has can't link, and as rare ones come first, most
+   texts have a prefix of such and are settled here.
 3. Nodes that share a prefix shingle and whose sizes are within the ratio are
    chained to the first of their run, a row per node.  The components of these
    candidate edges are split into groups that fit a task.
-4. In each group, every set searches the inverted lists of the smaller ones:
-   the longest lists are set aside, the short ones merged by a heap, and what
-   occurs often enough there is probed in the long ones by binary search.  A
-   candidate already in the set's component isn't probed again.
+4. In each group a set is first compared with a few sets that have a least
+   shingle in common.  Then it searches the inverted lists of the smaller sets: the
+   longest lists are set aside, the short ones merged by a heap, and what occurs
+   often enough there is probed in the long ones by binary search.  Sets already in
+   its component aren't compared again.
    A candidate component over ``block`` shingles is cut into blocks and each
    pair of blocks is a group, so no task holds more than two blocks.
 5. Links within groups are merged into components, known by their least doc_id.
@@ -43,6 +46,8 @@ from corpusloom.llm.scratch import Scratch
 
 SIZE, NUM, DEN = 5, 4, 5
 BLOCK = 2_000_000
+#: Shingles below this (a quarter of them) are counted exactly.
+COUNTED = np.uint64(1 << 62)
 #: One text in SAMPLE shows which shingles are frequent; at most FREQUENT of them (16 bytes each) are broadcast.
 SAMPLE, FREQUENT, OFTEN = 64, 500_000, 3
 #: Row ids are broadcast to find their texts up to this count (some 40 bytes each), beyond it they are shuffled.
@@ -70,39 +75,46 @@ def set_hash(s: np.ndarray) -> int:
     return int(kernel.mix(np.array([kernel.mix(s ^ np.uint64(0x51ED270B)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+def ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[int, np.ndarray, np.ndarray]:
+    """(length of the prefix, counted shingles, what follows them in a prefix that has room)."""
     n = len(s)
     keep = n - -(-num * n // den) + 1
-    if not len(frequent):
-        return s[:keep]
-    at = np.searchsorted(frequent, s)
-    at[at == len(frequent)] = 0
-    known = frequent[at] == s
-    rare = s[~known]
-    if len(rare) >= keep:
-        return rare[:keep]
-    common, often = s[known], counts[at[known]]
-    return np.concatenate([rare, common[np.lexsort((common, often))][: keep - len(rare)]])
-
-
-def _prefixes(batches, held):
+    rare, common = s, s[:0]
+    if len(frequent):
+        at = np.searchsorted(frequent, s)
+        at[at == len(frequent)] = 0
+        known = frequent[at] == s
+        rare, common, often = s[~known], s[known], counts[at[known]]
+        common = common[np.lexsort((common, often))]
+    few = int(np.searchsorted(rare, COUNTED))
+    return keep, rare[:few], np.concatenate([rare[few:], common])[: max(0, keep - few)]
+
+
+SETS = "doc_id long, fp long, n long, node long, keep long, counted array<long>, rest array<long>"
+
+
+def _sets(batches, held):
     frequent, counts = held.value
     seen: set[int] = set()
+    names = [x.split()[0] for x in SETS.split(", ")]
+    longs = lambda x: pa.array(x, pa.list_(pa.int64()))
     for batch in batches:
         for a, sets in text_sets(batch.column(2)):
             nodes = [set_hash(s) if len(s) else None for s in sets]
-            prefixes = []
+            keep, counted, rest = [], [], []
             for node, s in zip(nodes, sets, strict=True):
                 if node is None or node in seen:
-                    prefixes.append(None)
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                prefixes.append(kernel.as_long(prefix(s, frequent, counts)))
+                    found = None, None, None
+                else:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    k, x, y = ordered(s, frequent, counts)
+                    found = k, kernel.as_long(x), kernel.as_long(y)
+                for to, value in zip((keep, counted, rest), found, strict=True):
+                    to.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, len(sets)), batch.column(1).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "fp", "n", "node", "prefix"],
+                [batch.column(0).slice(a, len(sets)), batch.column(1).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keep, pa.int64()), longs(counted), longs(rest)], names
             )
 
 
@@ -122,21 +134,6 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return g[order], n[order]
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.parent[max(a, b)] = min(a, b)
-
-
 def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(members, how many of the sorted lists hold each): a heap merge, or for many entries one sort."""
     total = sum(map(len, lists))
@@ -147,59 +144,84 @@ def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(lists), return_counts=True)
 
 
-def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> Forest:
-    """The components of sets linked at num/den, by T-occurrence search."""
-    forest = Forest(len(sets))
+def overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted set mine each other set holds."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(mine, flat)
+    at[at == len(mine)] = 0
+    return np.add.reduceat((mine[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
+
+
+def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """For each set the first set of its component, linked at num/den: T-occurrence search."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    if len(order) < 2:
-        return forest
-    grams = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(len(sets))
+    grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
     by = np.lexsort((owner, grams))
     lists = owner[by]  # inverted lists, one after another, each by size of set
-    fresh = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])
+    fresh = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])[: len(by)]
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    for q in range(1, len(order)):
-        ends = place[first[q] : first[q + 1]]  # each list's part before q holds the sets searched
-        starts = start[ends]
+    likely: dict[int, int] = {}
+
+    def join(a: int, b: int) -> None:
+        x, y = sorted((label[a], label[b]))
+        if x != y:
+            label[label == y] = x
+
+    for q, mine in enumerate(sets):
         n = int(sizes[q])
         least = -(-num * n // den)
-        smallest = int(np.searchsorted(sizes, -(-num * n // den)))
+        needed = lambda m, n=n: -(-num * (n + m) // (num + den))
+        smallest = int(np.searchsorted(sizes, least))
+        for g in mine[:3].tolist():
+            c = likely.get(g, -1)
+            if c >= smallest and label[c] != label[q] and overlaps(mine, [sets[c]])[0] >= needed(int(sizes[c])):
+                join(q, c)
+            likely[g] = q
+        outside = smallest + np.flatnonzero(label[smallest:q] != label[q])
+        if not len(outside):
+            continue
+        ends = place[first[q] : first[q + 1]]  # each list's part before q holds the sets searched
+        starts = start[ends]
         use = ends > starts
         if int(use.sum()) < least:
             continue
         starts, ends = starts[use], ends[use]
         lengths = ends - starts
+        if int(sizes[outside].sum()) <= int(lengths.sum()):  # few sets are left to compare with
+            found = overlaps(mine, [sets[c] for c in outside.tolist()])
+            for c in outside[found >= needed(sizes[outside])].tolist():
+                join(q, c)
+            continue
         longest = int(lengths.max())
-        aside = min(int(least / (0.01 * np.log2(longest + 1) + 1)), least - 1, len(lengths))
-        aside = aside if longest > 8 else 0
+        aside = min(int(least / (0.01 * np.log2(longest + 1) + 1)), least - 1, len(lengths)) if longest > 8 else 0
         by_length = np.argsort(lengths, kind="stable")
         short, long = by_length[: len(lengths) - aside], by_length[len(lengths) - aside :]
         members, counts = merged_counts([lists[starts[i] : ends[i]] for i in short])
         good = (counts >= least - aside) & (members >= smallest)
         members, counts = members[good], counts[good]
         pick = np.argsort(-counts, kind="stable")
-        mine = int(order[q])
         for c, found in zip(members[pick].tolist(), counts[pick].tolist(), strict=True):
-            other = int(order[c])
-            if forest.root(other) == forest.root(mine):
+            if label[c] == label[q]:
                 continue
-            size = int(sizes[c])
-            needed = -(-num * (n + size) // (num + den))
-            left = aside
+            enough, left = needed(int(sizes[c])), aside
             for i in long:
-                if found >= needed or found + left < needed:
+                if found >= enough or found + left < enough:
                     break
                 left -= 1
                 at = starts[i] + np.searchsorted(lists[starts[i] : ends[i]], c)
                 found += bool(at < ends[i] and lists[at] == c)
-            if found >= needed:
-                forest.join(mine, other)
-    return forest
+            if found >= enough:
+                join(q, c)
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[label]
+    return out
 
 
 def _searched(batches):
@@ -214,11 +236,11 @@ def _searched(batches):
     out: tuple[list, list, list] = ([], [], [])
     for (component, _, _), members in groupby(rows(), key=lambda r: r[0][:3]):
         members = list(members)
-        forest = linked([s for _, s in members])
+        lead = linked([s for _, s in members]).tolist()
         for i, (key, _) in enumerate(members):
             out[0].append(component)
             out[1].append(key[3])
-            out[2].append(members[forest.root(i)][0][3])
+            out[2].append(members[lead[i]][0][3])
         if len(out[0]) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["component", "node", "lead"])
             out = ([], [], [])
@@ -226,9 +248,21 @@ def _searched(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["component", "node", "lead"])
 
 
-def candidate_edges(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(node, n, g): the prefix shingles that more than one node can have."""
+    nodes = sets.where(F.col("keep").isNotNull())
+    w = Window.partitionBy("g")
+    grams = nodes.select("node", F.explode("counted").alias("g"))
+    shared = grams.select("node", "g", F.count("*").over(w).alias("df"), F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi")).where("lo < hi")
+    again = shared.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "g"))).alias("again"))
+    each = nodes.groupBy("node").agg(F.min(F.struct("n", "keep", F.size("counted").alias("counted"), "rest")).alias("x")).select("node", "x.*")
+    room = F.col("keep") - (F.col("counted") - F.coalesce(F.size("again"), F.lit(0)))
+    first = F.when(F.col("again").isNotNull() & (room > 0), F.slice("again.g", F.lit(1), room.cast("int"))).otherwise(F.array().cast("array<long>"))
+    return each.join(again, "node", "left").select("node", "n", F.explode(F.concat(first, "rest")).alias("g"))
+
+
+def candidate_edges(posts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): nodes chained through a shared prefix shingle, sizes within the ratio from one to the next."""
-    posts = sets.select(F.explode("prefix").alias("g"), "n", "node").repartition("g")
     w = Window.partitionBy("g").orderBy("n", "node")
     last = F.lag("n").over(w)
     opens = last.isNull() | (last * den < F.col("n") * num)
@@ -249,8 +283,8 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
     held = spark.sparkContext.broadcast(frequent_shingles(docs))
-    sets = scratch.table(docs.mapInArrow(lambda batches: _prefixes(batches, held), "doc_id long, fp long, n long, node long, prefix array<long>"), "sets")
-    edges = scratch.table(candidate_edges(sets.where(F.col("prefix").isNotNull())), "candidates")
+    sets = scratch.table(docs.mapInArrow(lambda batches: _sets(batches, held), SETS), "sets")
+    edges = scratch.table(candidate_edges(prefixes(sets)), "candidates")
     groups = connected_components(edges, scratch, "groups")
     # One text stands for each node.
     rows = sets.where(F.col("node").isNotNull()).join(groups, "node")
