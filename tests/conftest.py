@@ -4,8 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-DATA = Path("/root/testdata/sf0.001")
+from compare import DATA, TABLES
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import same
-from conftest import DATA
+from compare import DATA, same
 
 SQL = {k: v for plan in entry.PLANS for k, v in plan.Q.items()}
 NAMES = [f.__name__ for plan in entry.PLANS for f in plan.QUERIES]
