@@ -25,7 +25,7 @@ Jaccard similarity of at least ``num/den``.
 5. Links within groups are merged into components, known by their least doc_id.
 
 Nulls and texts without words: empty sets, linked with nothing, a component of
-their own (a null id stays null).  Equal rows are one component.  Extra columns
+their own.  A row with a null id has its group's least id, or null.  Equal rows are one component.  Extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -322,6 +322,4 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     # A null id can't tell its rows apart, so all are kept; an id's rows are told apart by their texts.
     kept = first.where((F.col("nth") == 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
     kept = scratch.table(kept, "kept")
-    marked = docs.withColumn("__fp", F.xxhash64(F.col(text)))
-    out = marked.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("k_id")) & (F.col("__fp") == F.col("k_fp")), "left_semi")
-    return out.drop("__fp")
+    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["k_id"]) & (F.xxhash64(docs[text]) == kept["k_fp"]), "left_semi")

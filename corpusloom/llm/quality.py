@@ -141,5 +141,5 @@ def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     found = judged(docs, doc_id=doc_id, text=text, lang=lang, source=source)
     bad = scratch.table(found.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("fp").alias("bad_fp")).distinct(), "bad")
     few = bad.count() <= BROADCAST_ROWS
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs[text]) == F.col("bad_fp"))
+    same = docs[doc_id].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_fp"])
     return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")

@@ -29,6 +29,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """The tables of one operator's run.
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel
 from corpusloom.llm.ngram_join import text_join
-from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.scratch import Scratch, unused
 
 LENGTH, K = 400, 128
 HOT = 20_000
@@ -276,22 +276,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return spans
 
 
-def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with a column __spans of what to remove from each text (null: nothing)."""
+def with_spans(docs: DataFrame, name: str, doc_id: str, text: str) -> DataFrame:
+    """docs with a column of what to remove from each text (null: nothing)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
-    spans = repeated_spans(slim, scratch).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(slim, scratch).withColumnRenamed("spans", name)
     few = spans.count() <= BROADCAST_ROWS
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__fp"))
-    return docs.join(F.broadcast(spans) if few else spans, same, "left").drop("__id", "__fp")
+    same = docs[doc_id].cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs[text]) == spans["fp"])
+    return docs.join(F.broadcast(spans) if few else spans, same, "left").select(docs["*"], spans[name])
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = with_spans(slim, "doc_id", "text")
+    joined = with_spans(slim, "spans", "doc_id", "text")
     result = "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "__spans", F.xxhash64("text").alias("fp")).mapInArrow(_removed, result)
+    return joined.select("doc_id", "text", "spans", F.xxhash64("text").alias("fp")).mapInArrow(_removed, result)
 
 
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -300,4 +300,5 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated spans cut out of the texts; of a character cut in two nothing stays."""
-    return with_spans(docs, doc_id, text).withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col("__spans"))).drop("__spans")
+    name = unused(docs, "spans")
+    return with_spans(docs, name, doc_id, text).withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col(name))).drop(name)
