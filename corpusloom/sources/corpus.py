@@ -12,7 +12,7 @@ BUGS = "id string, author string, testo string, status string, createdAt string,
 
 def raw_docs(spark: SparkSession, folder: str) -> DataFrame:
     """(file, xml, sha256) of the folder's .xml files; names that start with _ are left out."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.xml").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("xml"), F.sha2("value", 256).alias("sha256"))
 
 
@@ -31,7 +31,7 @@ def one_file(docs: DataFrame, name: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
     """(file, xml) of a JSON snapshot {generatedAt, files}."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return files_of(text, "value")
 
 
