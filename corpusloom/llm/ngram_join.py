@@ -52,6 +52,8 @@ COUNTED = np.uint64(1 << 62)
 SAMPLE, FREQUENT, OFTEN = 64, 500_000, 3
 #: Row ids are broadcast to find their texts up to this count (some 40 bytes each), beyond it they are shuffled.
 BROADCAST_ROWS = 250_000
+#: The same for rows with lists, by what the lists hold (some 60 bytes each).
+BROADCAST_ENTRIES = 1_000_000
 SEEN = 200_000
 
 
@@ -271,9 +273,10 @@ def candidate_edges(posts: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     return pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def text_join(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, fp, ...) with each row's text; wanted is broadcast only if it is small."""
-    small = wanted.count() <= BROADCAST_ROWS
+def text_join(docs: DataFrame, wanted: DataFrame, lists: str | None = None) -> DataFrame:
+    """wanted (doc_id, fp, ...) with each row's text; wanted is broadcast only if it is small, by the entries of its column ``lists``, too."""
+    size = F.sum(F.size(lists)) if lists else F.count("*")
+    small = (wanted.agg(size).first()[0] or 0) <= (BROADCAST_ENTRIES if lists else BROADCAST_ROWS)
     return docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["fp"] == wanted["fp"])).select(wanted["*"], docs["text"])
 
 

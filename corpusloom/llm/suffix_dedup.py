@@ -38,13 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel
-from corpusloom.llm.ngram_join import text_join
+from corpusloom.llm.ngram_join import BROADCAST_ENTRIES, text_join
 from corpusloom.llm.scratch import Scratch, unused
 
 LENGTH, K = 400, 128
 HOT = 20_000
-#: Rows of texts with something to remove are broadcast up to this count (some 100 bytes each), else shuffled.
-BROADCAST_ROWS = 200_000
 IDENTITY = np.arange(256, dtype=np.uint8)
 
 
@@ -252,7 +250,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = contexts.join(kinds, "key").select("key", "context", "left", "right", "kinds", "at.*")
     cuts = several.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("key", "context", "pos", "left", "right")).alias("cuts"))
     cuts = scratch.table(cuts, "cuts")
-    pieces = text_join(docs, cuts).select("text", "cuts").mapInArrow(_cut, "key long, context long, before binary, after binary")
+    pieces = text_join(docs, cuts, "cuts").select("text", "cuts").mapInArrow(_cut, "key long, context long, before binary, after binary")
     pieces = scratch.table(pieces, "pieces")
     scratch.drop("cuts")
     hot = scratch.table(kinds.where(F.col("kinds") > HOT).select("key"), "hot")
@@ -281,7 +279,7 @@ def with_spans(docs: DataFrame, name: str, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffixes")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
     spans = repeated_spans(slim, scratch).withColumnRenamed("spans", name)
-    few = spans.count() <= BROADCAST_ROWS
+    few = (spans.agg(F.sum(F.size(name))).first()[0] or 0) <= BROADCAST_ENTRIES
     same = docs[doc_id].cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs[text]) == spans["fp"])
     return docs.join(F.broadcast(spans) if few else spans, same, "left").select(docs["*"], spans[name])
 
