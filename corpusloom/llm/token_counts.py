@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import WordEnds, Words, _texts, ship, worker
+from corpusloom.llm.bpe import Known, WordEnds, _texts, read_spec, ship, worker
 
 FREQUENT, SAMPLE_ROWS, LIMIT = 1 << 16, 2000, 2048
 
@@ -25,9 +25,9 @@ FREQUENT, SAMPLE_ROWS, LIMIT = 1 << 16, 2000, 2048
 class Lengths(dict):
     """Tier one, then tier two."""
 
-    def __init__(self, words: list[str], lengths: bytes, rare: Words):
+    def __init__(self, words: list[str], lengths: bytes, bpe: WordEnds):
         super().__init__(zip(words, lengths, strict=True))
-        self.rare = rare
+        self.rare = Known(bpe, len, besides=self)
 
     def __missing__(self, word: str) -> int:
         return self.rare[word]
@@ -42,13 +42,13 @@ def _sampled(batches, name: str):
     yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
-def _counted(batches, name: str, tier) -> None:
+def _counted(batches, name: str, tier):
     bpe = worker(name, WordEnds)
-    words, lengths = tier.value
-    table = Lengths(words, lengths, Words(lambda w: len(bpe.encode_word(w))))
-    length, find = table.__getitem__, bpe.find
+    table = Lengths(*tier.value, bpe)
     for key, texts in _texts(batches):
-        n = [sum(1 if special is not None else sum(map(length, find(piece))) for piece, special in bpe.pieces(text)) for text in texts]
+        split = [bpe.split_text(t) for t in texts]
+        table.rare.learn(split)
+        n = [sum(map(table.__getitem__, words)) for words in split]
         yield pa.RecordBatch.from_arrays([key, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -75,8 +75,8 @@ def token_counts(
         .limit(frequent)
         .collect()
     )
-    bpe = WordEnds(open(tokenizer, encoding="utf-8").read())
-    kept = [(r.word, n) for r in common if (n := len(bpe.encode_word(r.word))) < 256]
+    lengths = map(len, WordEnds(read_spec(tokenizer)).encode_words([r.word for r in common]))
+    kept = [(r.word, n) for r, n in zip(common, lengths, strict=True) if n < 256]
     tier = spark.sparkContext.broadcast(([w for w, _ in kept], bytes(n for _, n in kept)))
     counted = source.mapInArrow(lambda batches: _counted(batches, name, tier), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
