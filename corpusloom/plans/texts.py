@@ -214,7 +214,7 @@ Q["sniff_format"] = "SELECT CASE WHEN event_type = 'click' THEN 'json' ELSE 'xml
 
 
 def record_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Records written as XML, two to a file, split and read again."""
+    """Records written as XML, two to a file, split and read again; a date with a lower bound only is that year."""
     rows = records(spark, d).withColumn("titolo", F.concat_ws(" & ", "citta", "tipo")).withColumn("entryId", F.concat(F.lit("e"), F.col("id").cast("string")))
     tei = xml.to_xml(rows)
     files = tei.withColumn("xml", F.concat(F.lit("<teiCorpus>"), "tei", F.lit("\n"), F.replace("tei", F.lit('<idno type="id">'), F.lit('<idno type="id">9')), F.lit("</teiCorpus>"))).select("xml")
@@ -222,7 +222,7 @@ def record_extract(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("part").cast("long").alias("part"), "id", "titolo", "tipo", "materiale", "citta", "regione", F.col("data_inizio").cast("long").alias("data_inizio"), F.col("data_fine").cast("long").alias("data_fine"))
 
 
-Q["record_extract"] = f"""WITH {RECORDS} SELECT part, CASE WHEN part = 0 THEN id ELSE CAST('9' || id AS BIGINT) END AS id, citta || ' &amp; ' || tipo AS titolo, tipo, materiale, citta, regione, data_inizio, data_fine FROM records, range(2) AS p(part)"""
+Q["record_extract"] = f"""WITH {RECORDS} SELECT part, CASE WHEN part = 0 THEN id ELSE CAST('9' || id AS BIGINT) END AS id, citta || ' & ' || tipo AS titolo, tipo, materiale, citta, regione, data_inizio, coalesce(data_fine, data_inizio) AS data_fine FROM records, range(2) AS p(part)"""
 
 
 def burst_sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ from corpusloom.streaming import changes
         ('<ab><lb n="1"/>x <choice><sic>qq</sic><corr>yy</corr></choice>z</ab>', "x yyz", []),
         ('<ab><lb n="1"/>ab<lb n="2"/>cd <supplied reason="lost">e<supplied>f</supplied></supplied> g</ab>', "ab cd ef g", [(6, 8)]),
         ("<ab>un<b>closed</ab>", "unclosed", []),
+        ("a<gap/>b<supplied> c</supplied>", "a […] b c", [(7, 9)]),
         (None, "", []),
     ],
 )
@@ -87,22 +88,57 @@ def test_ledger_and_mirror(spark):
     assert mutate.mirror_deletes(files("a"), files("x"), files("y"), confirmed=False).count() == 0
 
 
-TEI = """<TEI><title>A <rs>x</rs> title –</title><idno type="id">12</idno><idno type="TM">77</idno><material ref="m">stone</material><height unit="cm">10</height><width>20</width>
-<placeName type="ancient" ref="p1">Old</placeName><geogName type="region">North</geogName><origDate notBefore-custom="-0100" notAfter-custom="0050" evidence="letters">1st c.</origDate>
-<term type="textType">Senza iscrizione</term><term type="textType">Dedica</term><div type="edition"><ab><lb n="1"/><persName type="divine" key="Aaa Bbb Ccc"><name>x</name><name>y</name></persName>
-<persName type="attested" key="Dd"/><persName type="divine">no key</persName></ab></div><div type="apparatus"/><div type="translation"><p>DA_COMPILARE</p></div><bibl>Smith 1990</bibl></TEI>"""
+TEI = """<TEI><teiHeader><titleStmt><title>A <rs type="textType">x</rs> title —</title></titleStmt><idno type="id">12</idno><idno type="TM" ref="http://tm/77">77</idno><idno type="PHI">3</idno>
+<supportDesc><support><material ref="m">stone</material><objectType>stele</objectType></support></supportDesc><height unit="cm">10</height><width atLeast="20" atMost="25">x</width>
+<layoutDesc><layout><rs type="execution" ref="r">carved</rs><p>See <ptr target="#abc"/> p. 3</p></layout></layoutDesc><handDesc><handNote><p>tall</p></handNote></handDesc>
+<origin><origPlace>near <placeName type="ancient" ref="p1">Old &amp; Town</placeName></origPlace>about <origDate notBefore-custom="-0100" notAfter-custom="0050" evidence="letters">1st c.</origDate>, or <origDate when="70">70</origDate></origin>
+<geogName type="ancientRegion">North</geogName><provenance type="found"><p>in a field</p></provenance>
+<rs type="textType">Senza iscrizione</rs><rs type="textType">Dedica</rs><rs type="textType">Iscrizione greca</rs>
+<keywords scheme="epiteti"><term>Soter</term></keywords><keywords scheme="divinita"><term>Zeus Soter</term><term>Aaa Bbb</term></keywords><keywords scheme="onomastica"><term>Ee</term></keywords>
+<revisionDesc><change when="2020-01-01" who="#me">made</change></revisionDesc>
+<listPerson><person xml:id="p1"><persName key="Dd"><name nymRef="Dn">Di</name></persName><placeName type="ethnic" ref="e1">of X</placeName></person></listPerson>
+<xenoData><iconography><function key="votive"/><figure n="1" type="god" key="men" place="top"><trait type="attribute" key="crescent" hand="left"/><trait type="x"/></figure><figure type="symbol" key="sickle"/><figure key="z"/></iconography></xenoData></teiHeader>
+<text><body><div type="edition"><ab><lb n="1"/><persName type="divine" key="Aaa Bbb Ccc"><name>x</name><name>y</name></persName>
+<persName type="attested" key="Dd">d</persName><persName type="attested">Ff</persName><persName type="divine"><name>Gg</name></persName><persName key="Hh" type="attested">ii</persName><persName type="emperor" key="Kk">k</persName></ab></div>
+<div type="apparatus"><app loc="1"><note>n1</note></app><app loc="2"><lem>l</lem><rdg>r1</rdg><rdg>r2</rdg></app></div>
+<div type="translation" xml:lang="it"><p>uno</p><p>due</p><note>DA_COMPILARE</note></div><div type="translation" xml:lang="en"><p>DA_COMPILARE</p></div>
+<div type="commentary"><p>com <foreign xml:lang="grc">λ</foreign></p></div><div type="bibliography"><bibl>Smith 1990 <citedRange>p. 4</citedRange></bibl><bibl>Jones</bibl></div></body></text></TEI>"""
 
 
 def test_record_extraction(spark):
-    df = spark.createDataFrame([("f.xml", f"<teiCorpus>{TEI}\n{TEI}</teiCorpus>"), ("g.xml", "nothing")], "file string, xml string")
+    df = spark.createDataFrame([("f.xml", f"<teiCorpus>{TEI}\n{TEI}</teiCorpus>"), ("g.xml", "nothing"), ("h.xml", '<TEI><height unit="cm">10</height><width atLeast="20" atMost="25">x</width></TEI>')], "file string, xml string")
     rows = records.extract(records.split_records(df), keep=("file", "part")).collect()
-    assert [(r.file, r.part) for r in rows] == [("f.xml", 0), ("f.xml", 1)]
+    assert [(r.file, r.part) for r in rows] == [("f.xml", 0), ("f.xml", 1), ("h.xml", 0)]
     r = rows[0]
-    assert (r.id, r.tm, r.titolo, r.materiale, r.materialRef, r.citta, r.place_ref_ancient, r.regione) == (12, "77", "A title", "stone", "m", "Old", "p1", "North")
-    assert (r.data_inizio, r.data_fine, r.data, r.dim) == (-100, 50, "1st c.", "10 x 20 cm")
-    assert (r.iscrizione, r.anepigr, r.textTypes) == (True, True, ["dedica"])
-    assert (r.divinita, r.epiteti, r.onomastica) == (["Aaa Bbb"], ["Ccc"], ["Dd"])
-    assert (r.apparatus_text, r.traduzioni_testo, r.bibliografia) == ("", [], ["Smith 1990"])
+    assert (r.id, r.entryId, r.tm, r.tmLink, r.phi, r.titolo, r.materiale, r.materialRef, r.tipo) == (12, None, "77", "http://tm/77", ["3"], "A title", "stone", "m", "stele")
+    assert (r.dim, r.layout_desc, r.scrittura, r.scrittura_ref, r.scrittura_note) == ("See abc p. 3", "See abc p. 3", "carved", "r", "tall")  # the first paragraph after support, wherever it stands
+    assert (r.citta, r.place_ref_ancient, r.regione, r.origPlace_nota, r.luogo_rit) == ("Old & Town", "p1", "North", "near", "in a field")
+    assert (r.data_inizio, r.data_fine, r.data) == (-100, 50, "about 1st c. / or 70")
+    assert [(d.prefix, d.notBeforeCustom, d.notAfterCustom) for d in r.origDates] == [("about", "-0100", "0050"), ("or", "70", "70")]
+    assert (r.iscrizione, r.anepigr, r.textTypes) == (True, True, ["x", "Senza iscrizione", "Dedica"])
+    assert (r.divinita, r.epiteti) == (["Aaa Bbb", "Gg", "Zeus"], ["Soter", "Ccc"])
+    assert [(d.divinita, d.epiteti) for d in r.divinitaEpiteti] == [("Aaa Bbb", ["Ccc"]), ("Gg", []), ("Zeus", ["Soter"])]
+    assert (r.onomastica, r.imperatori) == (["Dd", "Ff", "ii", "Ee"], ["Kk"])
+    assert tuple(r.persone[0]) == ("p1", "Dd", "Dn", "Di", "e1", None, "of X", None)
+    assert [tuple(x) for x in r.apparatus_entries] == [("1", "n1"), ("2", "l | r1 | r2")] and r.apparatus_text == ""
+    assert [tuple(x) for x in r.traduzioni] == [("it", "uno\ndue", ""), ("en", "", "")]
+    assert (r.note_interne, [(b.titolo, b.citedRanges) for b in r.bibliografia]) == ("com «λ»", [("Smith 1990 p. 4", ["p. 4"]), ("Jones", [])])
+    ico = r.iconografia
+    assert ico.function == "votive" and [(f.n, f.key, f.place, [(t.key, t.hand) for t in f.traits]) for f in ico.figures] == [(1, "men", "top", [("crescent", "left")]), (1, "sickle", None, [])]
+    assert [tuple(x) for x in r.revisions] == [("2020-01-01", "#me", "made")]
+    empty = rows[2]
+    assert empty.dim == "10 x 20-25 x  cm"
+    assert (empty.id, empty.titolo, empty.data_inizio, empty.iconografia, empty.divinita, empty.testo) == (0, "", None, None, [], "")
+
+
+def test_records_are_read_as_written(spark):
+    read = records.extract(records.split_records(spark.createDataFrame([(TEI,)], "xml string")))
+    again = records.extract(records.split_records(records.to_xml(read).select(F.concat("tei").alias("xml"))))
+    fields = ("id", "titolo", "materiale", "tipo", "regione", "data_inizio", "data_fine", "divinita", "imperatori")
+    assert read.select(*fields).collect() == again.select(*fields).collect()
+    assert [f.key for f in again.collect()[0].iconografia.figures] == ["men", "sickle"]
+    shown = records.with_searchable(read).collect()[0]
+    assert shown.testo_searchable.startswith("xy d") and shown.supplied_ranges == []
 
 
 def test_names_and_rules(spark):
