@@ -131,3 +131,12 @@ def density_colour(n: Column, most: Column, low: tuple[int, int, int], high: tup
     share = F.sqrt(n / F.greatest(most, F.lit(1)))
     parts = [F.lpad(F.lower(F.hex(F.floor(F.lit(a) + (F.lit(b - a)) * share + 0.5).cast("long"))), 2, "0") for a, b in zip(low, high, strict=True)]
     return F.concat(F.lit("#"), *parts)
+
+
+def to_base64(c: Column) -> Column:
+    """UTF-8 in base 64, on one line."""
+    return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
+
+
+def from_base64(c: Column) -> Column:
+    return F.decode(F.unbase64(c), "UTF-8")

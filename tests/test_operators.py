@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, text
-from corpusloom.operators import catalogue, mutate, records, rules, search, statistics, timeline
+from corpusloom.operators import catalogue, derive, mutate, records, rules, search, statistics, timeline
+from corpusloom.operators import markup as markup_ops
 from corpusloom.sources import corpus
 from corpusloom.streaming import changes
 
@@ -184,3 +185,11 @@ def test_bursts_as_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.user, r.n) for r in spark.table("bursts").collect()} == want
+
+
+def test_derived_from_an_edition(spark):
+    edition = '<ab><persName type="divine" key="Men"><name>Μήν</name></persName> <persName type="attested" xml:id="a1">Δίων <persName type="attested" key="Zenon">Ζήνωνος</persName></persName><persName type="ruler" key="R"/><persName xml:id="a1" key="later"/></ab>'
+    tokens = markup_ops.tokens(spark.createDataFrame([(1, edition)], "id long, xml string"), "id", "xml")
+    found = {(r["index"], r.value) for r in derive.index_suggestions(tokens, "id").collect()}
+    assert found == {("divinita", "Men"), ("onomastica", "Δίων Ζήνωνος"), ("onomastica", "Zenon"), ("imperatori", "R")}
+    assert [tuple(r) for r in derive.edition_persons(tokens, "id").collect()] in ([(1, "a1", None)], [(1, "a1", "later")])
