@@ -37,7 +37,7 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTI
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-_MEASURES = {"symbol_pm": ("n_symbols * 1000", "word_chars", 50), "dup_line_pm": ("n_dup_lines * 1000", "n_lines", 200), "repeat_pm": ("n_repeat_words * 1000", "n_words", 100), "word_len_c": ("word_chars * 100", "n_words", 200)}
+_MEASURES = {"symbol_pm": ("n_symbols * 1000", "word_chars", 50), "dup_line_pm": ("n_dup_lines * 1000", "n_lines", 300), "repeat_pm": ("n_repeat_words * 1000", "n_words", 100), "word_len_c": ("word_chars * 100", "n_words", 200)}
 _BINS = " UNION ALL ".join(
     f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, {slack} AS slack, {'least(2000, ' if m == 'word_len_c' else '('}floor({a} / greatest({b}, 1))) AS bin FROM b" for m, (a, b, slack) in _MEASURES.items()
 )

@@ -27,8 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST, BINS, SPREAD = 5, 20, 2000, 3
-#: Measures and the slack of their fences.
-SLACK = {"symbol_pm": 50, "dup_line_pm": 200, "repeat_pm": 100, "word_len_c": 200}
+#: Measures and the slack of their fences: a text of which under 30 % of the lines repeat, or 5 % of the characters are symbols, is never beyond.
+SLACK = {"symbol_pm": 50, "dup_line_pm": 300, "repeat_pm": 100, "word_len_c": 200}
 #: More rejected rows than this are joined by a shuffle, fewer are broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
