@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, language_id, lm_scoring, ngram_join, quality, suffix_dedup, token_counts
+from corpusloom.llm import bpe, chat, decontaminate, language_id, licenses, lm_scoring, ngram_join, quality, suffix_dedup, token_counts
 from corpusloom.llm.oracles import SQL
 
 
@@ -31,6 +31,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_ngram_join, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_ngram_join, op4_license_scan, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
