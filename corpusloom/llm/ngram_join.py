@@ -226,7 +226,22 @@ def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray
     return out
 
 
+def _once(batches):
+    """Rows without those whose node came before in the task; rows that are repeated in docs stand for one node."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for node in batch.column(2).to_pylist():
+            fresh.append(node not in seen)
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+        yield batch if all(fresh) else batch.filter(pa.array(fresh))
+
+
 def _searched(batches):
+    """(component, node, lead) of each group's nodes, sorted by group and node; of equal nodes one is searched."""
+
     def rows():
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -237,7 +252,7 @@ def _searched(batches):
 
     out: tuple[list, list, list] = ([], [], [])
     for (component, _, _), members in groupby(rows(), key=lambda r: r[0][:3]):
-        members = list(members)
+        members = [next(same) for _, same in groupby(members, key=lambda r: r[0][3])]
         lead = linked([s for _, s in members]).tolist()
         for i, (key, _) in enumerate(members):
             out[0].append(component)
@@ -282,6 +297,12 @@ def text_join(docs: DataFrame, wanted: DataFrame, lists: str | None = None) -> D
 
 def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, fp (hash of the text), n_shingles, component_id."""
+    out = labelled(docs, doc_id=doc_id, text=text, block=block)
+    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, fp, n, label of its component (null: an empty set), least id of the component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
@@ -297,7 +318,8 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     wanted = wanted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = scratch.table(wanted.select("doc_id", "fp", "node", "component", "blocks", "own"), "wanted")
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = text_join(docs, wanted).select("component", "own", "node", "text", pair)
+    dealt = text_join(docs, wanted).select("component", "own", "node", "blocks", "text")
+    dealt = dealt.mapInArrow(_once, dealt.schema).select("component", "own", "node", "text", pair)
     dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
     dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
     found = scratch.table(dealt.mapInArrow(_searched, "component long, node long, lead long"), "links")
@@ -313,16 +335,26 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     least = slim.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     out = slim.join(least, "label", "left")
     scratch.drop("candidates", "wanted", "nodes", "sets", "large")
-    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", "fp", "n", "label", "least")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that of least doc_id; of equal rows, one."""
+    """One row of docs for each component: that of least doc_id, of equal ids that of least hash, of equal rows any.
+
+    Rows with a null id and no words are components of their own and all stay.
+    """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = similar(docs, doc_id=doc_id, text=text)
-    w = Window.partitionBy("doc_id").orderBy("fp")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("nth", F.row_number().over(w))
-    # A null id can't tell its rows apart, so all are kept; an id's rows are told apart by their texts.
-    kept = first.where((F.col("nth") == 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
-    kept = scratch.table(kept, "kept")
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["k_id"]) & (F.xxhash64(docs[text]) == kept["k_fp"]), "left_semi")
+    found = labelled(docs, doc_id=doc_id, text=text)
+    rows = scratch.table(found.groupBy("label", "doc_id", "fp").agg(F.count("*").alias("k")), "rows")
+    least = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "k")).alias("r"))
+    empty = rows.where(F.col("label").isNull()).select("doc_id", "fp", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.col("k")).alias("k"))
+    kept = least.select("r.doc_id", "r.fp", "r.k").unionByName(empty)
+    kept = scratch.table(kept.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "k"), "kept")
+    single, repeated = kept.where(F.col("k") == 1), kept.where(F.col("k") > 1)
+    same = lambda k: docs[doc_id].cast("long").eqNullSafe(k["k_id"]) & F.xxhash64(docs[text]).eqNullSafe(k["k_fp"])
+    out = docs.join(single, same(single), "left_semi")
+    if repeated.limit(1).count():
+        a_row = F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("r")
+        again = docs.join(repeated, same(repeated)).select(repeated["k_id"].alias("id"), repeated["k_fp"].alias("hash"), a_row)
+        out = out.unionByName(again.groupBy("id", "hash").agg(F.first("r").alias("r")).select("r.*"))
+    return out

@@ -65,3 +65,24 @@ def test_keep_one_and_empty(docs, no_docs):
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(((r.doc_id or 0), (r.component_id or 0)) for r in ngram_join.similar(df).collect()) == [(0, 0), (0, 5), (0, 5), (5, 5)]
+
+
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(4)
+    made = lambda: [str(x) for x in rng.integers(0, 10**6, 60)]
+    base, other, third = made(), made(), made()
+    near = lambda w, i: " ".join([*w[: 10 + i], "edit", *w[11 + i :]])
+    rows = [(1, " ".join(base))] * 3 + [(2, near(base, 20)), (3, near(base, 40))]  # the least row is repeated
+    rows += [(4, " ".join(other)), (4, " ".join(third)), (5, near(other, 20)), (6, "")]  # one id, two texts; no words
+    rows += [(6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (ngram_join.BLOCK, 60):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar(docs, block=block).collect())
+        assert got == brute(rows)
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted([rows[0], (4, " ".join(other)), (4, " ".join(third)), (6, "")])
+    ids = [(None, t) for _, t in rows[:3]] + [(None, near(base, 20)), (None, "")]
+    docs = spark.createDataFrame(ids, "doc_id long, text string").repartition(3)
+    assert ngram_join.similar(docs).count() == len(ids)
+    kept = [r.text for r in ngram_join.keep_one(docs).collect()]
+    assert len(kept) == 2 and "" in kept
