@@ -77,9 +77,14 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
 
 
 def running(folded: np.ndarray) -> np.ndarray:
-    """Running sums from which span_hash takes the hash of any span."""
-    sums = np.zeros(len(folded) + 1, np.uint64)
-    np.cumsum(_BYTE[folded] * _powers(len(folded))[0], out=sums[1:])
+    """Running sums from which span_hash takes the hash of any span of bytes."""
+    return running_of(_BYTE[folded])
+
+
+def running_of(values: np.ndarray) -> np.ndarray:
+    """The same for spans of 64-bit values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values))[0], out=sums[1:])
     return sums
 
 
