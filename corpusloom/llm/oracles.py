@@ -50,11 +50,14 @@ a AS (SELECT t.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(te
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a),
 x AS ({_BINS}),
 k AS (SELECT lang, source, measure, slack, bin, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL),
-z AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM k),
-f AS (SELECT lang, source, measure, min(bin) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(bin) FILTER (WHERE upto * 100 >= total * 75) AS q3, any_value(slack) AS slack, max(total) AS total FROM z GROUP BY ALL),
-v AS (SELECT doc_id, bool_or(coalesce(total >= 20 AND bin > q3 + 3 * (q3 - q1) + f.slack, false)) AS beyond
-  FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.measure = f.measure GROUP BY 1)
+y AS (SELECT 0 AS level, lang, source, measure, slack, bin, n FROM k UNION ALL SELECT 1, lang, NULL, measure, slack, bin, sum(n) FROM k GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, slack, bin, sum(n) FROM k GROUP BY ALL),
+z AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM y),
+q AS (SELECT level, lang, source, measure, min(bin) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(bin) FILTER (WHERE upto * 100 >= total * 75) AS q3, any_value(slack) AS slack, max(total) AS total FROM z GROUP BY ALL),
+f AS (SELECT *, q3 + 3 * (q3 - q1) + slack AS fence, level = 2 OR (total >= 20 AND q3 + 3 * (q3 - q1) + slack < CASE measure WHEN 'word_len_c' THEN 2000 ELSE 1000 END) AS useful FROM q),
+v AS (SELECT doc_id, bool_or(bin > coalesce(f0.fence, f1.fence, f2.fence)) AS beyond
+  FROM x LEFT JOIN f AS f0 ON f0.level = 0 AND f0.useful AND x.lang IS NOT DISTINCT FROM f0.lang AND x.source IS NOT DISTINCT FROM f0.source AND x.measure = f0.measure
+    LEFT JOIN f AS f1 ON f1.level = 1 AND f1.useful AND x.lang IS NOT DISTINCT FROM f1.lang AND x.measure = f1.measure LEFT JOIN f AS f2 ON f2.level = 2 AND x.measure = f2.measure GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND NOT beyond AS kept FROM b JOIN v USING (doc_id)"""
+  base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM b JOIN v USING (doc_id)"""
 
 SQL = {"op2_chat_format": OP2, "op3_ngram_join": OP3, "op5_decontaminate": OP5, "op7_quality_rules": OP7}

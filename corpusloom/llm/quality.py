@@ -11,14 +11,18 @@ task one row per bin.  A text is rejected where a measure lies beyond its
 group's fence: upper quartile plus three quartile ranges plus a slack that keeps
 groups without spread from rejecting ordinary texts.
 
+Sketches merge upwards: a group of under ``LEAST`` texts, and one so polluted that
+its fence lies outside what the measure can reach, takes the fence of its
+language, and where the same holds of that, the whole corpus's.
+
 Null texts have no words and fail the base rule.  Null languages and sources are
-groups of their own; groups of under ``LEAST`` texts set no fence.  Equal rows
-get equal verdicts; extra columns are ignored; an empty table gives no rows.
+groups of their own.  Equal rows get equal verdicts; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import Scratch
@@ -27,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST, BINS, SPREAD = 5, 20, 2000, 3
+#: What a measure can reach where its bins don't end at ``BINS``.
+REACH = {"symbol_pm": 1000, "dup_line_pm": 1000, "repeat_pm": 1000}
 #: Measures and the slack of their fences: a text of which under 30 % of the lines repeat, or 5 % of the characters are symbols, is never beyond.
 SLACK = {"symbol_pm": 50, "dup_line_pm": 300, "repeat_pm": 100, "word_len_c": 200}
 #: More rejected rows than this are joined by a shuffle, fewer are broadcast (16 bytes each).
@@ -109,17 +115,29 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "source", each).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
+def fences(sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """The upper fence of every group and measure; a row per group."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang", "source", "measure")
-    ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    group = [F.col("lang"), F.col("source")]
+    above = [[F.col("lang"), F.lit(None).cast("string")], [F.lit(None).cast("string")] * 2]  # its language, the whole corpus
+    levels = None
+    for level, (g_lang, g_source) in enumerate([group, *above]):
+        part = sketch.select(F.lit(level).alias("level"), g_lang.alias("lang"), g_source.alias("source"), "measure", "bin", "n")
+        levels = part if levels is None else levels.unionByName(part)
+    w = Window.partitionBy("level", "lang", "source", "measure")
+    merged = levels.groupBy("level", "lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
+    ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bin")))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("measure"))
-    quartiles = ranked.groupBy("lang", "source", "measure").agg(at(25).alias("q1"), at(75).alias("q3"), F.max("total").alias("total"))
-    fence = F.when(F.col("total") >= LEAST, F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + slack)
-    return quartiles.withColumn("fence", fence).groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"most_{m}") for m in SLACK))
+    of_measure = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col("measure"))
+    quartiles = ranked.groupBy("level", "lang", "source", "measure").agg(at(25).alias("q1"), at(75).alias("q3"), F.max("total").alias("total"))
+    found = quartiles.withColumn("fence", F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + of_measure(SLACK))
+    useful = (F.col("level") == 2) | ((F.col("total") >= LEAST) & (F.col("fence") < of_measure({m: REACH.get(m, BINS) for m in SLACK})))
+    wide = found.groupBy("level", "lang", "source").agg(*(F.max(F.when((F.col("measure") == m) & useful, F.col("fence"))).alias(f"most_{m}") for m in SLACK))
+    wide = scratch.table(wide, "fences")
+    whole = wide.where("level = 2").first()  # a row with a number for each measure
+    own, of_lang = (wide.where(F.col("level") == i).alias(f"l{i}") for i in range(2))
+    joined = own.join(of_lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang")), "left")
+    fence = lambda m: F.coalesce(f"l0.most_{m}", f"l1.most_{m}", F.lit(whole and whole[f"most_{m}"]).cast("long"))
+    return joined.select("l0.lang", "l0.source", *(fence(m).alias(f"most_{m}") for m in SLACK))
 
 
 def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -128,7 +146,7 @@ def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     rows = scratch.table(measured(docs, doc_id=doc_id, text=text, lang=lang, source=source), "measured")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base_failed).withColumns(_measures())
-    limits = fences(sketches(rows.where(~F.col("base_failed"))))
+    limits = fences(scratch.table(sketches(rows.where(~F.col("base_failed"))), "sketches"), scratch)
     limits = limits.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(f"most_{m}" for m in SLACK))
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     beyond = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(m) > F.col(f"most_{m}"), F.lit(m)) for m in SLACK)))

@@ -69,6 +69,19 @@ def test_quality_fences_adapt(spark):
     assert {r.doc_id for r in quality.judged(df).collect() if not r.kept} == {999} | {r[0] for r in rows if measures(r[1])[4] * 5 > measures(r[1])[0]}
 
 
+def test_small_and_polluted_groups_take_the_fence_above(spark):
+    signs = lambda n: " ".join(f"w{i}#$%" for i in range(n))
+    spam = signs(20) + " symbols in a row where nobody uses any of them, number "
+    rows = [(i, "plain words only in this text of ten or more words " + str(i), "en", "large") for i in range(60)]
+    rows += [(100, spam + "100", "en", "small"), (101, "plain words only in this text of ten or more words 101", "en", "small")]
+    rows += [(200, spam + "200", "xx", "small"), (201, "plain words only in this text of ten or more words 201", "xx", None)]
+    # In a polluted group the quartiles are so far apart that its own fence is beyond any share.
+    rows += [(300 + i, (signs(40) if i % 2 else "") + f" words of a source where half of the texts is filled with signs {i}", "en", "polluted") for i in range(40)]
+    found = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if not r.base_failed}
+    assert not found[100] and found[101] and not found[200] and found[201]
+    assert not any(kept for i, kept in found.items() if i >= 300 and i % 2) and all(found[i] for i in range(60))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, n = docs.columns, docs.count()
