@@ -1,5 +1,18 @@
+import random
+
+import numpy as np
+
 from corpusloom.llm import licenses
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+PROSE = "The river ran past the mill and the children of the village played there until the evening bell."
+
+
+def found(spark, said, **other):
+    rows = [(i, t, "clash", "clash", 1, "clash") for i, t in said.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, line string, fp long, pos string")
+    return {r.doc_id: r for r in licenses.scanned(df).collect()}
+
 
 def test_families_and_the_rest(spark):
     said = {
@@ -15,21 +28,62 @@ def test_families_and_the_rest(spark):
     }
     rows = [(i, t, "clash", "clash", 1) for i, (t, _) in said.items()] + [(3, said[3][0], "clash", "clash", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string, line string, fp long")
-    found = licenses.scanned(df).collect()
-    assert len(found) == len(rows)
-    assert {r.doc_id: r.licence for r in found} == {i: f for i, (_, f) in said.items()}
-    by = {r.doc_id: r for r in found}
-    assert by[2].confirmed and by[2].n_paragraphs == 2 and by[2].n_licence == 1 and by[8].n_paragraphs == 0
-    assert all(0 <= r.score <= 1 for r in found)
+    out = licenses.scanned(df).collect()
+    assert len(out) == len(rows)
+    assert {r.doc_id: r.licence for r in out} == {i: f for i, (_, f) in said.items()}
+    by = {r.doc_id: r for r in out}
+    assert by[2].confirmed and by[2].n_paragraphs == 1 and by[2].n_licence == 1 and by[8].n_paragraphs == 0
+    assert all(0 <= r.score <= 1 for r in out)
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
-def test_held_out_notices():
-    known = licenses.notices()
-    model = licenses.Model([])
-    assert all(licenses.grams(t) & set(model.triggers) for _, t in known)
-    place = {g: i for i, g in enumerate(model.grams)}
-    for family, text in (("apache", "This page is published under the Apache License 2.0, see below"), ("cc-by-nc", "content: CC BY-NC 4.0"), ("lgpl", "the library is under the GNU Lesser General Public License")):
-        z = model.weights[-1] + sum(model.weights[place[g]] for g in licenses.grams(text) if g in place)
-        assert model.classes[int(z.argmax())] == family
-    assert licenses.Model(["some other line", "and one more"]).weights.shape[1] == len(model.classes)
+def test_paragraphs_over_lines(spark):
+    words = MIT.split()
+    rng = random.Random(1)
+    long = "\n".join(" ".join(rng.choices(PROSE.split(), k=12)) for _ in range(3000))
+    out = found(
+        spark,
+        {
+            1: " ".join(words[:8]) + "\n" + " ".join(words[8:15]) + "\n" + " ".join(words[15:]),  # wrapped
+            2: f"{PROSE}\n{PROSE}\n{MIT}\n{PROSE}\n{PROSE}",  # inside a long paragraph
+            3: f"{PROSE}\n\nAll rights reserved.\n \n{PROSE}\n\n\nReleased under the MIT License.",  # paragraphs between blank lines
+            4: f"{long}\nLicensed under the Apache License, Version 2.0.\n{long}",  # very long
+            5: "Released under the MIT License.\n\nReleased under the BSD License.",  # nearly a tie
+            6: long,
+        },
+    )
+    assert out[1].licence == "mit" and out[1].confirmed and out[1].n_paragraphs == out[1].n_licence == 1
+    assert out[2].licence == "mit" and out[2].n_paragraphs == 1
+    assert out[3].n_paragraphs == 4 and out[3].n_licence == 2 and out[3].licences == "mit,proprietary"
+    assert out[4].licence == "apache" and out[4].confirmed
+    assert out[5].licences == "bsd,mit" and out[5].n_licence == 2
+    assert out[6].licence == "none" and out[6].n_paragraphs == 1
+
+
+def test_recall_by_family_and_unknown(spark):
+    """Sentences that nothing was learned from, for every name; and families that aren't among the known ones."""
+    said, want = {}, {}
+    for family, names in licenses.FAMILIES.items():
+        for name in names:
+            for s in ("The code in this repository is made available under the {}.", "See LICENSE for the text of the {} which covers this package"):
+                i = len(said)
+                said[i], want[i] = s.format(name), family
+    for name in ("European Union Public Licence 1.2", "Artistic License 2.0", "zlib License", "Eclipse Public License 2.0", "SIL Open Font License 1.1"):
+        i = len(said)
+        said[i], want[i] = f"This file is licensed under the terms of the {name}.", "unknown"
+    out = found(spark, said)
+    right: dict[str, list] = {}
+    for i, family in want.items():
+        right.setdefault(family, []).append(out[i].licence == family)
+    recall = {f: float(np.mean(x)) for f, x in right.items()}
+    assert np.mean([x for xs in right.values() for x in xs]) > 0.85, recall
+    assert min(recall.values()) >= 0.5, recall
+
+
+def test_no_licence_without_a_trigger():
+    for others in ([], ["some other line of all the things that were there", "and one more"], [PROSE] * 50):
+        model = licenses.Model(others)
+        free = [g for g in model.grams if not set(g.split(" ")) & set(model.triggers)]
+        best = np.maximum(model.weights[:-1, :-1] - model.weights[:-1, -1:], 0)[[model.place[g] for g in free]].sum(0)
+        assert np.exp(model.weights[-1, :-1] - model.weights[-1, -1] + best).sum() < 1
+        assert all(licenses.grams(t) & set(model.triggers) for _, t, _ in licenses.notices())
