@@ -48,16 +48,16 @@ def spans(c: Column, name: str) -> Column:
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, error, tokens): the strict token list, flat with paths; an error instead of a crash."""
-    return docs.select(key, F.udf(tokenize, TOKENS)(F.col(text)).alias("t")).select(key, "t.error", "t.tokens")
+    return docs.select(key, F.udf(tokenize, TOKENS, useArrow=True)(F.col(text)).alias("t")).select(key, "t.error", "t.tokens")
 
 
 def searchable(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, ranges): an edition as running text, and where it is a supplement."""
-    return docs.select(key, F.udf(linearise, LINEARISED)(F.col(text)).alias("t")).select(key, "t.text", "t.ranges")
+    return docs.select(key, F.udf(linearise, LINEARISED, useArrow=True)(F.col(text)).alias("t")).select(key, "t.text", "t.ranges")
 
 
 def line_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, n_added, n_removed, n_same) lines between two versions."""
-    return pairs.select(key, F.udf(diff_lines, "struct<added:bigint,removed:bigint,same:bigint>")(F.col(before), F.col(after)).alias("d")).select(
+    return pairs.select(key, F.udf(diff_lines, "struct<added:bigint,removed:bigint,same:bigint>", useArrow=True)(F.col(before), F.col(after)).alias("d")).select(
         key, F.col("d.added").alias("n_added"), F.col("d.removed").alias("n_removed"), F.col("d.same").alias("n_same")
     )

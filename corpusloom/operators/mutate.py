@@ -24,20 +24,26 @@ def merge_append(existing: DataFrame, incoming: DataFrame, key: str, order: str)
     return existing.unionByName(incoming.withColumn(key, fresh))
 
 
+def keyed(key: str) -> Column:
+    """Whether a row has a key; null and empty ones name nothing, so such rows never meet."""
+    return F.coalesce(F.col(key) != "", F.lit(False))
+
+
 def merge_skip(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """Existing rows, and the first of each key that is new."""
-    return existing.unionByName(newest(incoming.join(existing.select(key), key, "left_anti"), key, order, last=False))
+    """Existing rows, the first of each key that is new, and every row without a key."""
+    new = incoming.where(keyed(key)).join(existing.select(key).where(keyed(key)), key, "left_anti")
+    return existing.unionByName(newest(new, key, order, last=False)).unionByName(incoming.where(~keyed(key)))
 
 
 def merge_replace(existing: DataFrame, incoming: DataFrame, key: str, order: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Existing rows take the values of the last incoming one of their key, but for the columns ``keep``.
 
-    Rows of new keys are added, all of them.
+    Rows of new keys, and those without a key, are added, all of them.
     """
-    last = newest(incoming, key, order)
+    last = newest(incoming.where(keyed(key)), key, order)
     value = lambda c: F.col(f"o.{c}") if c in (key, *keep) else F.when(F.col("n.__here"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     replaced = existing.alias("o").join(last.withColumn("__here", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
-    added = incoming.join(existing.select(key), key, "left_anti")
+    added = incoming.join(existing.select(key).where(keyed(key)), key, "left_anti")
     return replaced.select(*(value(c).alias(c) for c in existing.columns)).unionByName(added)
 
 
@@ -121,8 +127,22 @@ def cross_references(notes: DataFrame, records: DataFrame, *, text: str, key: st
 
 
 def ledger_of_record(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """Ledger entries joined to the record of that entry id, else of that number: two equality joins."""
-    by_entry = records.select(F.col("entryId").alias("__e"), F.col("id").alias("__id1"))
-    by_number = records.select(F.col("id").cast("string").alias("__n"), F.col("id").alias("__id2"))
+    """Ledger entries joined to the record of that entry id, of several the one of least number, else of that number."""
+    by_entry = records.where(keyed("entryId")).groupBy(F.col("entryId").alias("__e")).agg(F.min("id").alias("__id1"))
+    by_number = records.select(F.col("id").cast("string").alias("__n"), F.col("id").alias("__id2")).distinct()
     found = entries.join(by_entry, F.col("entryId") == F.col("__e"), "left").join(by_number, F.col("entryId") == F.col("__n"), "left")
     return found.withColumn("record_id", F.coalesce("__id1", "__id2")).drop("__e", "__n", "__id1", "__id2")
+
+
+def note_appended(notes: DataFrame, note: DataFrame) -> DataFrame:
+    """The flat notes of a ledger with new ones, each of which opens its entry again; ``ledger`` sums them up."""
+    return notes.unionByName(note.withColumn("status", F.lit("open")).withColumn("resolved", F.lit(None).cast(notes.schema["resolved"].dataType)))
+
+
+def status_set(notes: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """Notes with the status, and the time of resolving, that changes (key, status, at) give to their entries."""
+    new = changes.select(key, F.col("status").alias("__status"), F.col("at").alias("__at"))
+    joined = notes.join(new, key, "left")
+    status = F.coalesce("__status", "status")
+    resolved = F.when(F.col("__status").isNull(), F.col("resolved")).when(F.col("__status") == "resolved", F.coalesce("resolved", "__at"))
+    return joined.withColumn("status", status).withColumn("resolved", resolved).drop("__status", "__at").select(*notes.columns)

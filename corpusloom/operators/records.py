@@ -20,8 +20,15 @@ AFTER_EDITION = r'(?=<div\s+type="(?:apparatus|translation|commentary|bibliograp
 
 
 def split_records(files: DataFrame, xml: str = "xml") -> DataFrame:
-    """A row per record of each file, with its place in the file; files without one give none."""
-    return files.select(*(c for c in files.columns if c != xml), F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(RECORD), F.lit(0))).alias("part", "tei"))
+    """A row per record of each file, with its place in the file.
+
+    Where none is well delimited, what lies from the first opening to the last
+    closing tag is one record; files without those give none.
+    """
+    found = F.regexp_extract_all(F.col(xml), F.lit(RECORD), F.lit(0))
+    loose = F.regexp_extract(F.col(xml), r"(?s)<TEI.*</TEI>", 0)
+    every = F.when(F.size(found) > 0, found).when(loose != "", F.array(loose))
+    return files.select(*(c for c in files.columns if c != xml), F.posexplode(every).alias("part", "tei"))
 
 
 def first(pattern: str, c: Column | str = "tei", group: int = 1) -> Column:
@@ -343,7 +350,7 @@ def extract(records: DataFrame, *, keep: tuple[str, ...] = (), aliases: dict[str
 
 def with_searchable(records: DataFrame) -> DataFrame:
     """Adds the running text of the edition and its supplied ranges."""
-    found = records.withColumn("__t", F.udf(linearise, LINEARISED)(F.col("testo")))
+    found = records.withColumn("__t", F.udf(linearise, LINEARISED, useArrow=True)(F.col("testo")))
     return found.withColumn("testo_searchable", F.col("__t.text")).withColumn("supplied_ranges", F.col("__t.ranges")).drop("__t")
 
 

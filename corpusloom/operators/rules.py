@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHORT, MEDIUM, LONG, FEW, MANY, BATCH = 200, 10_000, 50_000, 50, 100, 500
+SHORT, MEDIUM, LONG, FEW, MANY = 200, 10_000, 50_000, 50, 100
+#: Records or files that one request may hold.
+BATCH = 500
 
 
 def first_violation(*rules: tuple[str, Column]) -> Column:
@@ -22,18 +24,24 @@ def more(field: str, most: int) -> tuple[str, Column]:
 
 
 def record_shape() -> Column:
-    """The limits of a record that may be written."""
-    short = ("titolo", "tipo", "materiale", "citta", "regione", "entryId")
-    medium, long_ = ("note_interne", "conserv", "layout_desc"), ("testo",)
-    lists = {"epiteti": FEW, "divinita": FEW, "onomastica": MANY, "persone": MANY, "traduzioni": FEW, "bibliografia": MANY, "textTypes": FEW}
-    rules = [("id is no number from 0", F.col("id").isNull() | (F.col("id") < 0))]
-    rules += [longer(f, SHORT) for f in short] + [longer(f, MEDIUM) for f in medium] + [longer(f, LONG) for f in long_] + [more(f, n) for f, n in lists.items()]
-    rules.append((f"figures more than {FEW}", F.size("iconografia.figures") > FEW))
+    """The limits of a record that may be written, in the order in which they are tested."""
+    short, medium = ("regione", "citta", "tipo", "materiale"), ("note_interne", "note_interne_rawXml")
+    lists = {"epiteti": FEW, "divinita": FEW, "onomastica": FEW, "textTypes": FEW, "imperatori": FEW, "persone": MANY, "traduzioni": FEW, "bibliografia": FEW, "revisions": MANY}
+    rules = [("id is no number from 0", F.col("id").isNull() | F.isnan(F.col("id").cast("double")) | (F.col("id") < 0))]
+    rules += [longer(f, SHORT) for f in short] + [longer("testo", LONG)] + [longer(f, MEDIUM) for f in medium] + [more(f, n) for f, n in lists.items()]
+    rules += [longer("iconografia.function", SHORT), longer("iconografia.note", MEDIUM), more("iconografia.figures", FEW)]
     rules.append((f"traits more than {FEW}", F.exists("iconografia.figures", lambda f: F.size(f["traits"]) > FEW)))
     rules.append(("place longer than 50", F.exists("iconografia.figures", lambda f: F.length(f["place"]) > 50)))
     return first_violation(*rules)
 
 
+def within_batch(rows: DataFrame, most: int = BATCH) -> DataFrame:
+    """The rows of a request, or none with an error if there are more than it may hold."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a request holds {most} rows at most")
+    return rows
+
+
 def note_rules(text: str, author: str, status: str) -> Column:
     return first_violation(
         (f"{text} empty", F.trim(F.coalesce(F.col(text), F.lit(""))) == ""),

@@ -57,17 +57,44 @@ def with_pmi(pairs: DataFrame, rows: DataFrame, columns: DataFrame, total: Colum
     return out.withColumn("reading", reading).select("row_value", "col_value", "n", "row_n", "col_n", "pmi", "reading")
 
 
-def variant_conflicts(values: DataFrame, value: str, key: Column, record: str) -> DataFrame:
-    """(key, n_variants, variants, n_records): folded keys that are spelt in more than one way.
+def variant_conflicts(values: DataFrame, value: str, key: Column) -> DataFrame:
+    """(key, n_variants, variants, n_uses): folded keys that are spelt in more than one way.
 
-    Variants are listed by falling count, then by name.
+    Variants are listed by falling count, then by name.  Each spelling is folded once, after it is counted.
     """
-    each = values.where(key != "").groupBy(key.alias("key"), F.col(value).alias("variant")).agg(F.count("*").alias("k"), F.countDistinct(record).alias("records"))
+    counted = values.groupBy(value).agg(F.count("*").alias("k"))
+    each = counted.select(key.alias("key"), F.col(value).alias("variant"), "k").where(F.col("key") != "")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("down"), "variant")))
     grouped = each.groupBy("key").agg(F.count("*").alias("n_variants"), F.array_join(F.transform(ranked, lambda x: x["variant"]), "|").alias("variants"), F.sum("k").alias("n_uses"))
     return grouped.where(F.col("n_variants") > 1)
 
 
+#: The indices that are looked through for spellings, and the axes of a co-occurrence: fixed values.
+REPORTS = ("divinita", "epiteti", "onomastica", "citta", "regione", "tipo", "materiale")
+AXES = ("divinita", "epiteti", "onomastica", "imperatori", "citta", "tipo", "materiale", "function", "trait")
+
+
+def axis(name: str) -> Column:
+    """A record's values on an axis, as an array: its lists, single values, its function or its figures' distinct traits."""
+    if name in ("divinita", "epiteti", "onomastica", "imperatori"):
+        return F.array_distinct(F.coalesce(F.col(name), F.array().cast("array<string>")))
+    if name == "function":
+        return F.array_compact(F.array("iconografia.function"))
+    if name == "trait":
+        return F.coalesce(F.array_distinct(F.flatten(F.transform("iconografia.figures", lambda f: F.transform(f["traits"], lambda t: t["key"])))), F.array().cast("array<string>"))
+    return F.filter(F.array(name), lambda v: F.coalesce(v != "", F.lit(False)))
+
+
+def variant_reports(records: DataFrame, fold, reports: tuple[str, ...] = REPORTS) -> DataFrame:
+    """(report, key, n_variants, variants, n_uses) of every index, counted in one pass."""
+    each = F.explode(F.concat(*(F.transform(axis(r), lambda v, r=r: F.struct(F.lit(r).alias("report"), v.alias("value"))) for r in reports))).alias("x")
+    counted = records.select(each).groupBy("x.report", "x.value").agg(F.count("*").alias("k"))
+    each = counted.select("report", fold(F.col("value")).alias("key"), F.col("value").alias("variant"), "k").where(F.col("key") != "")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("down"), "variant")))
+    grouped = each.groupBy("report", "key").agg(F.count("*").alias("n_variants"), F.array_join(F.transform(ranked, lambda x: x["variant"]), "|").alias("variants"), F.sum("k").alias("n_uses"))
+    return grouped.where(F.col("n_variants") > 1)
+
+
 def missing(records: DataFrame, **rules: Column) -> DataFrame:
     """(rule, n, first_id): how many records each rule finds lacking; one pass, whatever the number of rules."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("hit")) for k, v in rules.items()))).alias("x")

@@ -63,8 +63,8 @@ Q["cooccurrence_assoc"] = f"WITH {ITEMS} SELECT marca AS row_value, tipo AS col_
 
 
 def variant_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    return statistics.variant_conflicts(words, "word", text.fold_spaced(F.col("word")), "doc_id")
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    return statistics.variant_conflicts(words, "word", text.fold_spaced(F.col("word")))
 
 
 Q["variant_conflicts"] = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS variant FROM documents),
@@ -128,6 +128,34 @@ SELECT e.chiave, coalesce(n.ord, e.ord) AS ord, coalesce(n.misura, e.misura) AS
 UNION ALL SELECT * FROM incoming WHERE chiave NOT IN (SELECT chiave FROM existing)"""
 
 
+def _keyless(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Versions of which some keys are null and some empty, on both sides."""
+    key = F.when(F.col("ord") % 7 == 0, F.lit(None)).when(F.col("ord") % 7 == 1, F.lit("")).otherwise(F.col("chiave"))
+    old, new = versions(spark, d)
+    return old.withColumn("chiave", key), new.withColumn("chiave", key)
+
+
+_KEYLESS = "SELECT CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 7 = 1 THEN '' ELSE chiave END AS chiave, ord, misura, file FROM"
+KEYLESS = f"{VERSIONS}, old AS ({_KEYLESS} existing), new AS ({_KEYLESS} incoming), held AS (SELECT DISTINCT chiave FROM old WHERE chiave <> '')"
+
+
+def merge_skip_keyless(spark: SparkSession, d: str) -> DataFrame:
+    return mutate.merge_skip(*_keyless(spark, d), "chiave", "ord")
+
+
+Q["merge_skip_keyless"] = f"""WITH {KEYLESS} SELECT * FROM old UNION ALL SELECT * FROM new WHERE coalesce(chiave, '') = '' UNION ALL SELECT chiave, ord, misura, file FROM (
+  SELECT *, row_number() OVER (PARTITION BY chiave ORDER BY ord) AS nth FROM new WHERE chiave <> '' AND chiave NOT IN (SELECT chiave FROM held)) WHERE nth = 1"""
+
+
+def merge_replace_keyless(spark: SparkSession, d: str) -> DataFrame:
+    return mutate.merge_replace(*_keyless(spark, d), "chiave", "ord", keep=("file",))
+
+
+Q["merge_replace_keyless"] = f"""WITH {KEYLESS}, n AS (SELECT chiave, max(ord) AS ord, arg_max(misura, ord) AS misura FROM new WHERE chiave <> '' GROUP BY 1)
+SELECT e.chiave, coalesce(n.ord, e.ord) AS ord, coalesce(n.misura, e.misura) AS misura, e.file FROM old AS e LEFT JOIN n ON e.chiave = n.chiave
+UNION ALL SELECT * FROM new WHERE coalesce(chiave, '') = '' OR chiave NOT IN (SELECT chiave FROM held)"""
+
+
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     old = docs.select("doc_id", F.lit(None).cast("int").alias("quality"), F.col("lang").alias("stato"))
@@ -181,6 +209,27 @@ VIOLATION = "CASE WHEN doc_id IS NULL OR doc_id < 0 THEN 'no id' WHEN length(tex
 Q["shape_rules"] = f"SELECT doc_id, {VIOLATION} AS violation FROM documents WHERE {VIOLATION} IS NOT NULL"
 
 
+def record_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records, of which some are too long or hold too much in one field each."""
+    p, n = table(spark, d, "part"), F.col("p_partkey") % 23
+    text = lambda k, most: F.when(n == k, F.repeat(F.lit("x"), most + 1)).otherwise(F.repeat(F.lit("x"), most))
+    many = lambda k, most: F.array_repeat(F.lit("v"), F.when(n == k, most + 1).otherwise(most).cast("int"))
+    trait = F.struct(F.lit("t").alias("type"), F.lit("k").alias("key"))
+    figure = F.struct(F.array_repeat(trait, F.when(n == 18, 51).otherwise(50).cast("int")).alias("traits"), text(19, 50).alias("place"))
+    ico = F.struct(text(15, 200).alias("function"), text(16, 10_000).alias("note"), F.array_repeat(figure, F.when(n == 17, 51).otherwise(1).cast("int")).alias("figures"))
+    rows = p.select(
+        "p_partkey", F.when(n == 20, F.lit(None).cast("long")).when(n == 21, F.lit(-1).cast("long")).otherwise(F.col("p_partkey")).alias("id"), text(0, 200).alias("citta"), F.when(n == 1, F.repeat(F.lit("é"), 201)).alias("regione"), text(2, 200).alias("tipo"), text(3, 200).alias("materiale"), text(4, 50_000).alias("testo"),
+        text(5, 10_000).alias("note_interne"), F.lit(None).cast("string").alias("note_interne_rawXml"), many(6, 50).alias("epiteti"), many(7, 50).alias("divinita"), many(8, 50).alias("onomastica"), many(9, 50).alias("textTypes"), many(10, 50).alias("imperatori"),
+        many(11, 100).alias("persone"), many(12, 50).alias("traduzioni"), many(13, 50).alias("bibliografia"), many(14, 100).alias("revisions"), F.when(n != 22, ico).alias("iconografia"),
+    )
+    return rows.select("p_partkey", rules.record_shape().alias("violation")).where("violation IS NOT NULL")
+
+
+_SHAPES = ["citta longer than 200", "regione longer than 200", "tipo longer than 200", "materiale longer than 200", "testo longer than 50000", "note_interne longer than 10000", "epiteti more than 50", "divinita more than 50", "onomastica more than 50", "textTypes more than 50",
+    "imperatori more than 50", "persone more than 100", "traduzioni more than 50", "bibliografia more than 50", "revisions more than 100", "iconografia.function longer than 200", "iconografia.note longer than 10000", "iconografia.figures more than 50", "traits more than 50", "place longer than 50", "id is no number from 0", "id is no number from 0"]
+Q["record_shape"] = "SELECT p_partkey, violation FROM part JOIN (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(_SHAPES)) + ") AS v(k, violation) ON p_partkey % 23 = k"
+
+
 def import_validate(spark: SparkSession, d: str) -> DataFrame:
     return rules.tally(table(spark, d, "documents"), _violation())
 
@@ -238,6 +287,6 @@ def map_bounds(spark: SparkSession, d: str) -> DataFrame:
 Q["map_bounds"] = "SELECT CAST(min(n_nationkey) AS DOUBLE) AS south, CAST(max(n_nationkey) AS DOUBLE) AS north, CAST(min(length(n_name)) AS DOUBLE) AS west, CAST(max(length(n_name)) AS DOUBLE) AS east, count(*) AS n FROM nation"
 
 QUERIES = [
-    entity_stats, name_stats, cooccurrence, pmi, cooccurrence_assoc, variant_conflicts, missing_fields, draft_match, mirror_sync, merge_overwrite, merge_append, merge_skip, merge_replace, upsert,
-    assign_ids, stale_check, section_diff, shape_rules, import_validate, ledger_normalize, ledger_open, note_crossref, known_authors, map_bounds,
+    entity_stats, name_stats, cooccurrence, pmi, cooccurrence_assoc, variant_conflicts, missing_fields, draft_match, mirror_sync, merge_overwrite, merge_append, merge_skip, merge_replace, merge_skip_keyless, merge_replace_keyless, upsert,
+    assign_ids, stale_check, section_diff, shape_rules, record_shape, import_validate, ledger_normalize, ledger_open, note_crossref, known_authors, map_bounds,
 ]

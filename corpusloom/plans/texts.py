@@ -179,13 +179,15 @@ SELECT page_id, rule FROM pages, r WHERE regexp_matches(html, pattern)"""
 
 
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against itself without what repeats an earlier line."""
+    """Each document against itself without repeated lines and those that end in a full stop, between two new lines."""
     docs = table(spark, d, "documents")
-    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    return markup.line_diff(docs.withColumn("once", once), "doc_id", "text", "once")
+    kept = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: ~F.endswith(x, F.lit(".")))
+    after = F.array_join(F.concat(F.array(F.lit("<first>")), kept, F.array(F.lit("<last>"))), "\n")
+    return markup.line_diff(docs.withColumn("after", after), "doc_id", "text", "after")
 
 
-Q["line_diff"] = "SELECT doc_id, 0 AS n_added, len(string_split(text, chr(10))) - len(list_distinct(string_split(text, chr(10)))) AS n_removed, len(list_distinct(string_split(text, chr(10)))) AS n_same FROM documents"
+Q["line_diff"] = """WITH k AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(list_distinct(string_split(text, chr(10))), lambda x: NOT ends_with(x, '.'))) AS same FROM documents)
+SELECT doc_id, 2 AS n_added, n - same AS n_removed, same AS n_same FROM k"""
 
 
 def backup_concat(spark: SparkSession, d: str) -> DataFrame:
