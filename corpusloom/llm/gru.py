@@ -172,21 +172,24 @@ class Trainer:
     def learn(self, ids: np.ndarray, first: np.ndarray, end: int) -> None:
         """ids: the tokens of texts, each closed by the end token ``end``; first: marks each text's first token."""
         width = min(self.width, max(1, len(ids) // (64 * self.length)))  # 64 steps at least, where there are tokens for them
-        steps = len(ids) // width
-        if not steps:
-            return
+        steps, rest = divmod(len(ids), width)
         before = np.concatenate([[end], ids[:-1]]).astype(np.int32)
-        lay = lambda x: x[: width * steps].reshape(width, steps).T
-        target, inputs, fresh = lay(ids), lay(before), lay(first)
+        starts = np.arange(width) * steps + np.minimum(np.arange(width), rest)  # the first lanes hold one token more
         state = np.zeros((width, HIDDEN), F32)
         for t in range(0, steps, self.length):
-            window = slice(t, t + self.length)
-            g, state = self.model.gradient(inputs[window].ravel(), fresh[window].ravel(), target[window].ravel(), width, state)
-            self.turn += 1
-            self.m += F32(0.1) * (g - self.m)
-            self.v += F32(0.01) * (g * g - self.v)
-            size = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-            self.model.flat -= F32(size) * self.m / (np.sqrt(self.v) + F32(1e-7))
+            state = self._step(before, first, ids, starts + np.arange(t, min(t + self.length, steps))[:, None], state)
+        if rest:
+            self._step(before, first, ids, (starts[:rest] + steps)[None], state[:rest])
+
+    def _step(self, before: np.ndarray, first: np.ndarray, ids: np.ndarray, at: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """One Adam step on the window of tokens at (step by lane); the state after it."""
+        g, state = self.model.gradient(before[at].ravel(), first[at].ravel(), ids[at].ravel(), at.shape[1], state)
+        self.turn += 1
+        self.m += F32(0.1) * (g - self.m)
+        self.v += F32(0.01) * (g * g - self.v)
+        size = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
+        self.model.flat -= F32(size) * self.m / (np.sqrt(self.v) + F32(1e-7))
+        return state
 
 
 def packed(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,12 @@
 2. The most frequent words are *learned words* of the network; every other word
    has a *spelling class* (its last letters), inside which it has the share that
    the counts give it.  An unseen word gets the share that smoothing leaves.
-3. All training texts are learned from, in ``len(ROUNDS)`` rounds.  In a round
-   every task starts from the same weights, runs truncated backpropagation over
-   its share, and the replicas are averaged on the executors, weighted by tokens.
+3. All training texts are learned from, in ``len(ROUNDS)`` rounds.  Texts are dealt
+   to replicas by hash, one replica to about ``UNIT`` tokens of the round, so what
+   is learned depends on the texts and not on how the table is split.  In a round
+   every replica starts from the same weights, runs truncated backpropagation over
+   its texts, and the replicas are averaged on the executors, weighted by tokens.
+   There are at most ``REPLICAS`` of them; beyond that each takes more tokens.
 4. All texts are scored whole; the state is carried across windows.  A table of
    the ``TOP`` most frequent words' counts (some 20 bytes each) is broadcast; the
    counts of rarer words are joined by a shuffle and added to the scores.
@@ -20,6 +23,8 @@ an empty table gives no rows, and without training texts every word is unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,13 @@ from corpusloom.llm.scratch import Scratch
 
 BLOCKS, CLASSES, TOP = 32, 32, 1 << 17
 #: Sixteenths of the training texts learned from in each round, and the rates.
-ROUNDS, RATES = ((0, 1), (1, 4), (4, 16)), (0.02, 0.01, 0.005)
-#: Tokens that are learned from or scored at a time, whole texts together.
-POOL = 4_000_000
+ROUNDS, RATES = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16)), (0.02, 0.015, 0.012, 0.008, 0.005)
+#: Tokens to a replica, and replicas in all rounds (half a megabyte each where they are averaged).
+UNIT, REPLICAS = 1_000_000, 1 << 16
+#: Tokens that are learned from, and scored, at a time, whole texts together.
+LEARNED, POOL = 1_000_000, 2_000_000
 #: Rows of words counted before they are merged, and the pieces that weights are averaged in.
-MERGE, PIECES, BUCKETS = 2_000_000, 64, 256
+MERGE, PIECES, BUCKETS, PARTITIONS = 2_000_000, 64, 256, 1 << 14
 END = np.uint64(0xE17D)
 SMOOTH = 0.1
 
@@ -118,8 +125,8 @@ class Lexicon:
         return ids.astype(np.int32), n
 
 
-def _pools(batches, column: int):
-    """(first rows' batch parts, hashes, classes, offsets) of about POOL tokens of whole texts."""
+def _pools(batches, column: int, most: int):
+    """(first rows' batch parts, hashes, classes, offsets) of about ``most`` tokens of whole texts."""
     rows, hashes, kinds, lengths, size = [], [], [], [], 0
     out = lambda: (rows, np.concatenate(hashes), np.concatenate(kinds), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]))
     for batch in batches:
@@ -129,29 +136,40 @@ def _pools(batches, column: int):
             kinds.append(kind)
             lengths.append(np.diff(offsets))
             size += len(h)
-            if size >= POOL:
+            if size >= most:
                 yield out()
                 rows, hashes, kinds, lengths, size = [], [], [], [], 0
     if rows:
         yield out()
 
 
+def _by_replica(batches):
+    """(replica, its batches) of batches (replica, text) sorted by replica."""
+
+    def runs():
+        for batch in batches:
+            replica = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(replica)) + 1).tolist(), len(replica)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    yield int(replica[a]), batch.slice(a, b - a)
+
+    for replica, parts in groupby(runs(), key=itemgetter(0)):
+        yield replica, (part for _, part in parts)
+
+
 def _trained(batches, lexicon: Lexicon, flat: np.ndarray, rate: float):
-    from pyspark import TaskContext
-
-    trainer = Trainer(Gru(BLOCKS, CLASSES, flat), rate)
-    seen = 0
-    for _, h, kind, offsets in _pools(batches, 0):
-        ids, _ = lexicon.look(h, kind)
-        first = np.zeros(len(ids), bool)
-        first[offsets[:-1]] = True
-        trainer.learn(ids, first, lexicon.end)
-        seen += len(ids)
-    if not trainer.turn:
-        return
-    task = TaskContext.get().partitionId()
-    for i, piece in enumerate(np.array_split(trainer.model.flat.astype(np.float64) * seen, PIECES)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([float(seen)]), pa.array([piece.tobytes()], pa.binary())], ["piece", "task", "seen", "sums"])
+    for replica, own in _by_replica(batches):
+        trainer = Trainer(Gru(BLOCKS, CLASSES, flat), rate)
+        seen = 0
+        for _, h, kind, offsets in _pools(own, 1, LEARNED):
+            ids, _ = lexicon.look(h, kind)
+            first = np.zeros(len(ids), bool)
+            first[offsets[:-1]] = True
+            trainer.learn(ids, first, lexicon.end)
+            seen += len(ids)
+        for i, piece in enumerate(np.array_split(trainer.model.flat.astype(np.float64) * seen, PIECES)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([replica], pa.int32()), pa.array([float(seen)]), pa.array([piece.tobytes()], pa.binary())], ["piece", "task", "seen", "sums"])
 
 
 def _added(batches):
@@ -181,7 +199,7 @@ def averaged(replicas: DataFrame) -> np.ndarray | None:
 
 def _scored(batches, lexicon: Lexicon, flat: np.ndarray):
     model, log10 = Gru(BLOCKS, CLASSES, flat), np.log(10)
-    for rows, h, kind, offsets in _pools(batches, 2):
+    for rows, h, kind, offsets in _pools(batches, 2, POOL):
         ids, n = lexicon.look(h, kind)
         net = text_scores(model, ids, offsets, lexicon.end) / log10
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -222,7 +240,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     own = F.col(doc_id)
-    training = docs.where(is_training(own)).select(F.col(text).alias("text"), (F.pmod(F.xxhash64(own.cast("string"), F.col(text)), F.lit(16))).alias("share"))
+    training = docs.where(is_training(own)).select(F.col(text).alias("text"), F.pmod(F.xxhash64(own.cast("string"), F.col(text)), F.lit(16)).alias("share"), F.xxhash64(F.col(text), own.cast("string")).alias("deal"))
     counts = training.select("text").mapInArrow(_counted, "h long, kind int, n long").groupBy("h").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = scratch.table(counts, "counts")
     by_class = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
@@ -231,10 +249,13 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     lexicon = Lexicon(total, distinct, top, by_class)
     held = spark.sparkContext.broadcast(lexicon)
     flat = Gru(BLOCKS, CLASSES).start(lexicon.learned_n, lexicon.rest_n).flat
+    unit = max(UNIT, total // REPLICAS)
     for (low, high), rate in zip(ROUNDS, RATES, strict=True):
-        share = training.where((F.col("share") >= low) & (F.col("share") < high)).select("text")
+        replicas = max(1, round(total * (high - low) / 16 / unit))
+        share = training.where((F.col("share") >= low) & (F.col("share") < high)).select(F.pmod(F.col("deal"), F.lit(replicas)).cast("int").alias("replica"), "text", "deal")
+        dealt = share.repartition(min(replicas, PARTITIONS), "replica").sortWithinPartitions("replica", "deal").select("replica", "text")
         weights = spark.sparkContext.broadcast(flat)
-        found = averaged(share.mapInArrow(lambda batches, w=weights, r=rate: _trained(batches, held.value, w.value, r), "piece int, task int, seen double, sums binary"))
+        found = averaged(dealt.mapInArrow(lambda batches, w=weights, r=rate: _trained(batches, held.value, w.value, r), "piece int, task int, seen double, sums binary"))
         flat = flat if found is None else found
     weights = spark.sparkContext.broadcast(flat)
     source = docs.select(own.cast("long").alias("doc_id"), (~is_training(own)).alias("held_out"), F.col(text).alias("text"))

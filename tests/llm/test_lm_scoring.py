@@ -85,3 +85,23 @@ def test_learns_what_follows_what(spark):
         texts.append((i, " ".join(f"{kind}{x}" for x in rng.integers(0, 30, 80))))
     found = lm_scoring.scored(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").groupBy().sum("score", "base_score").collect()[0]
     assert found[0] > found[1] + 100
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "UNIT", 4000)  # several replicas
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 30, 80))) for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm_scoring.scored(df.repartition(n, "doc_id")).collect()} for n in (1, 23))
+    assert np.allclose([one[i] for i in range(600)], [many[i] for i in range(600)], rtol=1e-3)
+
+
+def test_every_token_is_learned_from():
+    """The lanes hold all tokens once, whatever the remainder."""
+    held = []
+    model = gru.Gru(2, 3).start(np.ones(64), np.ones(3))
+    trainer = gru.Trainer(model, 0.01, width=7, length=4)
+    step = trainer._step
+    trainer._step = lambda before, first, ids, at, state: (held.extend(at.ravel().tolist()), step(before, first, ids, at, state))[1]
+    trainer.learn(np.arange(7 * 64 * 4 + 5) % 67, np.zeros(7 * 64 * 4 + 5, bool), 0)
+    assert sorted(held) == list(range(7 * 64 * 4 + 5))
