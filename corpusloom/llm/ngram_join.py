@@ -12,16 +12,17 @@ Jaccard similarity of at least ``num/den``.
    copies costs a row per task and shingle.  The counted shingles are shuffled; a
    shingle that only one node has can't link, and as rare ones come first, most
    texts have a prefix of such and are settled here.
-3. Nodes that share a prefix shingle and whose sizes are within the ratio are
-   chained to the first of their run, a row per node.  The components of these
-   candidate edges are split into groups that fit a task.
-4. In each group a set is first compared with a few sets that have a least
-   shingle in common.  Then it searches the inverted lists of the smaller sets: the
-   longest lists are set aside, the short ones merged by a heap, and what occurs
-   often enough there is probed in the long ones by binary search.  Sets already in
-   its component aren't compared again.
-   A candidate component over ``block`` shingles is cut into blocks and each
-   pair of blocks is a group, so no task holds more than two blocks.
+3. Sets are *banded* by size, so that linked ones lie in one band or two that adjoin.
+   Nodes that share a prefix shingle and a band are tied to the least of them, and
+   the least ones of adjoining bands to each other: a row per node, no pairs.  The
+   components of these candidate edges are split into groups that fit a task.
+4. In each group every set searches the inverted lists of the smaller sets, by spans
+   of sets, the nearest in size first (DivideSkip): the longest lists are set aside,
+   the short ones merged by a heap, and what occurs often enough there is probed in
+   the long ones by binary search.  A span of which all sets are in the component
+   already is passed over.
+   A candidate component over ``block`` shingles is cut into blocks by band and hash;
+   blocks meet where their bands may link, so no task holds more than two.
 5. Links within groups are merged into components, known by their least doc_id.
 
 Nulls and texts without words: empty sets, linked with nothing, a component of
@@ -37,7 +38,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel
@@ -52,8 +53,6 @@ COUNTED = np.uint64(1 << 62)
 SAMPLE, FREQUENT, OFTEN = 64, 500_000, 3
 #: Row ids are broadcast to find their texts up to this count (some 40 bytes each), beyond it they are shuffled.
 BROADCAST_ROWS = 250_000
-#: The same for rows with lists, by what the lists hold (some 60 bytes each).
-BROADCAST_ENTRIES = 1_000_000
 SEEN = 200_000
 
 
@@ -136,22 +135,13 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return g[order], n[order]
 
 
-def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(members, how many of the sorted lists hold each): a heap merge, or for many entries one sort."""
-    total = sum(map(len, lists))
-    if total <= 64:
-        runs = [(key, sum(1 for _ in same)) for key, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
-        members, counts = zip(*runs, strict=True) if runs else ((), ())
-        return np.array(members, np.int64), np.array(counts, np.int64)
-    return np.unique(np.concatenate(lists), return_counts=True)
+def merged_counts(lists: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, how many of the sorted lists hold it) by a heap merge."""
+    return [(key, sum(1 for _ in same)) for key, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
 
 
-def overlaps(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """How many of the sorted set mine each other set holds."""
-    flat = np.concatenate(others)
-    at = np.searchsorted(mine, flat)
-    at[at == len(mine)] = 0
-    return np.add.reduceat((mine[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
+#: Sets in the first span that a set searches; each further span is twice as long.
+SPAN = 32
 
 
 def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -169,63 +159,61 @@ def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    likely: dict[int, int] = {}
 
     def join(a: int, b: int) -> None:
         x, y = sorted((label[a], label[b]))
         if x != y:
             label[label == y] = x
 
-    for q, mine in enumerate(sets):
-        n = int(sizes[q])
-        least = -(-num * n // den)
-        needed = lambda m, n=n: -(-num * (n + m) // (num + den))
-        smallest = int(np.searchsorted(sizes, least))
-        for g in mine[:3].tolist():
-            c = likely.get(g, -1)
-            if c >= smallest and label[c] != label[q] and overlaps(mine, [sets[c]])[0] >= needed(int(sizes[c])):
-                join(q, c)
-            likely[g] = q
-        outside = smallest + np.flatnonzero(label[smallest:q] != label[q])
-        if not len(outside):
-            continue
-        ends = place[first[q] : first[q + 1]]  # each list's part before q holds the sets searched
-        starts = start[ends]
-        use = ends > starts
-        if int(use.sum()) < least:
-            continue
-        starts, ends = starts[use], ends[use]
-        lengths = ends - starts
-        if int(sizes[outside].sum()) <= int(lengths.sum()):  # few sets are left to compare with
-            found = overlaps(mine, [sets[c] for c in outside.tolist()])
-            for c in outside[found >= needed(sizes[outside])].tolist():
-                join(q, c)
-            continue
-        longest = int(lengths.max())
-        aside = min(int(least / (0.01 * np.log2(longest + 1) + 1)), least - 1, len(lengths)) if longest > 8 else 0
+    def search(q: int, ends: np.ndarray, starts: np.ndarray, least: int) -> None:
+        """Joins q with the sets that hold ``least`` or more of its shingles, of the lists' parts starts to ends."""
+        n, lengths = int(sizes[q]), ends - starts
         by_length = np.argsort(lengths, kind="stable")
+        longest = int(lengths[by_length[-1]])
+        aside = min(int(least / (0.01 * np.log2(longest + 1) + 1)), least - 1, len(lengths))
         short, long = by_length[: len(lengths) - aside], by_length[len(lengths) - aside :]
-        members, counts = merged_counts([lists[starts[i] : ends[i]] for i in short])
-        good = (counts >= least - aside) & (members >= smallest)
-        members, counts = members[good], counts[good]
-        pick = np.argsort(-counts, kind="stable")
-        for c, found in zip(members[pick].tolist(), counts[pick].tolist(), strict=True):
+        found = [(c, k) for c, k in merged_counts([lists[starts[i] : ends[i]] for i in short]) if k >= least - aside]
+        for c, k in sorted(found, key=itemgetter(1), reverse=True):
             if label[c] == label[q]:
                 continue
-            enough, left = needed(int(sizes[c])), aside
+            enough, left = -(-num * (n + int(sizes[c])) // (num + den)), aside
             for i in long:
-                if found >= enough or found + left < enough:
+                if k >= enough or k + left < enough:
                     break
                 left -= 1
                 at = starts[i] + np.searchsorted(lists[starts[i] : ends[i]], c)
-                found += bool(at < ends[i] and lists[at] == c)
-            if found >= enough:
+                k += bool(at < ends[i] and lists[at] == c)
+            if k >= enough:
                 join(q, c)
+
+    for q in range(len(sets)):
+        least = -(-num * int(sizes[q]) // den)
+        smallest = int(np.searchsorted(sizes, least))
+        ends = place[first[q] : first[q + 1]]  # each list's part before q holds the sets searched
+        heads, high, span = start[ends], q, SPAN
+        while high > smallest:
+            low = max(smallest, high - span)
+            high, span, searched = low, 2 * span, label[low:high]
+            starts = _first_from(lists, heads, ends, low)
+            use = ends > starts
+            if int(use.sum()) >= least and (searched != label[q]).any():
+                search(q, ends[use], starts[use], least)
+            ends = starts
     out = np.empty(len(sets), np.int64)
     out[order] = order[label]
     return out
 
 
+def _first_from(lists: np.ndarray, heads: np.ndarray, ends: np.ndarray, low: int) -> np.ndarray:
+    """For each list's part heads to ends the first place of a member that is ``low`` or more: binary search, all lists in step."""
+    a, b = heads.copy(), ends.copy()
+    while (a < b).any():
+        middle = (a + b) // 2
+        less = (a < b) & (lists[np.minimum(middle, len(lists) - 1)] < low)
+        a, b = np.where(less, middle + 1, a), np.where(less | (a >= b), b, middle)
+    return a
+
+
 def _once(batches):
     """Rows without those whose node came before in the task; rows that are repeated in docs stand for one node."""
     seen: set[int] = set()
@@ -265,33 +253,37 @@ def _searched(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["component", "node", "lead"])
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
+def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, n, g): the prefix shingles that more than one node can have."""
     nodes = sets.where(F.col("keep").isNotNull())
-    w = Window.partitionBy("g")
     grams = nodes.select("node", F.explode("counted").alias("g"))
-    shared = grams.select("node", "g", F.count("*").over(w).alias("df"), F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi")).where("lo < hi")
-    again = shared.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "g"))).alias("again"))
+    shared = grams.groupBy("g").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g", "df")
+    shared = scratch.table(shared, "shared")
+    again = grams.join(shared, "g").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "g"))).alias("again"))
     each = nodes.groupBy("node").agg(F.min(F.struct("n", "keep", F.size("counted").alias("counted"), "rest")).alias("x")).select("node", "x.*")
     room = F.col("keep") - (F.col("counted") - F.coalesce(F.size("again"), F.lit(0)))
     first = F.when(F.col("again").isNotNull() & (room > 0), F.slice("again.g", F.lit(1), room.cast("int"))).otherwise(F.array().cast("array<long>"))
     return each.join(again, "node", "left").select("node", "n", F.explode(F.concat(first, "rest")).alias("g"))
 
 
-def candidate_edges(posts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b): nodes chained through a shared prefix shingle, sizes within the ratio from one to the next."""
-    w = Window.partitionBy("g").orderBy("n", "node")
-    last = F.lag("n").over(w)
-    opens = last.isNull() | (last * den < F.col("n") * num)
-    lead = F.last(F.when(F.col("opens"), F.col("node")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    pairs = posts.withColumn("opens", opens).withColumn("lead", lead).where(F.col("lead") != F.col("node"))
-    return pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+def band(n, num: int = NUM, den: int = DEN):
+    """Sizes that may link lie in one band or two that adjoin; a little wider than the ratio, for rounding."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num * 1.0001))).cast("long")
+
+
+def candidate_edges(posts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes tied to the least one of their band that shares a prefix shingle, and those of adjoining bands."""
+    posts = scratch.table(posts.select("node", "g", band(F.col("n")).alias("band")), "posts")
+    leads = scratch.table(posts.groupBy("g", "band").agg(F.min("node").alias("lead")), "leads")
+    within = posts.join(leads, ["g", "band"]).where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    above = leads.select("g", (F.col("band") - 1).alias("band"), F.col("lead").alias("above"))
+    across = leads.join(above, ["g", "band"]).where(F.col("lead") != F.col("above")).select(F.col("lead").alias("a"), F.col("above").alias("b"))
+    return within.unionByName(across).distinct()
 
 
-def text_join(docs: DataFrame, wanted: DataFrame, lists: str | None = None) -> DataFrame:
-    """wanted (doc_id, fp, ...) with each row's text; wanted is broadcast only if it is small, by the entries of its column ``lists``, too."""
-    size = F.sum(F.size(lists)) if lists else F.count("*")
-    small = (wanted.agg(size).first()[0] or 0) <= (BROADCAST_ENTRIES if lists else BROADCAST_ROWS)
+def text_join(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, fp, ...) with each row's text; wanted is broadcast only if it is small."""
+    small = wanted.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["fp"] == wanted["fp"])).select(wanted["*"], docs["text"])
 
 
@@ -308,22 +300,29 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) ->
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
     held = spark.sparkContext.broadcast(frequent_shingles(docs))
     sets = scratch.table(docs.mapInArrow(lambda batches: _sets(batches, held), SETS), "sets")
-    edges = scratch.table(candidate_edges(prefixes(sets)), "candidates")
+    edges = scratch.table(candidate_edges(prefixes(sets, scratch), scratch), "candidates")
+    scratch.drop("shared", "posts", "leads")
     groups = connected_components(edges, scratch, "groups")
     # One text stands for each node.
     rows = sets.where(F.col("node").isNotNull()).join(groups, "node")
     nodes = scratch.table(rows.groupBy("node", "component", "n").agg(F.min(F.struct("doc_id", "fp")).alias("r")).select("node", "component", "n", "r.doc_id", "r.fp"), "nodes")
-    sizes = nodes.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    nodes = nodes.withColumn("band", band(F.col("n")))
+    parts = nodes.groupBy("component", "band").agg(F.sum("n").alias("n"))
+    parts = parts.groupBy("component").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / block).alias("parts")))).alias("parts"))  # a few bands
+    sizes = scratch.table(parts.select("component", "parts", (F.col("total") > block).alias("large")), "sizes")
+    # A block is a band and a part of it; those of a band meet each other and those of the bands beside it.
+    part = lambda b, i: b * (1 << 32) + i
+    own = part(F.col("band"), F.pmod(F.xxhash64("node"), F.element_at("parts", F.col("band"))))
+    beside = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.transform(F.sequence(F.lit(1).cast("long"), F.coalesce(F.try_element_at("parts", b), F.lit(0).cast("long"))), lambda i: F.when(F.array_contains(F.map_keys("parts"), b), part(b, i - 1)))))
     wanted = nodes.join(sizes, "component")
-    wanted = wanted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = scratch.table(wanted.select("doc_id", "fp", "node", "component", "blocks", "own"), "wanted")
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = text_join(docs, wanted).select("component", "own", "node", "blocks", "text")
-    dealt = dealt.mapInArrow(_once, dealt.schema).select("component", "own", "node", "text", pair)
+    wanted = wanted.select("doc_id", "fp", "node", "component", "large", F.when(F.col("large"), own).otherwise(0).alias("own"), F.when(F.col("large"), F.array_compact(beside)).otherwise(F.array(F.lit(0).cast("long"))).alias("others"))
+    wanted = scratch.table(wanted, "wanted")
+    dealt = text_join(docs, wanted).select("component", "own", "node", "others", "text")
+    dealt = dealt.mapInArrow(_once, dealt.schema).select("component", "own", "node", "text", F.explode("others").alias("other"))
     dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
     dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
     found = scratch.table(dealt.mapInArrow(_searched, "component long, node long, lead long"), "links")
-    large = scratch.table(sizes.where(F.col("blocks") > 1).select("component"), "large")
+    large = scratch.table(sizes.where("large").select("component"), "large")
     if large.limit(1).count():
         links = found.join(large, "component", "left_semi").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
         whole = connected_components(links, scratch, "large-parts").select("node", F.col("component").alias("label"))
@@ -332,9 +331,9 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) ->
         labels = found.select("node", F.col("lead").alias("label"))
     slim = sets.select("doc_id", "fp", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     slim = scratch.table(slim, "labels")
-    least = slim.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = scratch.table(slim.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     out = slim.join(least, "label", "left")
-    scratch.drop("candidates", "wanted", "nodes", "sets", "large")
+    scratch.drop("candidates", "wanted", "nodes", "sets", "sizes", "large")
     return out.select("doc_id", "fp", "n", "label", "least")
 
 
