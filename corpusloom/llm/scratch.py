@@ -7,16 +7,20 @@ executor sees that folder, so a lost executor costs only its running tasks.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where the session names no folder and all of it runs on this machine.
 FALLBACK = "/tmp/checkpoints/corpusloom"
 
 
 def folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or FALLBACK
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -313,7 +313,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, units: tuple[Unit, ...]) -
     cuts = several.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("key", "context", "pos", "left", "right")).alias("cuts"))
     cuts = scratch.table(cuts, "cuts")
     same = docs["doc_id"].eqNullSafe(cuts["doc_id"]) & (docs["fp"] == cuts["fp"])
-    pieces = docs.join(cuts, same).select("text", "cuts").mapInArrow(partial(_cut, units=units), PIECES)
+    pieces = docs.join(cuts.hint("merge"), same).select("text", "cuts").mapInArrow(partial(_cut, units=units), PIECES)
     pieces = scratch.table(pieces, "pieces")
     hot = scratch.table(kinds.where(F.col("kinds") > HOT).select("key"), "hot")
     lead = F.substring("after", 1, 16)
@@ -345,7 +345,7 @@ def with_spans(docs: DataFrame, name: str, doc_id: str, text: str, units: tuple[
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
     spans = repeated_spans(slim, scratch, units).withColumnRenamed("spans", name)
     same = docs[doc_id].cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs[text]) == spans["fp"])
-    return docs.join(spans, same, "left").select(docs["*"], spans[name])
+    return docs.join(spans.hint("merge"), same, "left").select(docs["*"], spans[name])
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", units: tuple[Unit, ...] = BOTH) -> DataFrame:
