@@ -118,6 +118,53 @@ def highlight(c: Column, query: str) -> Column:
     return F.regexp_replace(c, f"(?i)({'|'.join(words)})", "<mark>$1</mark>") if words else c
 
 
+def said(c: Column | str) -> Column:
+    """The text, or null where there is none."""
+    return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def record_label(number: Column, prefix: str) -> Column:
+    """The prefix and a record's number, or a question mark."""
+    return F.concat(F.lit(prefix + " "), F.coalesce(number.cast("string"), F.lit("?")))
+
+
+def place_name(city: str = "citta", region: str = "regione") -> Column:
+    """City and region in capitals, or the one that there is."""
+    return F.coalesce(F.concat(said(city), F.lit(", "), F.upper(said(region))), said(city), said(region), F.lit("N/A"))
+
+
+def shown_title() -> Column:
+    return F.coalesce(said("titolo"), said("citta"), said("regione"), F.concat(F.lit("Scheda #"), F.col("id").cast("string")))
+
+
+def draft_label(c: Column, prefix: str) -> Column:
+    """Region and number of a draft's file name ``PREFIX-REGION-012_nr3``; other names as they are."""
+    pattern = rf"^{prefix}-([A-Z]+)-(\d+)_nr\d+"
+    return F.when(c.rlike(pattern), F.concat_ws(" ", F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2).cast("long").cast("string"))).otherwise(c)
+
+
+def vocabulary_label(label: str = "label", local: str = "labelIt") -> Column:
+    return F.coalesce(said(local), F.col(label))
+
+
+def _labelled(key: Column, labels: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), key) if labels else F.lit(None).cast("string")
+
+
+def translated(value: Column, labels: dict[str, str]) -> Column:
+    """The label of a value, with a capital."""
+    t = F.coalesce(_labelled(value, labels), value)
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 20))
+
+
+def iconography_text(ico: str, labels: dict[str, str]) -> Column:
+    """What can be searched of an iconography: keys and their labels, and the note."""
+    both = lambda k: F.array(k, _labelled(k, labels))
+    figures = F.flatten(F.transform(f"{ico}.figures", lambda f: F.concat(both(f["key"]), F.array(_labelled(f["type"], labels)), F.flatten(F.transform(f["traits"], lambda t: both(t["key"]))))))
+    words = F.concat(both(F.col(f"{ico}.function")), F.coalesce(figures, F.array().cast("array<string>")), F.array(f"{ico}.note"))
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
+
+
 def bibliography_key(c: Column) -> Column:
     """``smith1990b`` as ``Smith 1990b``; an author of up to three letters in capitals."""
     author = F.regexp_extract(c, r"^([A-Za-z]+?)(\d{4})([a-z]?)$", 1)

@@ -33,6 +33,8 @@ class CatalogueQuery:
     """What a user may ask for; None leaves a condition out."""
 
     regione: str | None = None
+    regioni: tuple[str, ...] = ()
+    epiteti: tuple[str, ...] = ()
     citta: str | None = None
     tipo: str | None = None
     materiale: str | None = None
@@ -46,6 +48,10 @@ class CatalogueQuery:
 
     def predicates(self) -> list[Column]:
         out = [F.col(f) == v for f in ("regione", "citta", "tipo", "materiale", "iscrizione", "anepigr") if (v := getattr(self, f)) is not None]
+        if self.regioni:
+            out.append(F.col("regione").isin(*self.regioni))
+        if self.epiteti:  # any of them
+            out.append(F.arrays_overlap("epiteti", F.array(*map(F.lit, self.epiteti))))
         if self.function is not None:
             out.append(F.col("iconografia.function") == self.function)
         if self.trait is not None:
@@ -109,3 +115,26 @@ def quick_filter(records: DataFrame, text: str, *fields: str, most: int = 80) ->
     """The first records, in order, of which a field contains a text in any case."""
     found = reduce(lambda a, b: a | b, (F.contains(F.lower(F.col(f).cast("string")), F.lit(text.lower())) for f in fields))
     return records.where(found).orderBy("id").limit(most)
+
+
+def with_status(rows: DataFrame, status: str | None) -> DataFrame:
+    """Ledger entries or bugs of a status (None: all), newest first."""
+    kept = rows if status is None else rows.where(F.col("status") == status)
+    return kept.orderBy(F.desc("createdAt"), "id")
+
+
+def drafts(rows: DataFrame, reviewed: bool | None) -> DataFrame:
+    """Drafts (filename, has_match) that the corpus has, or lacks (None: all), by name."""
+    kept = rows if reviewed is None else rows.where(F.col("has_match") == reviewed)
+    return kept.orderBy("filename")
+
+
+def completions(vocabulary: DataFrame, label: str, begun: str, chosen: Column | None = None, most: int = 30) -> DataFrame:
+    """The first labels, by name, that contain what was begun, but for those chosen already."""
+    found = vocabulary.select(F.col(label).alias("label")).distinct().where(F.contains(F.lower("label"), F.lit(begun.lower())))
+    return (found if chosen is None else found.where(~F.array_contains(chosen, F.col("label")))).orderBy("label").limit(most)
+
+
+def with_chip(chips: Column, new: str) -> Column:
+    """The chosen labels and a new one, each once."""
+    return F.array_union(chips, F.array(F.lit(new)))

@@ -51,6 +51,71 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.udf(tokenize, TOKENS, useArrow=True)(F.col(text)).alias("t")).select(key, "t.error", "t.tokens")
 
 
+def line_breaks(found: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """(key, n, path, break_no, at_root) of the line breaks of an edition, numbered from 1."""
+    breaks = F.filter(tokens, lambda t: t["name"] == "lb")
+    rows = found.select(key, F.posexplode(breaks).alias("i", "t"))
+    return rows.select(key, (F.col("i") + 1).alias("n"), F.col("t.path").alias("path"), F.coalesce(F.element_at("t.attrs", "break") == "no", F.lit(False)).alias("break_no"), (F.size("t.path") == 1).alias("at_root"))
+
+
+#: Rules on the tokens of an edition, and whether breaking one is an error.
+EDITION_RULES = {
+    "not_well_formed": True, "leiden_residue": False, "attribute_in_text": True, "empty_attribute": True, "unit_not_ascii": True, "unit_unknown": True, "first_line_continues": True, "hyphen_before_line": False,
+    "nymref_on_person": True, "nymref_on_epithet": True, "key_on_epithet": True, "epithet_outside_person": True, "epithet_after_coordinated": False, "divine_without_name": False, "divine_without_key": False,
+    "epithet_in_key": False, "office_without_key": False, "gap_of_zero": True, "gap_without_extent": True,
+}
+
+
+def edition_issues(found: DataFrame, key: str, tokens: str = "tokens", error: str = "error") -> DataFrame:
+    """(key, line, rule, severity) of what tokens (see ``tokens``) of an edition break; a line of 0 is the whole."""
+    every = F.col(tokens)
+    is_el = lambda t, name: (t["kind"] == "el") & (t["name"] == name)
+    above = lambda a, t: (F.size(a["path"]) < F.size(t["path"])) & (F.slice(t["path"], F.lit(1), F.size(a["path"])) == a["path"])
+    parent = lambda t: F.slice(t["path"], F.lit(1), F.size(t["path"]) - 1)
+    children = lambda t: F.filter(every, lambda c: parent(c) == t["path"])
+    upto = lambda i: F.slice(every, F.lit(1), i)
+    breaks = lambda i: F.size(F.filter(upto(i), lambda x: is_el(x, "lb")))
+    at = lambda t, name: F.coalesce(F.element_at(t["attrs"], name), F.lit(""))
+    has = lambda t, name: at(t, name) != ""
+
+    def rules(t: Column, i: Column) -> list[tuple[str, Column]]:
+        value, epithet = t["value"], is_el(t, "rs") & (at(t, "type") == "epithet")
+        said = F.try_element_at(F.filter(upto(i), lambda x: (x["kind"] == "text") | is_el(x, "lb")), F.lit(-1))
+        divine = is_el(t, "persName") & (at(t, "type") == "divine")
+        alone = epithet & ~F.exists(every, lambda a: is_el(a, "persName") & above(a, t))
+        beside = F.size(F.filter(every, lambda a: is_el(a, "persName") & (at(a, "type") == "divine") & (parent(a) == parent(t)) & (F.try_element_at(a["path"], F.lit(-1)) < F.try_element_at(t["path"], F.lit(-1)))))
+        of_epithet = lambda p: F.exists(every, lambda x: (x["kind"] == "text") & (F.trim(x["value"]) != "") & F.exists(children(p), lambda e: is_el(e, "rs") & (at(e, "type") == "epithet") & above(e, x)))
+        return [
+            ("leiden_residue", value.rlike(r"[\[\]{}]|- - -")),
+            ("attribute_in_text", value.rlike(r'[A-Za-z:_-]+\s*=\s*"[^"]*"')),
+            ("empty_attribute", F.exists(F.map_values(t["attrs"]), lambda v: v == "")),
+            ("unit_not_ascii", has(t, "unit") & at(t, "unit").rlike(r"[^\x00-\x7F]")),
+            ("unit_unknown", has(t, "unit") & ~at(t, "unit").isin("character", "line") & ~at(t, "unit").rlike(r"[^\x00-\x7F]")),
+            ("first_line_continues", is_el(t, "lb") & (at(t, "break") == "no") & (breaks(i) == 0)),
+            ("hyphen_before_line", is_el(t, "lb") & (i > 0) & (said["kind"] == "text") & said["value"].rlike(r"-\s*$")),
+            ("nymref_on_person", is_el(t, "persName") & has(t, "nymRef")),
+            ("nymref_on_epithet", epithet & has(t, "nymRef")),
+            ("key_on_epithet", epithet & has(t, "key")),
+            ("epithet_outside_person", alone & (beside < 2)),
+            ("epithet_after_coordinated", alone & (beside >= 2)),
+            ("divine_without_name", divine & ~F.exists(children(t), lambda c: is_el(c, "name")) & F.exists(children(t), lambda c: c["kind"] == "el")),
+            ("divine_without_key", divine & ~has(t, "key")),
+            ("epithet_in_key", is_el(t, "persName") & at(t, "type").isin("ruler", "emperor") & F.contains(F.lower(at(t, "key")), F.lit("theos")) & of_epithet(t)),
+            ("office_without_key", is_el(t, "rs") & (at(t, "type") == "office") & ~has(t, "key")),
+            ("gap_of_zero", is_el(t, "gap") & (at(t, "quantity") == "0")),
+            ("gap_without_extent", is_el(t, "gap") & ~has(t, "quantity") & ~has(t, "atLeast") & ~has(t, "extent")),
+        ]
+
+    def broken(t: Column, i: Column) -> Column:
+        line = F.greatest(breaks(i), F.lit(1))
+        return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.struct(line.alias("line"), F.lit(name).alias("rule"))) for name, rule in rules(t, i))))
+
+    listed = F.when(F.col(error).isNotNull(), F.array(F.struct(F.lit(0).alias("line"), F.lit("not_well_formed").alias("rule")))).otherwise(F.flatten(F.transform(every, broken)))
+    rows = found.select(key, F.explode(listed).alias("x")).select(key, "x.line", "x.rule")
+    errors = [name for name, hard in EDITION_RULES.items() if hard]
+    return rows.withColumn("severity", F.when(F.col("rule").isin(*errors), "error").otherwise("warning"))
+
+
 def searchable(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, ranges): an edition as running text, and where it is a supplement."""
     return docs.select(key, F.udf(linearise, LINEARISED, useArrow=True)(F.col(text)).alias("t")).select(key, "t.text", "t.ranges")

@@ -71,7 +71,7 @@ def variant_conflicts(values: DataFrame, value: str, key: Column) -> DataFrame:
 
 #: The indices that are looked through for spellings, and the axes of a co-occurrence: fixed values.
 REPORTS = ("divinita", "epiteti", "onomastica", "citta", "regione", "tipo", "materiale")
-AXES = ("divinita", "epiteti", "onomastica", "imperatori", "citta", "tipo", "materiale", "function", "trait")
+AXES = ("epiteti", "divinita", "onomastica", "imperatori", "materiale", "tipo", "regione", "function", "trait")
 
 
 def axis(name: str) -> Column:
@@ -87,7 +87,8 @@ def axis(name: str) -> Column:
 
 def variant_reports(records: DataFrame, fold, reports: tuple[str, ...] = REPORTS) -> DataFrame:
     """(report, key, n_variants, variants, n_uses) of every index, counted in one pass."""
-    each = F.explode(F.concat(*(F.transform(axis(r), lambda v, r=r: F.struct(F.lit(r).alias("report"), v.alias("value"))) for r in reports))).alias("x")
+    named = lambda r: F.transform(axis(r), lambda v: F.struct(F.lit(r).alias("report"), v.alias("value")))
+    each = F.explode(F.concat(*map(named, reports))).alias("x")
     counted = records.select(each).groupBy("x.report", "x.value").agg(F.count("*").alias("k"))
     each = counted.select("report", fold(F.col("value")).alias("key"), F.col("value").alias("variant"), "k").where(F.col("key") != "")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("down"), "variant")))
@@ -95,6 +96,17 @@ def variant_reports(records: DataFrame, fold, reports: tuple[str, ...] = REPORTS
     return grouped.where(F.col("n_variants") > 1)
 
 
+def conflicts(reports: DataFrame) -> DataFrame:
+    """(report, n), and their sum under a null report."""
+    return reports.rollup("report").agg(F.count("*").alias("n"))
+
+
+def distinct_epithets(records: DataFrame) -> DataFrame:
+    """(divinita, n): the distinct epithets of every deity, and of all under a null one."""
+    pairs = records.select(F.explode("divinitaEpiteti").alias("x")).select("x.divinita", F.explode("x.epiteti").alias("epiteto")).distinct()
+    return pairs.rollup("divinita").agg(F.countDistinct("epiteto").alias("n"))
+
+
 def missing(records: DataFrame, **rules: Column) -> DataFrame:
     """(rule, n, first_id): how many records each rule finds lacking; one pass, whatever the number of rules."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("hit")) for k, v in rules.items()))).alias("x")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 DEFAULT = (-400, 400)
 
@@ -33,20 +34,30 @@ def century_ticks(records: DataFrame, **names: str) -> DataFrame:
 
 
 def lanes(rows: DataFrame, group: str, *, key: str = "id", start: str = "low", end: str = "high") -> DataFrame:
-    """(group, key, lane): first-fit lanes from 0, in order of start, within each group.
+    """(group, key, lane): first-fit lanes from 0, in order of start and key, within each group.
 
-    The state of the fold is the end of every lane so far; a group is one
-    drawing's cluster, whose size its drawing bounds.
+    Rows stream by, sorted; only the ends of a group's lanes are held.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(key).alias("k"), F.col(end).alias("b"))))
-    empty = F.struct(F.array().cast("array<long>").alias("ends"), F.array().cast("array<struct<k:bigint,lane:int>>").alias("out"))
-
-    def step(acc, x):
-        free = F.array_position(F.transform(acc["ends"], lambda e: e < x["a"]), F.lit(True)).cast("int")
-        lane = F.when(free == 0, F.size(acc["ends"])).otherwise(free - 1)
-        grown = F.concat(acc["ends"], F.array(x["b"].cast("long")))
-        kept = F.transform(acc["ends"], lambda e, i: F.when(i == lane, x["b"].cast("long")).otherwise(e))
-        return F.struct(F.when(free == 0, grown).otherwise(kept).alias("ends"), F.concat(acc["out"], F.array(F.struct(x["k"].cast("long").alias("k"), lane.alias("lane")))).alias("out"))
-
-    packed = rows.groupBy(group).agg(items.alias("items")).select(group, F.explode(F.aggregate("items", empty, step, lambda acc: acc["out"])).alias("x"))
-    return packed.select(group, F.col("x.k").alias(key), F.col("x.lane").alias("lane"))
+    slim = rows.select(F.col(group), F.col(start).cast("long").alias("__a"), F.col(key).cast("long").alias(key), F.col(end).cast("long").alias("__b"))
+    dealt = slim.repartition(group).sortWithinPartitions(group, "__a", key, "__b")
+    return dealt.mapInArrow(_packed, StructType([slim.schema[group], StructField(key, LongType()), StructField("lane", IntegerType())]))
+
+
+def _packed(batches):
+    import pyarrow as pa
+
+    group, ends = object(), []
+    for batch in batches:
+        out = []
+        for g, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            if g != group:
+                group, ends = g, []
+            lane = next((i for i, e in enumerate(ends) if e < a), len(ends))
+            ends[lane : lane + 1] = [b]
+            out.append(lane)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int32())], [batch.schema.names[0], batch.schema.names[2], "lane"])
+
+
+def reach(packed: DataFrame, group: str) -> DataFrame:
+    """(group, lanes): how many lanes each drawing takes."""
+    return packed.groupBy(group).agg((F.max("lane") + 1).alias("lanes"))

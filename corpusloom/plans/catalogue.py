@@ -124,6 +124,14 @@ def lane_pack(spark: SparkSession, d: str) -> DataFrame:
     return timeline.lanes(rows.select("id", cluster.alias("cluster"), F.col("data_inizio").alias("low"), F.col("data_fine").alias("high")), "cluster")
 
 
+Q["lane_pack"] = f"""WITH RECURSIVE {RECORDS}, c AS (SELECT id, citta || '/' || materiale || '/' || CAST(CAST(floor(data_inizio / 60.0 + 0.5) * 60 AS BIGINT) AS VARCHAR) AS cluster, data_inizio AS low, data_fine AS high FROM records WHERE data_fine IS NOT NULL AND data_inizio <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY low, id, high) AS k FROM c),
+r AS (SELECT cluster, k, id, 0 AS lane, [high] AS ends FROM o WHERE k = 1
+  UNION ALL SELECT cluster, k, id, lane, CASE WHEN lane < len(ends) THEN list_transform(ends, lambda e, i: CASE WHEN i = lane + 1 THEN high ELSE e END) ELSE list_append(ends, high) END
+  FROM (SELECT o.cluster, o.k, o.id, o.high, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e < o.low), true) - 1, len(r.ends)) AS lane FROM r JOIN o ON o.cluster = r.cluster AND o.k = r.k + 1))
+SELECT cluster, id, CAST(lane AS INT) AS lane FROM r"""
+
+
 def site_rollup(spark: SparkSession, d: str) -> DataFrame:
     c = sites.with_places(table(spark, d, "customer").withColumnRenamed("c_nationkey", "uri"), places(spark, d).withColumnRenamed("n_nationkey", "uri"))
     return sites.rollup(c, "citta", F.col("c_acctbal") > 0, "c_mktsegment", "c_custkey")

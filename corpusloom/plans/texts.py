@@ -152,6 +152,42 @@ def tokenize_markup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "error", F.size("tokens").cast("long").alias("n_tokens"))
 
 
+#: Editions, each of which breaks the rules that the SQL names, or none.
+EDITIONS = [
+    '<ab><lb n="1"/>abc</ab>',
+    '<ab><lb n="1"/>a [bc]</ab>',
+    '<lb n="1"/>a <gap/> b',
+    '<lb n="1"/><gap quantity="0" unit="character"/>',
+    '<lb n="1"/><gap quantity="2" unit="characteρ"/>',
+    '<lb n="1"/><gap quantity="2" unit="letter"/>',
+    '<lb n="1" break="no"/>abc',
+    '<lb n="1"/>ab-<lb n="2"/>cd',
+    '<lb n="1"/><persName type="attested" nymRef="x">y</persName>',
+    '<lb n="1"/>a<lb n="2"/><rs type="epithet">b</rs>',
+    '<lb n="1"/><persName type="divine" key="A">a</persName> <persName type="divine" key="B">b</persName> <rs type="epithet">c</rs>',
+    '<lb n="1"/><persName type="divine">a</persName>',
+    '<lb n="1"/><persName type="divine" key="A"><rs type="epithet" key="k" nymRef="n">b</rs></persName>',
+    '<lb n="1"/><persName type="ruler" key="Some Theos"><name>E</name><rs type="epithet">theou</rs></persName>',
+    '<lb n="1"/><rs type="office">x</rs>',
+    '<lb n="1"/>a <hi rend="">b</hi>',
+    '<lb n="1"/>a<lb/> n="2"/>abc',
+    '<ab><lb n="1"/>abc</x></ab>',
+]
+
+
+def edition_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with one of the editions each."""
+    edition = F.element_at(F.array(*map(F.lit, EDITIONS)), (F.col("p_partkey") % len(EDITIONS) + 1).cast("int"))
+    found = markup.tokens(table(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition")
+    return markup.edition_issues(found, "p_partkey")
+
+
+Q["edition_issues"] = """SELECT p_partkey, line, rule, severity FROM part JOIN (VALUES (1, 1, 'leiden_residue', 'warning'), (2, 1, 'gap_without_extent', 'error'), (3, 1, 'gap_of_zero', 'error'), (4, 1, 'unit_not_ascii', 'error'), (5, 1, 'unit_unknown', 'error'),
+  (6, 1, 'first_line_continues', 'error'), (7, 1, 'hyphen_before_line', 'warning'), (8, 1, 'nymref_on_person', 'error'), (9, 2, 'epithet_outside_person', 'error'), (10, 1, 'epithet_after_coordinated', 'warning'), (11, 1, 'divine_without_key', 'warning'),
+  (12, 1, 'divine_without_name', 'warning'), (12, 1, 'nymref_on_epithet', 'error'), (12, 1, 'key_on_epithet', 'error'), (13, 1, 'epithet_in_key', 'warning'), (14, 1, 'office_without_key', 'warning'), (15, 1, 'empty_attribute', 'error'), (16, 2, 'attribute_in_text', 'error'), (17, 0, 'not_well_formed', 'error')
+) AS v(k, line, rule, severity) ON p_partkey % 18 = k"""
+
+
 def nesting_scan(spark: SparkSession, d: str) -> DataFrame:
     return markup.outside(markup.tags(table(spark, d, "pages"), "page_id", "html"), "page_id", "p", "article")
 
@@ -237,6 +273,6 @@ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM s GROUP BY user_id, k"""
 
 QUERIES = [
-    fold_text, strip_markup, content_hash, unescape_entities, entry_keys, highlight, search_or, search_and, search_prefix, search_fuzzy, marked_spans, match_in_span, tokenize_markup, nesting_scan,
+    fold_text, strip_markup, content_hash, unescape_entities, entry_keys, highlight, search_or, search_and, search_prefix, search_fuzzy, marked_spans, match_in_span, tokenize_markup, edition_issues, nesting_scan,
     tag_balance, markup_rules, line_diff, backup_concat, snapshot_files, sniff_format, record_extract, burst_sessions,
 ]

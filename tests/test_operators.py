@@ -193,3 +193,61 @@ def test_derived_from_an_edition(spark):
     found = {(r["index"], r.value) for r in derive.index_suggestions(tokens, "id").collect()}
     assert found == {("divinita", "Men"), ("onomastica", "Δίων Ζήνωνος"), ("onomastica", "Zenon"), ("imperatori", "R")}
     assert [tuple(r) for r in derive.edition_persons(tokens, "id").collect()] in ([(1, "a1", None)], [(1, "a1", "later")])
+
+
+def test_edition_trees():
+    assert markup.edition_tree("one\n two ") == [("lb", {"n": "1"}, [], True), "one", ("lb", {"n": "2"}, [], True), "two"]
+    assert markup.edition_tree("") == [("lb", {"n": "1"}, [], True)]
+    nodes = markup.edition_tree('<div><ab>\n <lb n="7" break="no"/> a \n b<lb/>c <w>d\n</w> </ab></div>')
+    assert markup.serialize(markup.renumbered(nodes)) == '<lb n="1"/>a b<lb n="2"/>c <w>d</w>'
+    assert markup.shown_text(markup.tree("<choice><sic>x</sic><corr>y</corr></choice><lb/><expan><abbr>a</abbr><ex>b</ex></expan><subst><del>p</del><add>q</add></subst>")) == "y aq"
+    assert markup.diff_lines("a\nb\nc\nd", "b\nx\nd\na") == (2, 2, 2) and markup.diff_lines(None, "") == (0, 0, 1)
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([(1, "T", "C", "R"), (2, "", "C", None), (3, None, "", "R"), (None, None, None, None)], "id long, titolo string, citta string, regione string")
+    rows = df.select(text.record_label(F.col("id"), "N"), text.place_name(), text.shown_title()).collect()
+    assert [tuple(r) for r in rows] == [("N 1", "C, R", "T"), ("N 2", "C", "C"), ("N 3", "R", "R"), ("N ?", "N/A", None)]
+    names = spark.createDataFrame([("XX-AB-012_nr3.xml",), ("other",)], "f string").select(text.draft_label(F.col("f"), "XX")).collect()
+    assert [r[0] for r in names] == ["AB 12", "other"]
+    figure = ("god", "men", [("held", "patera")])
+    ico = spark.createDataFrame([(("votive", [figure], "note"),), (None,)], "i struct<function:string,figures:array<struct<type:string,key:string,traits:array<struct<type:string,key:string>>>>,note:string>")
+    assert [r[0] for r in ico.select(text.iconography_text("i", {"men": "Mese", "god": "dio"})).collect()] == ["votive men Mese dio patera note", ""]
+    assert spark.range(1).select(text.translated(F.lit("men"), {"men": "mese"}), text.translated(F.lit("luna"), {})).collect()[0][:] == ("Mese", "Luna")
+
+
+def test_reports_axes_and_filters(spark):
+    rows = [(1, "Roma", "A", ["Zeus", "zeus"], ["X"], "a"), (2, "roma", "A", ["Zeus"], ["Y", "Y"], None), (3, "", "B", None, [], "b")]
+    df = spark.createDataFrame(rows, "id long, citta string, regione string, divinita array<string>, epiteti array<string>, function string")
+    found = {(r.report, r.key): (r.n_variants, r.variants, r.n_uses) for r in statistics.variant_reports(df, text.fold, ("divinita", "citta", "epiteti")).collect()}
+    assert found == {("divinita", "zeus"): (2, "Zeus|zeus", 3), ("citta", "roma"): (2, "Roma|roma", 2)}
+    assert {(r.report, r.n) for r in statistics.conflicts(statistics.variant_reports(df, text.fold, ("divinita", "citta"))).collect()} == {("divinita", 1), ("citta", 1), (None, 2)}
+    kept = catalogue.CatalogueQuery(regioni=("A", "C"), epiteti=("Y", "Z"), dates=None).apply(df)
+    assert [r.id for r in kept.collect()] == [2]
+    axes = [[list(r[0]) for r in df.select(statistics.axis(a)).collect()] for a in ("divinita", "citta", "epiteti")]
+    assert axes == [[["Zeus", "zeus"], ["Zeus"], []], [["Roma"], ["roma"], []], [["X"], ["Y"], []]]
+    chips = spark.createDataFrame([("alpha",), ("Beta alp",), ("gamma",)], "label string")
+    assert [r.label for r in catalogue.completions(chips, "label", "ALP", F.array(F.lit("alpha"))).collect()] == ["Beta alp"]
+    notes = spark.createDataFrame([("E", "open", "1", None), ("F", "resolved", "1", "2")], "e string, status string, created string, resolved string")
+    later = mutate.status_set(notes, "e", spark.createDataFrame([("E", "resolved", "9")], "e string, status string, at string"))
+    assert {tuple(r) for r in later.collect()} == {("E", "resolved", "1", "9"), ("F", "resolved", "1", "2")}
+    again = mutate.note_appended(notes, spark.createDataFrame([("F", "3")], "e string, created string"))
+    assert ("F", "open", "3", None) in {tuple(r) for r in again.collect()}
+    with pytest.raises(ValueError):
+        rules.within_batch(spark.range(501))
+
+
+def test_ledger_meets_one_record(spark):
+    entries = spark.createDataFrame([("a",), ("7",), ("z",)], "entryId string")
+    records_ = spark.createDataFrame([("a", 5), ("a", 3), ("b", 7), ("b2", 7)], "entryId string, id long")
+    assert {(r.entryId, r.record_id) for r in mutate.ledger_of_record(entries, records_).collect()} == {("a", 3), ("7", 7), ("z", None)}
+
+
+def test_loose_records(spark):
+    df = spark.createDataFrame([("<x><TEI\n a='1'>one</TEI></x>",), ("<TEI>a</TEI><TEI>b</TEI>",), ("<TEIx>y</TEI>",)], "xml string")
+    assert [r.tei for r in records.split_records(df).collect()] == ["<TEI\n a='1'>one</TEI>", "<TEI>a</TEI>", "<TEI>b</TEI>", "<TEIx>y</TEI>"]
+
+
+def test_line_breaks(spark):
+    df = markup_ops.tokens(spark.createDataFrame([(1, '<lb/><w>a<lb n="5" break="no"/></w>')], "id long, x string"), "id", "x")
+    assert [tuple(r) for r in markup_ops.line_breaks(df, "id").collect()] == [(1, 1, [0], False, True), (1, 2, [1, 1], True, False)]
