@@ -1,30 +1,88 @@
-"""Full-text search over fields of records: postings, expansion, lower-bounded BM25.
-
-Postings are one row per record, field and term.  A query's words are expanded
-over the distinct vocabulary (equal, with the word as prefix, or within an edit
-distance that grows with the word), then joined with the postings by term, so
-neither texts nor records meet in pairs.  Scores are BM25+ with field boosts; an
-expansion counts less the more it differs from the word.
+"""Full-text search over fields of records: kept postings, expansion, lower-bounded BM25.
+
+Postings are one row per record, field and term.  They are written once, sorted by
+term, beside the vocabulary and the fields' sizes; a query reads the vocabulary,
+and of the postings what its terms need (the scan skips row groups without them).
+A query's words are expanded over the vocabulary (equal, with the word as prefix,
+or within an edit distance that grows with the word), then joined with the postings
+by term, so neither texts nor records meet in pairs.  Scores are BM25+ with field
+boosts; an expansion counts less the more it differs from the word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold, strip_tags
+from corpusloom.functions.text import fold, iconography_text, strip_tags
 
 TERM = r"[\p{L}\p{N}]+"
 K1, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY = 0.375, 0.45, 0.2
+#: Up to so many terms of a query are pushed to the scan of the postings, more are joined.
+PUSHED = 500
 
 #: Field boosts of the catalogue's index: fixed values.
 FIELD_BOOST = {
-    "titolo": 3.0, "divinita": 2.5, "epiteti": 2.5, "citta": 1.5, "regione": 1.5, "testo": 1.0, "traduzione": 1.0, "note": 1.0,
-    "bibliografia": 0.5, "onomastica": 1.5, "tipo": 0.5, "materiale": 0.5, "iconografia": 1.0, "conserv": 0.5, "apparato": 1.0,
+    "testo_searchable": 3.0, "epiteti": 2.5, "divinita": 2.5, "onomastica": 1.5, "imperatori": 1.5, "citta": 1.0, "regione": 1.0, "tipo": 1.0, "materiale": 0.5, "titolo": 1.5,
+    "note_interne": 0.5, "apparatus": 0.5, "traduzioni": 1.0, "bibliografia": 0.5, "iconografia": 1.0,
 }
 
 
+def indexed_texts(records: DataFrame, labels: dict[str, str] | None = None, *, id: str = "id") -> DataFrame:  # noqa: A002
+    """The id and the fields of the catalogue's index as one text each; what a record lacks is empty."""
+    has, none = set(records.columns), F.lit("")
+
+    def said(field: str) -> Column:
+        if field == "apparatus":
+            notes = F.array_join(F.transform("apparatus_entries", lambda e: e["note"]), " ") if "apparatus_entries" in has else none
+            return strip_tags(F.concat_ws(" ", notes, F.col("apparatus_text") if "apparatus_text" in has else none), " ")
+        if field not in has:
+            return none
+        if field in ("epiteti", "divinita", "onomastica", "imperatori"):
+            return F.array_join(field, " ")
+        if field == "traduzioni":
+            return F.array_join(F.transform(field, lambda t: F.concat_ws(" ", t["testo"], t["note"])), " ")
+        if field == "bibliografia":
+            return F.array_join(F.transform(field, lambda t: t["titolo"]), " ")
+        if field == "iconografia":
+            return iconography_text(field, labels or {})
+        return strip_tags(F.col(field), " ") if field == "note_interne" else F.col(field)
+
+    return records.select(F.col(id).alias("id"), *(F.coalesce(said(f), none).alias(f) for f in FIELD_BOOST))
+
+
+class Index(NamedTuple):
+    """postings (id, field, boost, term, tf, size); terms (term); fields (field, mean, total: of all records that hold a term)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+
+
+def index_of(rows: DataFrame) -> Index:
+    """The parts of an index, of postings that aren't kept."""
+    total = rows.agg(F.countDistinct("id").alias("total"))
+    means = rows.select("id", "field", "size").distinct().groupBy("field").agg(F.avg("size").alias("mean"))
+    return Index(rows, rows.select("term").distinct(), means.join(F.broadcast(total)))  # one row
+
+
+def keep_index(rows: DataFrame, path: str) -> Index:
+    """Writes the postings, then what is derived from them; later sessions open the path."""
+    spark = rows.sparkSession
+    rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index = index_of(spark.read.parquet(f"{path}/postings"))
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.fields.write.mode("overwrite").parquet(f"{path}/fields")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "fields")))
+
+
 def postings(records: DataFrame, fields: dict[str, float], *, id: str = "id", marked: bool = False) -> DataFrame:  # noqa: A002
     """(id, field, boost, term, tf, size): size is the field's number of terms."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), fold(strip_tags(F.col(f), " ") if marked else F.col(f)).alias("text")) for f, b in fields.items()))).alias("x")
@@ -49,7 +107,7 @@ def expanded(vocabulary: DataFrame, words: list[str], *, prefix: bool, fuzzy: fl
     return vocabulary.select("term", F.explode(F.array(*cases)).alias("x")).select("x.word", "term", "x.weight").where(F.col("weight").isNotNull())
 
 
-def search(index: DataFrame, query: str, *, every: bool = False, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
+def search(index: Index, query: str, *, every: bool = False, prefix: bool = True, fuzzy: float = FUZZY) -> DataFrame:
     """(id, score, n_words): records that hold any, or every, word of the query."""
     import re
     import unicodedata
@@ -57,13 +115,13 @@ def search(index: DataFrame, query: str, *, every: bool = False, prefix: bool =
     plain = "".join(c for c in unicodedata.normalize("NFD", query) if not 0x300 <= ord(c) <= 0x36F).replace("ς", "σ").lower()
     words = sorted(set(re.findall(r"[^\W_]+", plain)))
     if not words:
-        return index.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words")).where(F.lit(False))
-    fields = index.select("id", "field", "size").distinct().groupBy("field").agg(F.avg("size").alias("mean"))
-    total = index.agg(F.countDistinct("id").alias("total"))
-    terms = expanded(index.select("term").distinct(), words, prefix=prefix, fuzzy=fuzzy)
-    found = index.join(terms, "term")
+        return index.postings.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words")).where(F.lit(False))
+    terms = expanded(index.terms, words, prefix=prefix, fuzzy=fuzzy)
+    few = [r.term for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
+    postings = index.postings.where(F.col("term").isin(few)) if len(few) <= PUSHED else index.postings
+    found = postings.join(terms, "term")
     frequency = found.select("id", "field", "term").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(frequency, ["field", "term"]).join(F.broadcast(fields), "field").join(F.broadcast(total))  # a row per field, and one row
+    scored = found.join(frequency, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row per field
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     out = scored.groupBy("id").agg(F.sum(F.col("boost") * F.col("weight") * idf * (DELTA + part)).alias("score"), F.countDistinct("word").alias("n_words"))
@@ -78,6 +136,14 @@ def vocabulary_lookup(rows: DataFrame, label: str, text: str, most: int = 40) ->
 
 
 def falls_in_span(found: str, spans: str, text: str):
-    """Whether a place where ``found`` occurs in text meets one of the spans [s, e)."""
-    hits = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.when(F.substr(F.col(text), i, F.length(F.col(found))) == F.col(found), i - 1))
-    return F.exists(F.array_compact(hits), lambda h: F.exists(F.col(spans), lambda s: (h < s["e"]) & (h + F.length(F.col(found)) > s["s"])))
+    """Whether a place where ``found`` occurs in text, overlapping ones too, meets one of the spans [s, e).
+
+    Only what a span and the places that reach into it cover is looked at.
+    """
+    size = F.length(F.col(found))
+
+    def inside(s: Column) -> Column:
+        first = F.greatest(s["s"] - size + 1, F.lit(0))  # 0-based; a place from here on reaches into the span
+        return (size > 0) & (s["e"] > s["s"]) & F.contains(F.substr(F.col(text), first + 1, s["e"] - first + size - 1), F.col(found))
+
+    return F.exists(F.col(spans), inside)

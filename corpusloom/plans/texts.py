@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,18 +72,34 @@ Q["highlight"] = r"SELECT doc_id, regexp_replace(text, '(?i)(the|tion)', '<mark>
 FIELDS = {"text": 1.0, "source": 0.5}
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(table(spark, d, "documents"), FIELDS, id="doc_id")
+#: Folders of the indexes kept by this session.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> search.Index:
+    """The documents' index: kept in the folder that the session names for such tables, once per session; else not kept."""
+    made = lambda: search.postings(table(spark, d, "documents"), FIELDS, id="doc_id")
+    folder, key = spark.conf.get("spark.checkpoint.dir", None), (spark.sparkContext.applicationId, d)
+    if not folder:
+        return search.index_of(made())
+    if key not in _KEPT:
+        path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+        search.keep_index(made(), path)
+        _KEPT[key] = path
+    return search.open_index(spark, _KEPT[key])
 
 
 def _found(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "n_words")
 
 
+_FIELDS_SQL = "SELECT doc_id AS id, 'text' AS field, 1.0 AS boost, lower(replace(strip_accents(text), 'ς', 'σ')) AS t FROM documents UNION ALL SELECT doc_id, 'source', 0.5, lower(source) FROM documents"
+
+
 def _search_sql(words: list[str], every: bool, weight: str) -> str:
     asked = " UNION ALL ".join(f"SELECT '{w}' AS word" for w in words)
     having = f"HAVING count(DISTINCT word) = {len(words)}" if every else ""
-    return rf"""WITH f AS (SELECT doc_id AS id, 'text' AS field, 1.0 AS boost, lower(replace(strip_accents(text), 'ς', 'σ')) AS t FROM documents UNION ALL SELECT doc_id, 'source', 0.5, lower(source) FROM documents),
+    return rf"""WITH f AS ({_FIELDS_SQL}),
 a AS (SELECT id, field, boost, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS terms FROM f),
 p AS (SELECT id, field, boost, len(terms) AS size, unnest(terms) AS term FROM a),
 i AS (SELECT id, field, boost, size, term, count(*) AS tf FROM p GROUP BY ALL),
@@ -126,6 +144,34 @@ def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 Q["search_fuzzy"] = _search_sql(["thention", "eauouon"], False, _FUZZY)
 
 
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a title, lists and nested fields, as the catalogue's index takes them."""
+    figure = F.struct(F.lit("god").alias("type"), F.lower("materiale").alias("key"), F.array(F.struct(F.lit("held").alias("type"), F.lit("patera").alias("key"))).alias("traits"))
+    return records(spark, d).select(
+        "id", "citta", "regione", "tipo", "materiale", F.concat_ws(" ", F.lit("Stele"), "citta").alias("titolo"), F.array("materiale", F.lit("Soter")).alias("epiteti"),
+        F.array(F.struct(F.col("tipo").alias("testo"), F.lit("to Building").alias("note"))).alias("traduzioni"), F.concat(F.lit("<b>Seen</b> in "), "regione").alias("note_interne"),
+        F.struct(F.lit("votive").alias("function"), F.array(figure).alias("figures"), F.lit(None).cast("string").alias("note")).alias("iconografia"),
+    )
+
+
+LABELS = {"votive": "votivo", "patera": "coppa", "god": "dio"}
+
+
+def search_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Over the fifteen fields with their boosts."""
+    texts = search.indexed_texts(_catalogue(spark, d), LABELS)
+    found = search.search(search.index_of(search.postings(texts, search.FIELD_BOOST)), "Building europe coppa", prefix=False, fuzzy=0)
+    return found.select("id", F.round("score", 4).alias("score"), "n_words")
+
+
+_TEXTS = {
+    "citta": (1.0, "citta"), "regione": (1.0, "regione"), "tipo": (1.0, "tipo"), "materiale": (0.5, "materiale"), "titolo": (1.5, "'Stele ' || citta"), "epiteti": (2.5, "materiale || ' Soter'"),
+    "traduzioni": (1.0, "tipo || ' to Building'"), "note_interne": (0.5, "'Seen in ' || regione"), "iconografia": (1.0, "'votive votivo ' || lower(materiale) || ' dio patera coppa'"),
+}
+_SOURCE = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {b} AS boost, lower({x}) AS t FROM records" for f, (b, x) in _TEXTS.items())
+Q["search_catalogue"] = _search_sql(["building", "coppa", "europe"], False, _EQUAL).replace("WITH f AS (" + _FIELDS_SQL + ")", f"WITH {RECORDS}, f AS ({_SOURCE})").replace("id AS doc_id", "id")
+
+
 def marked_spans(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", F.posexplode(markup.spans(F.col("html"), "a")).alias("nth", "span"))
     return rows.select("page_id", F.col("nth").cast("long").alias("nth"), text.strip_tags(F.col("span")).alias("span"))
@@ -136,7 +182,7 @@ SELECT page_id, nth, regexp_replace(span, '<[^>]+>', '', 'g') AS span FROM e"""
 
 
 def match_in_span(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a page's first link text also occurs within the first paragraph, taken as a span of the shown text."""
+    """Whether a page's first link text also occurs among the characters 100 to 300 of the shown text."""
     shown = table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("shown"), F.get(markup.spans(F.col("html"), "a"), F.lit(0)).alias("needle"))
     span = F.array(F.struct(F.lit(100).alias("s"), F.lit(300).alias("e")))
     rows = shown.where(F.length("needle") > 0).withColumn("ranges", span)
@@ -273,6 +319,6 @@ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM s GROUP BY user_id, k"""
 
 QUERIES = [
-    fold_text, strip_markup, content_hash, unescape_entities, entry_keys, highlight, search_or, search_and, search_prefix, search_fuzzy, marked_spans, match_in_span, tokenize_markup, edition_issues, nesting_scan,
+    fold_text, strip_markup, content_hash, unescape_entities, entry_keys, highlight, search_or, search_and, search_prefix, search_fuzzy, search_catalogue, marked_spans, match_in_span, tokenize_markup, edition_issues, nesting_scan,
     tag_balance, markup_rules, line_diff, backup_concat, snapshot_files, sniff_format, record_extract, burst_sessions,
 ]

@@ -156,12 +156,26 @@ def test_spans_and_search(spark):
     for needle, want in (("defg", True), ("abc", False), ("ghij", False), ("fghi", True)):
         assert row.withColumn("q", F.lit(needle)).select(search.falls_in_span("q", "r", "t")).collect()[0][0] is want
     docs = spark.createDataFrame([(1, "Ἄρτεμις καλή"), (2, "artemis temple"), (3, "temples, of stone")], "id long, titolo string")
-    index = search.postings(docs, {"titolo": 3.0})
+    index = search.index_of(search.postings(docs, {"titolo": 3.0}))
     ids = lambda q, **k: {r.id for r in search.search(index, q, **k).collect()}
     assert ids("αρτεμις") == {1} and ids("temple") == {2, 3} and ids("temple", prefix=False, fuzzy=0) == {2}
     assert ids("artemis temple", every=True) == {2} and ids("artemiz stone", prefix=False) == {2, 3} and ids("  ") == set()
 
 
+def test_kept_index_and_fields(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, titolo string")
+    kept = search.keep_index(search.postings(docs, {"titolo": 3.0}), str(tmp_path / "index"))
+    again = search.open_index(spark, str(tmp_path / "index"))
+    for query in ("word7 common", "word"):
+        want = {tuple(r) for r in search.search(search.index_of(search.postings(docs, {"titolo": 3.0})), query).collect()}
+        assert {tuple(r) for r in search.search(again, query).collect()} == want == {tuple(r) for r in search.search(kept, query).collect()}
+    read = records.with_searchable(records.extract(records.split_records(spark.createDataFrame([(TEI,)], "xml string"))))
+    row = search.indexed_texts(read, {"votive": "votivo"}).collect()[0]
+    assert list(row.asDict()) == ["id", *search.FIELD_BOOST] and len(search.FIELD_BOOST) == 15
+    assert (row.apparatus, row.traduzioni, row.bibliografia) == ("n1 l | r1 | r2", "uno\ndue   ", "Smith 1990 p. 4 Jones")
+    assert row.iconografia == "votive votivo men crescent sickle" and row.divinita == "Aaa Bbb Gg Zeus"
+
+
 def test_sources(spark, tmp_path):
     for name, body in (("a.xml", TEI), ("_b.xml", TEI), ("c.xml", "<bad"), ("d.txt", "x")):
         (tmp_path / name).write_text(body)
