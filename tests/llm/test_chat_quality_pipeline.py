@@ -93,3 +93,24 @@ def test_pipeline(spark):
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id: r.decoded for r in out.collect()} == kept
     assert 0.5 * n < len(kept) < n
+
+
+def test_pipeline_on_hard_texts(spark, docs, no_docs, tmp_path):
+    """Nulls, empty and very long texts, copies, repeated rows, clashing columns; and an empty table."""
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, table in (("some", docs), ("none", no_docs)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == table.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        texts = {r.doc_id: r.text for r in kept.collect()}
+        assert {r.doc_id: r.decoded for r in out.collect()} == texts
+        assert len(texts) == kept.count()
+        if name == "none":
+            assert not texts
+        else:
+            assert None not in texts.values() and "" not in texts.values()
+            before = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+            long = max((t for t in before.values() if t), key=len)
+            assert any(t == long for t in texts.values())  # a long text that repeats nothing stays whole
