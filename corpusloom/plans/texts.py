@@ -73,22 +73,25 @@ FIELDS = {"text": 1.0, "source": 0.5}
 
 
 #: Folders of the indexes kept by this session.
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], str] = {}
 
 
-def _index(spark: SparkSession, d: str) -> search.Index:
-    """The documents' index: kept in the folder that the session names for such tables, once per session; else not kept."""
-    made = lambda: search.postings(table(spark, d, "documents"), FIELDS, id="doc_id")
-    folder, key = spark.conf.get("spark.checkpoint.dir", None), (spark.sparkContext.applicationId, d)
+def _kept_index(spark: SparkSession, d: str, name: str, rows: DataFrame) -> search.Index:
+    """An index kept in the folder that the session names for such tables, once per session; else not kept."""
+    folder, key = spark.conf.get("spark.checkpoint.dir", None), (spark.sparkContext.applicationId, d, name)
     if not folder:
-        return search.index_of(made())
+        return search.index_of(rows)
     if key not in _KEPT:
         path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
-        search.keep_index(made(), path)
+        search.keep_index(rows, path)
         _KEPT[key] = path
     return search.open_index(spark, _KEPT[key])
 
 
+def _index(spark: SparkSession, d: str) -> search.Index:
+    return _kept_index(spark, d, "documents", search.postings(table(spark, d, "documents"), FIELDS, id="doc_id"))
+
+
 def _found(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "n_words")
 
@@ -160,7 +163,7 @@ LABELS = {"votive": "votivo", "patera": "coppa", "god": "dio"}
 def search_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Over the fifteen fields with their boosts."""
     texts = search.indexed_texts(_catalogue(spark, d), LABELS)
-    found = search.search(search.index_of(search.postings(texts, search.FIELD_BOOST)), "Building europe coppa", prefix=False, fuzzy=0)
+    found = search.search(_kept_index(spark, d, "catalogue", search.postings(texts, search.FIELD_BOOST)), "Building europe coppa", prefix=False, fuzzy=0)
     return found.select("id", F.round("score", 4).alias("score"), "n_words")
 
 
