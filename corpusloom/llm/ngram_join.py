@@ -289,12 +289,14 @@ def text_join(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, fp (hash of the text), n_shingles, component_id."""
-    out = labelled(docs, doc_id=doc_id, text=text, block=block)
-    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    scratch = Scratch(docs.sparkSession, "similar")
+    found = labelled(docs, doc_id=doc_id, text=text, block=block)
+    least = scratch.table(found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+    return found.join(least, "label", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, fp, n, label of its component (null: an empty set), least id of the component."""
+    """One row per row of docs: doc_id, fp, n, label of its component (null: an empty set)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fp"), F.col(text).alias("text"))
@@ -303,9 +305,9 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) ->
     edges = scratch.table(candidate_edges(prefixes(sets, scratch), scratch), "candidates")
     scratch.drop("shared", "posts", "leads")
     groups = connected_components(edges, scratch, "groups")
-    # One text stands for each node.
-    rows = sets.where(F.col("node").isNotNull()).join(groups, "node")
-    nodes = scratch.table(rows.groupBy("node", "component", "n").agg(F.min(F.struct("doc_id", "fp")).alias("r")).select("node", "component", "n", "r.doc_id", "r.fp"), "nodes")
+    # One text stands for each node; a large group of copies is one row before anything is joined.
+    rows = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "fp", "n")).alias("r")).join(groups, "node")
+    nodes = scratch.table(rows.select("node", "component", "r.n", "r.doc_id", "r.fp"), "nodes")
     nodes = nodes.withColumn("band", band(F.col("n")))
     parts = nodes.groupBy("component", "band").agg(F.sum("n").alias("n"))
     parts = parts.groupBy("component").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / block).alias("parts")))).alias("parts"))  # a few bands
@@ -330,11 +332,9 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, block: int = BLOCK) ->
     else:
         labels = found.select("node", F.col("lead").alias("label"))
     slim = sets.select("doc_id", "fp", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    slim = scratch.table(slim, "labels")
-    least = scratch.table(slim.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    out = slim.join(least, "label", "left")
+    slim = scratch.table(slim.select("doc_id", "fp", "n", "label"), "labels")
     scratch.drop("candidates", "wanted", "nodes", "sets", "sizes", "large")
-    return out.select("doc_id", "fp", "n", "label", "least")
+    return slim
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
