@@ -310,7 +310,7 @@ def extract(records: DataFrame, *, keep: tuple[str, ...] = (), aliases: dict[str
         "dim_larghezza",
         "dim_profondita",
         "dim_unita",
-        F.coalesce(filled(F.col("support")), F.trim(F.concat_ws(" ", F.concat_ws(" x ", "dim_altezza", "dim_larghezza", "dim_profondita"), "dim_unita"))).alias("dim"),
+        F.coalesce(filled(F.col("support")), composed_dimensions()).alias("dim"),
         resolved(first(r"<layoutDesc>.*?<layout[^>]*>.*?<p>(.*?)</p>")).alias("layout_desc"),
         unescape_xml(first(r"<layoutDesc>.*?<layout[^>]*>.*?<rs[^>]*>(.*?)</rs>")).alias("scrittura"),
         F.regexp_extract(first(r"<layoutDesc>.*?<layout[^>]*>.*?<rs([^>]*)>"), 'ref="([^"]*)"', 1).alias("scrittura_ref"),
@@ -373,23 +373,135 @@ def render_iconography(ico: Column) -> Column:
     return F.when(some, F.concat(F.lit("<xenoData><iconography>"), body, F.lit("</iconography></xenoData>")))
 
 
+def _attribute(name: str, value: Column) -> Column:
+    """`` name="value"``, or nothing where the value is null."""
+    return F.coalesce(F.concat(F.lit(f' {name}="'), value, F.lit('"')), F.lit(""))
+
+
+def _joined(items: Column, one) -> Column:
+    """one(item) of every item of a list, one after another; nothing for a null list."""
+    return F.coalesce(F.array_join(F.transform(items, one), ""), F.lit(""))
+
+
+def _wrapped(name: str, *inner: Column | str, attrs: Column | str = "") -> Column:
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.concat(F.lit(f"<{name}"), lit(attrs), F.lit(">"), *map(lit, inner), F.lit(f"</{name}>"))
+
+
+def _terms(scheme: str, items: Column) -> Column:
+    return _wrapped("keywords", _joined(items, lambda t: _wrapped("term", escape_xml(t))), attrs=f' scheme="{scheme}"')
+
+
+def _deity_terms(pairs: Column) -> Column:
+    """Curated terms that say the pairs again; a name of several words can't take its epithets along."""
+    bare = lambda p: (F.size(p["epiteti"]) == 0) | F.contains(p["divinita"], F.lit(" "))
+    return F.transform(pairs, lambda p: F.when(bare(p), p["divinita"]).otherwise(F.concat_ws(" ", p["divinita"], F.array_join(p["epiteti"], " "))))
+
+
+def _written_kinds(has: set[str]) -> Column:
+    """The kinds of text; that there is an inscription is said by the kind that says nothing else."""
+    listed = F.coalesce("textTypes", F.array().cast("array<string>")) if "textTypes" in has else F.array().cast("array<string>")
+    if "iscrizione" not in has:
+        return listed
+    return F.when(F.coalesce("iscrizione", F.lit(False)) & ~mentions(listed, WRITTEN), F.concat(listed, F.array(F.lit(GENERIC)))).otherwise(listed)
+
+
+def _written_date(d: Column) -> Column:
+    names = {"datingMethod": "datingMethod", "notBefore-custom": "notBeforeCustom", "notAfter-custom": "notAfterCustom", "precision": "precision", "evidence": "evidence"}
+    attrs = F.concat(*(_attribute(name, escape_xml(d[field])) for name, field in names.items()))
+    return F.concat(F.lit("; "), F.coalesce(d["prefix"], F.lit("")), F.lit(" "), _wrapped("origDate", escape_xml(F.coalesce(d["testo"], F.lit(""))), attrs=attrs))
+
+
+def _written_person(p: Column) -> Column:
+    ethnic = p["ethnicRef"].isNotNull() | p["ethnicNymRef"].isNotNull() | p["ethnicText"].isNotNull()
+    name = _wrapped("name", escape_xml(F.coalesce(p["name"], F.lit(""))), attrs=_attribute("nymRef", escape_xml(p["nymRef"])))
+    place = F.concat(F.lit(' type="ethnic"'), _attribute("ref", p["ethnicRef"]), _attribute("nymRef", escape_xml(p["ethnicNymRef"])))
+    return _wrapped(
+        "person",
+        _wrapped("persName", name, attrs=_attribute("key", escape_xml(p["key"]))),
+        F.when(ethnic, _wrapped("placeName", escape_xml(F.coalesce(p["ethnicText"], F.lit(""))), attrs=place)).otherwise(""),
+        F.coalesce(_wrapped("note", escape_xml(p["note"])), F.lit("")),
+        attrs=_attribute("xml:id", escape_xml(p["xmlId"])),
+    )
+
+
+def _written_translation(t: Column) -> Column:
+    """A paragraph a line; what is empty is said by the placeholder."""
+    lines = _joined(F.split(t["testo"], "\n"), lambda x: _wrapped("p", escape_xml(x)))
+    text = F.when(F.coalesce(t["testo"], F.lit("")) == "", F.lit("<p>DA_COMPILARE</p>")).otherwise(lines)
+    note = F.when(F.coalesce(t["note"], F.lit("")) != "", _wrapped("note", escape_xml(t["note"]))).otherwise("")
+    return _wrapped("div", text, note, attrs=F.concat(F.lit(' type="translation"'), _attribute("xml:lang", escape_xml(t["lang"]))))
+
+
+def _written_bibliography(entries: Column) -> Column:
+    """Entries as they were read; prose that holds entries of its own is one paragraph again."""
+    return _joined(entries, lambda b: F.when(F.contains(b["rawXml"], F.lit("<bibl>")), _wrapped("p", b["rawXml"])).otherwise(_wrapped("bibl", b["rawXml"])))
+
+
+def composed_dimensions() -> Column:
+    return F.trim(F.concat_ws(" ", F.concat_ws(" x ", "dim_altezza", "dim_larghezza", "dim_profondita"), "dim_unita"))
+
+
 def to_xml(records: DataFrame) -> DataFrame:
-    """(id, tei): the main fields that extract reads, as one XML record each; of the lists those that records has."""
+    """(id, tei): the fields that extract reads and records has, as one XML record each.
+
+    What is read as it stands (references, bibliography, prefixes of dates, the edition) is written so, everything
+    else is escaped.  Lost are which paragraphs and inline tags prose had, and epithets that only a curated term
+    gives to a deity whose name has several words.
+    """
     has = set(records.columns)
-    text = lambda c: escape_xml(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    tag = lambda name, c, attrs="": F.concat(F.lit(f"<{name}{attrs}>"), text(c), F.lit(f"</{name}>"))
-    terms = lambda scheme: F.concat(F.lit(f'<keywords scheme="{scheme}">'), F.array_join(F.transform(scheme, lambda t: F.concat(F.lit("<term>"), escape_xml(t), F.lit("</term>"))), ""), F.lit("</keywords>"))
-    year = lambda a, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {a}-custom="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    no = F.lit("")
+    said = lambda c: escape_xml(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in has else no
+    ref = lambda c: _attribute("ref", F.nullif(c, F.lit(""))) if c in has else no
+    tag = lambda name, c, attrs="": _wrapped(name, said(c), attrs=attrs) if c in has else no
+    each = lambda c, one: _joined(F.col(c), one) if c in has else no
+    within = lambda name, *inner, attrs="", of=(): _wrapped(name, *inner, attrs=attrs) if has.intersection(of) else no
+    prose = lambda c: _wrapped("p", said(c))
+    placed = lambda kind, c, to: _wrapped("placeName", said(c), attrs=F.concat(F.lit(f' type="{kind}"'), ref(to))) if c in has else no
+    change = lambda r: _wrapped("change", escape_xml(F.coalesce(r["note"], F.lit(""))), attrs=F.concat(_attribute("when", escape_xml(r["date"])), _attribute("who", escape_xml(r["who"]))))
+    number = lambda kind, c: _wrapped("idno", said(c), attrs=F.concat(F.lit(f' type="{kind}"'), ref(f"{c}Link"))) if c in has else no
+    unit = _attribute("unit", said("dim_unita")) if "dim_unita" in has else no
+    measured = all(c in has for c in ("dim_altezza", "dim_larghezza", "dim_profondita", "dim_unita"))
+    support = no
+    if "dim" in has:
+        support = _wrapped("supportDesc", _wrapped("support", prose("dim")))
+        support = F.when(F.coalesce(F.col("dim") == composed_dimensions(), F.lit(False)), no).otherwise(support) if measured else support
+    if "origDates" in has:
+        dated = _joined(F.col("origDates"), _written_date)
+    else:
+        year = lambda a, c: _attribute(f"{a}-custom", F.col(c).cast("string")) if c in has else no
+        dated = _wrapped("origDate", attrs=F.concat(year("notBefore", "data_inizio"), year("notAfter", "data_fine")))
+    deities_said = _deity_terms(F.col("divinitaEpiteti")) if "divinitaEpiteti" in has else F.col("divinita") if "divinita" in has else None
+    app = lambda e: _wrapped("app", _wrapped("note", escape_xml(e["note"])), attrs=_attribute("loc", escape_xml(e["loc"])))
+    open_end = F.size(F.regexp_extract_all(F.col("testo"), F.lit(r"(<div\b)"), F.lit(1))) < F.size(F.regexp_extract_all(F.col("testo"), F.lit("(</div>)"), F.lit(1))) if "testo" in has else F.lit(False)
     parts = [
-        F.lit("<TEI><titleStmt>"), tag("title", "titolo"), F.lit("</titleStmt>"), tag("idno", "id", ' type="id"'), tag("idno", "entryId", ' type="entryId"'), tag("material", "materiale"), tag("objectType", "tipo"),
-        F.lit("<origin><origPlace>"), tag("placeName", "citta", ' type="ancient"'), tag("placeName", "regione", ' type="region"'), F.lit("</origPlace><origDate"), year("notBefore", "data_inizio"), year("notAfter", "data_fine"), F.lit("></origDate></origin>"),
+        F.lit("<TEI>"), within("titleStmt", tag("title", "titolo"), of=("titolo",)), tag("authority", "authority"),
+        tag("idno", "id", ' type="id"'), tag("idno", "entryId", ' type="entryId"'), number("TM", "tm"), each("phi", lambda x: _wrapped("idno", escape_xml(x), attrs=' type="PHI"')),
+        within("msIdentifier", tag("repository", "luogo_cons"), each("msIdnos", lambda x: _wrapped("idno", escape_xml(x))), of=("luogo_cons", "msIdnos")),
+        _wrapped("material", said("materiale"), attrs=ref("materialRef")), _wrapped("objectType", said("tipo"), attrs=ref("tipo_ref")), support,
+        within("dimensions", *(_wrapped(name, said(c), attrs=unit) for name, c in (("height", "dim_altezza"), ("width", "dim_larghezza"), ("depth", "dim_profondita"))), of=("dim_altezza", "dim_larghezza", "dim_profondita", "dim_unita")),
+        within("layoutDesc", _wrapped("layout", _wrapped("rs", said("scrittura"), attrs=F.concat(F.lit(' type="execution"'), ref("scrittura_ref"))), prose("layout_desc")), of=("scrittura", "layout_desc")),
+        within("handDesc", _wrapped("handNote", prose("scrittura_note")), of=("scrittura_note",)),
+        _wrapped("origin", _wrapped("origPlace", said("origPlace_nota"), placed("ancient", "citta", "place_ref_ancient"), placed("modern", "luogo_moderno", "place_ref_modern"), tag("placeName", "regione", ' type="region"')), dated),
+        within("provenance", prose("luogo_rit"), attrs=' type="found"', of=("luogo_rit",)), within("provenance", prose("conserv"), attrs=' type="observed"', of=("conserv",)),
+        _joined(_written_kinds(has), lambda t: _wrapped("rs", escape_xml(t), attrs=' type="textType"')),
+        within("graphic", tag("desc", "facsimile_desc"), attrs=_attribute("url", said("facsimile_url")), of=("facsimile_url", "facsimile_desc")),
+        within("revisionDesc", each("revisions", change), of=("revisions",)), within("listPerson", each("persone", _written_person), of=("persone",)),
     ]
-    parts += [terms(c) for c in ("epiteti", "divinita", "onomastica") if c in has]
+    parts += [_terms(c, F.col(c)) for c in ("epiteti", "onomastica") if c in has]
+    if deities_said is not None:
+        parts.append(_terms("divinita", deities_said))
     if "iconografia" in has:
-        parts.append(F.coalesce(render_iconography(F.col("iconografia")), F.lit("")))
+        parts.append(F.coalesce(render_iconography(F.col("iconografia")), no))
     if "testo" in has:
-        parts += [F.lit('<body><div type="edition">'), F.coalesce("testo", F.lit("")), F.lit("</div></body>")]
-    return records.select("id", F.concat(*parts, F.lit("</TEI>")).alias("tei"))
+        parts += [F.lit('<body><div type="edition">'), F.coalesce("testo", no), F.when(open_end, no).otherwise("</div>")]
+    else:
+        parts.append(F.lit("<body>"))
+    parts += [
+        within("div", each("apparatus_entries", app), _wrapped("p", said("apparatus_text")), attrs=' type="apparatus"', of=("apparatus_entries", "apparatus_text")), each("traduzioni", _written_translation),
+        within("div", prose("note_interne"), attrs=' type="commentary"', of=("note_interne",)), within("div", _written_bibliography(F.col("bibliografia")) if "bibliografia" in has else no, attrs=' type="bibliography"', of=("bibliografia",)),
+    ]
+    return records.select("id", F.concat(*parts, F.lit("</body></TEI>")).alias("tei"))
 
 
 def differs_in_writing(records: DataFrame) -> DataFrame:
