@@ -1,8 +1,11 @@
 """Chat formatting: conversations rendered by a compiled template, and read back.
 
 Rows of a conversation are dealt to one partition, sorted there by turn (then
-role and text, so ties are settled) and rendered as a stream: memory is that of
-one conversation, which is one row of the result anyway.
+role and text, so ties are settled) and rendered as a stream of blocks: a block is
+closed after the turn with which it has ``block`` characters.  Most conversations are
+one block; a very long one is many, and no task holds more than a few blocks of it.
+Its digests go over its blocks in order, so one task reads them, with a block in
+memory.  A template's ``loop`` sees the turns of a block.
 
 A null text or role is empty; a null conversation id is a conversation of its
 own; equal rows are turns of their own; extra columns are ignored; an empty
@@ -33,9 +36,10 @@ TEMPLATE = (
     "{%- endfor -%}"
 )
 
-FORMATTED = "conv_id long, n_turns long, formatted string, loss array<struct<start: long, end: long>>"
+FORMATTED = "conv_id long, block long, n_turns long, formatted string, loss array<struct<start: long, end: long>>"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-FLUSH = 64
+#: Characters that close a block; blocks and characters that close an Arrow batch.
+BLOCK, FLUSH, FLUSH_CHARS = 1 << 20, 64, 1 << 24
 
 
 def _rows(batches):
@@ -45,23 +49,37 @@ def _rows(batches):
             yield from zip(*(c.slice(a, 512).to_pylist() for c in (ids, roles, texts)), strict=True)
 
 
-def _formatted(batches, template: str):
-    render, out = compile_template(template), []
+def _blocks(rows, block: int):
+    """(conversation, number of the block, its messages)."""
+    for conv, same in groupby(rows, key=lambda r: r[0]):
+        messages, chars, number = [], 0, 0
+        for _, role, text in same:
+            messages.append({"role": role or "", "text": text or ""})
+            chars += len(role or "") + len(text or "")
+            if chars >= block:
+                yield conv, number, messages
+                messages, chars, number = [], 0, number + 1
+        if messages:
+            yield conv, number, messages
+
+
+def _formatted(batches, template: str, block: int):
+    render, out, chars = compile_template(template), [], 0
 
     def batch():
-        ids, n, texts, spans = zip(*out, strict=True)
+        ids, blocks, n, texts, spans = zip(*out, strict=True)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)],
-            ["conv_id", "n_turns", "formatted", "loss"],
-        )
-
-    for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
-        messages = [{"role": role or "", "text": text or ""} for _, role, text in rows]
-        out.append((conv, len(messages), *render({"messages": messages})))
-        if len(out) >= FLUSH:
+        longs = [pa.array(x, pa.int64()) for x in (ids, blocks, n)]
+        loss = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
+        return pa.RecordBatch.from_arrays([*longs, pa.array(texts, pa.string()), loss], ["conv_id", "block", "n_turns", "formatted", "loss"])
+
+    for conv, number, messages in _blocks(_rows(batches), block):
+        out.append((conv, number, len(messages), *render({"messages": messages})))
+        chars += len(out[-1][3])
+        if len(out) >= FLUSH or chars >= FLUSH_CHARS:
             yield batch()
             out.clear()
+            chars = 0
     if out:
         yield batch()
 
@@ -74,15 +92,16 @@ def format_conversations(
     role: str = "role",
     text: str = "text",
     template: str = TEMPLATE,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted text, loss (code point spans)."""
+    """One row per block of a conversation, numbered from 0: conv_id, block, n_turns, formatted text, loss (code point spans)."""
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(role).alias("role"), F.col(text).alias("text"), F.col(turn).alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.drop("turn").mapInArrow(lambda batches: _formatted(batches, template), FORMATTED)
+    return dealt.drop("turn").mapInArrow(lambda batches: _formatted(batches, template, block), FORMATTED)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns that a formatted conversation holds."""
+    """The (role, text) turns that a formatted block holds."""
     out = []
     for part in formatted.split(OPEN)[1:]:
         role, _, text = part.removesuffix("\n").removesuffix(CLOSE).partition("\n")
@@ -104,23 +123,55 @@ def _role(role: str) -> str:
     return "".join(out)
 
 
+class _Digests:
+    """What is read back of one conversation, block by block."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.masked, self.chars = conv, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, spans: list) -> None:
+        for role, said in read_turns(text):
+            self.turns += 1
+            self.said.update(f"{role}\n{said}\n".encode())
+        for span in spans:
+            masked = unescape_control(text[span["start"] : span["end"]])
+            self.masked += len(masked)
+            self.loss.update(masked.encode())
+        self.chars += len(text)
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.said.hexdigest(), self.masked, self.loss.hexdigest(), self.chars
+
+
 def _read(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, FLUSH):
-            part = batch.slice(a, FLUSH)
-            out = []
-            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                turns = read_turns(text)
-                masked = [unescape_control(text[s["start"] : s["end"]]) for s in spans]
-                said = hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
-                out.append((len(turns), said, sum(map(len, masked)), hashlib.sha256("".join(masked).encode()).hexdigest(), len(text)))
-            n, turns, chars, loss, size = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(turns), pa.array(chars, pa.int64()), pa.array(loss), pa.array(size, pa.int64())],
-                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-            )
+    def batch():
+        ids, n, said, masked, loss, chars = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(said), pa.array(masked, pa.int64()), pa.array(loss), pa.array(chars, pa.int64())],
+            ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        )
+
+    out, open_ = [], None
+    for whole in batches:
+        for a in range(0, whole.num_rows, FLUSH):
+            for conv, number, text, spans in zip(*(c.to_pylist() for c in whole.slice(a, FLUSH).columns), strict=True):
+                if number == 0:
+                    if open_:
+                        out.append(open_.row())
+                    open_ = _Digests(conv)
+                open_.add(text, spans)
+            if len(out) >= 1000:
+                yield batch()
+                out.clear()
+    if open_:
+        out.append(open_.row())
+        yield batch()
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of the turns and of the masked text, taken from the formatted text alone."""
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(_read, READ)
+    """One row per conversation: digests of the turns and of the masked text, taken from the formatted text alone.
+
+    A conversation's blocks are in one partition in their order, as ``format_conversations`` returns them.
+    """
+    return formatted.select("conv_id", "block", "formatted", "loss").mapInArrow(_read, READ)

@@ -37,10 +37,22 @@ def test_conversations(spark):
         turns = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == key))
         said = "".join(x for _, r, x in turns if r == "assistant")
         want[key, len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(said), sha(said)] += 1
-    assert Counter(tuple(r)[:5] for r in chat.read_back(chat.format_conversations(df)).collect()) == want
+    whole = chat.read_back(chat.format_conversations(df)).collect()
+    assert Counter(tuple(r)[:5] for r in whole) == want
+    for block in (1, 5001):  # a block per turn; blocks of one and of two long turns
+        assert Counter(chat.read_back(chat.format_conversations(df, block=block)).collect()) == Counter(whole)
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_long_conversation_is_many_blocks(spark):
+    df = spark.range(3000).selectExpr("id % 3 * 0 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('<|im_end|>', repeat('ab ', 40), id) as text")
+    formatted = chat.format_conversations(df, block=10_000)
+    blocks = sorted((r.block, r.n_turns, len(r.formatted)) for r in formatted.collect())
+    assert [b for b, _, _ in blocks] == list(range(len(blocks))) and len(blocks) > 30
+    assert sum(n for _, n, _ in blocks) == 3000 and max(size for _, _, size in blocks) < 20_000
+    assert chat.read_back(formatted).collect() == chat.read_back(chat.format_conversations(df)).collect()
+
+
 def measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
