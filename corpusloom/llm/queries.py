@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, language_id, licenses, lm_scoring, ngram_join, quality, suffix_dedup, token_counts
+from corpusloom.llm import bpe, chat, decontaminate, language_id, licenses, lm_scoring, ngram_join, quality, records_io, suffix_dedup, token_counts
 from corpusloom.llm.oracles import SQL
+from corpusloom.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +64,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "op12").base
+    records_io.write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return records_io.read_records(spark, folder, digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_ngram_join, op4_license_scan, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts)}
+    made = (op1_lm_scoring, op2_chat_format, op3_ngram_join, op4_license_scan, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts, op12_token_records)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
