@@ -60,4 +60,40 @@ v AS (SELECT doc_id, bool_or(bin > coalesce(f0.fence, f1.fence, f2.fence)) AS be
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM b JOIN v USING (doc_id)"""
 
-SQL = {"op2_chat_format": OP2, "op3_ngram_join": OP3, "op5_decontaminate": OP5, "op7_quality_rules": OP7}
+OP11 = f"""WITH d AS ({_words("documents", "doc_id", ALNUM)}), i AS ({_words("benchmark", "item_id", ALNUM)}),
+c AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(w) AS term FROM i),
+g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY 1),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN g USING (term) JOIN f USING (term), c GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+OP13 = r"""WITH RECURSIVE
+b AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+y AS (SELECT conv_id, turn, role, text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(substr(key, j, 1)) AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS z FROM y, b),
+d AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+  unnest(range(CASE z WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid FROM d),
+p AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+e (edit, st, initial, nx, role, price) AS (VALUES ('D', 0, NULL, 0, NULL, 2), ('D', 1, NULL, 1, NULL, 2), ('D', 2, NULL, 2, NULL, 2), ('D', 3, NULL, 3, NULL, 2), ('K', 0, 's', 1, NULL, 0), ('K', 0, 'u', 2, NULL, 0), ('K', 1, 'u', 2, NULL, 0),
+  ('K', 3, 'u', 2, NULL, 0), ('K', 2, 'a', 3, NULL, 0), ('R', 0, NULL, 2, 'user', 1), ('R', 1, NULL, 2, 'user', 1), ('R', 3, NULL, 2, 'user', 1), ('R', 2, NULL, 3, 'assistant', 1)),
+n (st, nx, more, said) AS (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+  (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, st, cost, audit, said FROM (
+    SELECT r.conv_id, p.i, e.nx AS st, r.cost + 5 * length(n.more) + e.price + CASE WHEN p.fault = 'truncated' AND e.edit <> 'D' THEN 5 ELSE 0 END AS cost, r.audit || n.more || e.edit AS audit,
+      list_concat(list_concat(r.said, n.said), CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [p.role || ':' || p.text] ELSE [e.role || ':' || p.text] END) AS said
+    FROM r JOIN n ON n.st = r.st JOIN e ON e.st = n.nx JOIN p ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.i = r.i + 1
+    WHERE e.edit = 'D' OR p.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.initial = p.initial))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY 1),
+x AS (SELECT r.conv_id, r.cost + 5 * length(n.more) AS cost, r.audit || n.more AS audit, list_concat(r.said, n.said) AS said, gaps, blank, duplicate, truncated, illegal
+  FROM r LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id JOIN n ON n.st = r.st AND n.nx IN (0, 3) WHERE r.i = coalesce(g.rows, 0)),
+z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+  sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM z"""
+
+SQL = {"op2_chat_format": OP2, "op3_ngram_join": OP3, "op5_decontaminate": OP5, "op7_quality_rules": OP7, "op11_ranked_search": OP11, "op13_conversation_repair": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, language_id, licenses, lm_scoring, ngram_join, quality, records_io, suffix_dedup, token_counts
+from corpusloom.llm import bpe, chat, decontaminate, language_id, lexical_search, licenses, lm_scoring, ngram_join, quality, records_io, repair, suffix_dedup, token_counts
 from corpusloom.llm.oracles import SQL
 from corpusloom.llm.scratch import Scratch
 
@@ -64,14 +64,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op12").base
     records_io.write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return records_io.read_records(spark, folder, digests=True)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = repair.damaged(_table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repaired(broken, there="there"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_lm_scoring, op2_chat_format, op3_ngram_join, op4_license_scan, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe, op9_language_id, op10_token_counts, op12_token_records)
+    first = (op1_lm_scoring, op2_chat_format, op3_ngram_join, op4_license_scan, op5_decontaminate, op6_suffix_dedup, op7_quality_rules, op8_bpe)
+    made = (*first, op9_language_id, op10_token_counts, op11_ranked_search, op12_token_records, op13_conversation_repair)
     return {f.__name__: f for f in made}
 
 
