@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import heapq
 from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -135,83 +134,135 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return g[order], n[order]
 
 
-def merged_counts(lists: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(member, how many of the sorted lists hold it) by a heap merge."""
-    return [(key, sum(1 for _ in same)) for key, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+#: Members of short lists up to which a heap merges them; beyond it a sort that merges sorted runs does.
+HEAPED = 512
 
 
-#: Sets in the first span that a set searches; each further span is twice as long.
-SPAN = 32
+def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(members, how many of the sorted lists hold each)."""
+    total = sum(map(len, lists))
+    if total > HEAPED:
+        every = np.sort(np.concatenate(lists), kind="stable")
+    else:
+        every = np.fromiter(heapq.merge(*(x.tolist() for x in lists)), np.int64, total)
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if total else np.zeros(0, np.int64)
+    return every[first], np.diff(np.append(first, total))
+
+
+#: Sets in the first span that a set searches; each further span is so many times as long.
+SPAN, WIDER = 32, 8
+
+
+class _Forest:
+    """Union-find whose roots are the least members, with paths halved; roots of whole arrays at once."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, a: int) -> int:
+        p = self.parent
+        while p[a] != a:
+            p[a] = p[p[a]]
+            a = p[a]
+        return int(a)
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        at = self.parent[of]
+        while not np.array_equal(beyond := self.parent[at], at):
+            self.parent[of] = at = beyond
+        return at
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.root(a), self.root(b)))
+        self.parent[b] = a
 
 
 def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
-    """For each set the first set of its component, linked at num/den: T-occurrence search."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in order]
+    """For each set the first set of its component, linked at num/den.
+
+    A shingle that one set alone has counts in its size only.  Sets of one size that are
+    equal but for such shingles have the same links to all others, so they are searched as one
+    *class*: texts of one template with their own values cost no more than one of them.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
-    label = np.arange(len(sets))
-    grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, which, often = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    shared, at = often[which] > 1, np.concatenate([[0], np.cumsum(sizes)])
+    numbers: dict[tuple[int, bytes], int] = {}
+    of_set = np.empty(len(sets), np.int64)
+    grams: list[np.ndarray] = []
+    for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+        own = which[a:b][shared[a:b]]
+        of_set[i] = numbers.setdefault((b - a, own.tobytes()), len(numbers))
+        if of_set[i] == len(grams):
+            grams.append(own)
+    n = np.array([size for size, _ in numbers], np.int64)
+    order = np.argsort(n, kind="stable")
+    of_class = np.empty(len(order), np.int64)
+    of_class[order] = _search([grams[i] for i in order], n[order], num, den)
+    group = of_class[of_set]
+    alone = np.bincount(of_class, minlength=len(order))[group] == 1
+    within = (num + den) * np.array([len(g) for g in grams], np.int64)[of_set] >= 2 * num * sizes if sets else np.zeros(0, bool)
+    lead = np.full(len(order), len(sets), np.int64)
+    np.minimum.at(lead, group, np.arange(len(sets)))
+    return np.where(alone & ~within, np.arange(len(sets)), lead[group]) if sets else group
+
+
+def _search(sets: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The component of each set, by T-occurrence search; n: the sets' sizes, ascending, with what only they have."""
+    held = np.array([len(s) for s in sets], np.int64)
+    forest = _Forest(len(sets))
+    grams = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), held)
     by = np.lexsort((owner, grams))
     lists = owner[by]  # inverted lists, one after another, each by size of set
-    fresh = np.concatenate([[True], grams[by][1:] != grams[by][:-1]])[: len(by)]
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+    keys = grams[by] * len(sets) + lists  # ascending: where a list's part from any set on begins is one look-up
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    first = np.concatenate([[0], np.cumsum(sizes)])
-
-    def join(a: int, b: int) -> None:
-        x, y = sorted((label[a], label[b]))
-        if x != y:
-            label[label == y] = x
+    first = np.concatenate([[0], np.cumsum(held)])
 
-    def search(q: int, ends: np.ndarray, starts: np.ndarray, least: int) -> None:
-        """Joins q with the sets that hold ``least`` or more of its shingles, of the lists' parts starts to ends."""
-        n, lengths = int(sizes[q]), ends - starts
+    def search(q: int, ends: np.ndarray, starts: np.ndarray, least: int, apart: np.ndarray) -> None:
+        """Joins q with those of ``apart`` that hold enough of its shingles, ``least`` or more, in the lists' parts starts to ends."""
+        lengths = ends - starts
         by_length = np.argsort(lengths, kind="stable")
-        longest = int(lengths[by_length[-1]])
-        aside = min(int(least / (0.01 * np.log2(longest + 1) + 1)), least - 1, len(lengths))
-        short, long = by_length[: len(lengths) - aside], by_length[len(lengths) - aside :]
-        found = [(c, k) for c, k in merged_counts([lists[starts[i] : ends[i]] for i in short]) if k >= least - aside]
-        for c, k in sorted(found, key=itemgetter(1), reverse=True):
-            if label[c] == label[q]:
-                continue
-            enough, left = -(-num * (n + int(sizes[c])) // (num + den)), aside
-            for i in long:
-                if k >= enough or k + left < enough:
-                    break
-                left -= 1
-                at = starts[i] + np.searchsorted(lists[starts[i] : ends[i]], c)
-                k += bool(at < ends[i] and lists[at] == c)
-            if k >= enough:
-                join(q, c)
+        probe = 0.3 * np.log2(int(lengths[by_length[-1]]) + 2)
+        aside = np.arange(min(least - 1, len(lengths)) + 1)  # how many of the longest lists are only probed
+        merged = np.concatenate([[0], np.cumsum(lengths[by_length])])[len(lengths) - aside]
+        cost = merged * (1 + probe * aside / (least - aside))
+        chosen = int(cost.argmin())
+        if probe * len(apart) * len(lengths) < cost[chosen]:  # few sets are left: all lists are probed for them
+            found, k, long = apart, np.zeros(len(apart), np.int64), by_length
+        else:
+            short, long = by_length[: len(lengths) - chosen], by_length[len(lengths) - chosen :]
+            found, k = merged_counts([lists[starts[i] : ends[i]] for i in short])
+            found, k = found[k >= least - chosen], k[k >= least - chosen]
+            other = forest.roots(found) != forest.root(q)
+            found, k = found[other], k[other]
+        enough = -(-num * (n[q] + n[found]) // (num + den))
+        for left, i in zip(range(len(long), 0, -1), long, strict=True):
+            open_ = np.flatnonzero((k < enough) & (k + left >= enough))
+            if not len(open_):
+                break
+            part = lists[starts[i] : ends[i]]
+            there = np.minimum(np.searchsorted(part, found[open_]), len(part) - 1)
+            k[open_] += part[there] == found[open_]
+        for c in found[k >= enough]:
+            forest.join(q, int(c))
 
     for q in range(len(sets)):
-        least = -(-num * int(sizes[q]) // den)
-        smallest = int(np.searchsorted(sizes, least))
+        high, span = q, SPAN
+        apart = np.arange(int(np.searchsorted(n, -(-num * int(n[q]) // den))), q)
         ends = place[first[q] : first[q + 1]]  # each list's part before q holds the sets searched
-        heads, high, span = start[ends], q, SPAN
-        while high > smallest:
-            low = max(smallest, high - span)
-            high, span, searched = low, 2 * span, label[low:high]
-            starts = _first_from(lists, heads, ends, low)
+        own = grams[first[q] : first[q + 1]] * len(sets)
+        while len(ends) and len(apart := apart[forest.roots(apart) != forest.root(q)]):
+            low = max(int(apart[0]), high - span)
+            here = apart[np.searchsorted(apart, low) :]
+            least = -(-num * int(n[q] + n[low]) // (num + den))
+            starts = np.searchsorted(keys, own + low)
             use = ends > starts
-            if int(use.sum()) >= least and (searched != label[q]).any():
-                search(q, ends[use], starts[use], least)
-            ends = starts
-    out = np.empty(len(sets), np.int64)
-    out[order] = order[label]
-    return out
-
-
-def _first_from(lists: np.ndarray, heads: np.ndarray, ends: np.ndarray, low: int) -> np.ndarray:
-    """For each list's part heads to ends the first place of a member that is ``low`` or more: binary search, all lists in step."""
-    a, b = heads.copy(), ends.copy()
-    while (a < b).any():
-        middle = (a + b) // 2
-        less = (a < b) & (lists[np.minimum(middle, len(lists) - 1)] < low)
-        a, b = np.where(less, middle + 1, a), np.where(less | (a >= b), b, middle)
-    return a
+            if len(here) and int(use.sum()) >= least:
+                search(q, ends[use], starts[use], least, here)
+            apart, ends, high, span = apart[: len(apart) - len(here)], starts, low, WIDER * span
+    return forest.roots(np.arange(len(sets)))
 
 
 def _once(batches):

@@ -86,3 +86,38 @@ def test_repeated_rows_and_ids(spark):
     assert ngram_join.similar(docs).count() == len(ids)
     kept = [r.text for r in ngram_join.keep_one(docs).collect()]
     assert len(kept) == 2 and "" in kept
+
+
+def test_groups_of_one_template():
+    """Candidates that share most of their shingles: texts of one template, with values of their own or from few."""
+    import random
+    import time
+
+    def brute_lead(sets):
+        lead = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                k = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * k >= 4 * (len(sets[i]) + len(sets[j]) - k):
+                    a, b = sorted((lead[i], lead[j]))
+                    lead = [a if x == b else x for x in lead]
+        return lead
+
+    rng = random.Random(1)
+    for _ in range(60):
+        bases = [rng.sample(range(60), rng.randint(3, 20)) for _ in range(4)]
+        sets = []
+        for _ in range(rng.randint(1, 50)):
+            own = set(rng.choice(bases))
+            for _ in range(rng.randint(0, 3)):
+                own.add(rng.randint(0, 80) if rng.random() < 0.5 else rng.randint(100, 10**6))
+            sets.append(np.array(sorted(own)[rng.randint(0, 1) :], np.uint64))
+        assert ngram_join.linked(sets).tolist() == brute_lead(sets)
+    assert ngram_join.linked([]).tolist() == []
+    values = lambda shared, i, n: np.array([*shared, *range(1000 + n * i, 1000 + n * i + n)], np.uint64)
+    began = time.perf_counter()
+    apart = [values(range(10), i, 2) for i in range(100_000)]  # 10 of 12 shared: 0.71
+    assert (ngram_join.linked(apart) == np.arange(100_000)).all()
+    near = [values([x for x in range(12) if x != i % 12], i, 1) for i in range(100_000)]  # 11 of 12 within a dozenth, 10 across
+    assert (ngram_join.linked(near) == np.arange(100_000) % 12).all()
+    assert time.perf_counter() - began < 60
