@@ -64,7 +64,7 @@ class Index(NamedTuple):
 
 def index_of(rows: DataFrame) -> Index:
     """The parts of an index, of postings that aren't kept."""
-    total = rows.agg(F.countDistinct("id").alias("total"))
+    total = rows.select("id").distinct().agg(F.count(F.lit(1)).alias("total"))  # a null id is one too
     means = rows.select("id", "field", "size").distinct().groupBy("field").agg(F.avg("size").alias("mean"))
     return Index(rows, rows.select("term").distinct(), means.join(F.broadcast(total)))  # one row
 
