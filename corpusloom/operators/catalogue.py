@@ -72,10 +72,30 @@ class CatalogueQuery:
         return kept if hits is None else kept.join(hits.select("id"), "id", "left_semi")
 
 
-def ordered(records: DataFrame, field: str, *, ascending: bool = True, unique: str = "id") -> DataFrame:
-    """Sorted by a field, cities by region and city; equal rows by a unique column."""
-    keys = [F.concat_ws(" ", "regione", "citta")] if field == "citta" else [F.col(field)]
-    return records.orderBy(*(k.asc_nulls_last() if ascending else k.desc_nulls_last() for k in keys), unique)
+#: The catalogue's language: its rules sort names (accents and case after letters).
+LOCALE = "it"
+
+
+def collated(c: Column, locale: str | None = LOCALE) -> Column:
+    """A string as it sorts, and compares, by a language's rules; None: by bytes."""
+    return c if locale is None else F.collate(c, locale)
+
+
+def ordered(records: DataFrame, field: str, *, ascending: bool = True, unique: str = "id", locale: str | None = LOCALE) -> DataFrame:
+    """Sorted by a field, cities by region and city, names by the language's rules; equal rows by a unique column."""
+    if field == "citta":
+        key = F.trim(F.concat(F.coalesce("regione", F.lit("")), F.lit(" "), F.coalesce("citta", F.lit(""))))
+    else:
+        key = F.col(field)
+    if field == "citta" or records.schema[field].dataType.typeName() == "string":
+        key = collated(key, locale)
+    return records.orderBy(key.asc_nulls_last() if ascending else key.desc_nulls_last(), unique)
+
+
+def suggestions(records: DataFrame, field: str, *, locale: str | None = LOCALE) -> DataFrame:
+    """(value) the distinct, trimmed, non-empty values of a field in the order of a language."""
+    values = records.select(F.trim(F.col(field)).alias("value")).where(F.col("value") != "").distinct()
+    return values.orderBy(collated(F.col("value"), locale))
 
 
 def page(records: DataFrame, number: int, *keys: Column | str, size: int = PAGE) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from corpusloom.functions.markup import LINEARISED, TOKENS, diff_lines, linearise, tokenize
+from corpusloom.functions import diff
+from corpusloom.functions.markup import LINEARISED, TOKENS, linearise, tokenize
 
 TAG = r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*?)(/?)>"
 
@@ -121,8 +125,97 @@ def searchable(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.udf(linearise, LINEARISED, useArrow=True)(F.col(text)).alias("t")).select(key, "t.text", "t.ranges")
 
 
+#: Rows, and characters of them, that close an Arrow batch of differences.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 23
+
+
+def _differences(pairs: DataFrame, key: str, before: str, after: str, fields: list[StructField], of) -> DataFrame:
+    """key and what ``of(before, after)`` yields, a row each; streamed in Arrow batches."""
+    schema = StructType([pairs.schema[key], *fields])
+    kinds, names = [to_arrow_type(f.dataType) for f in schema], schema.names
+
+    def run(batches):
+        held, chars = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+        for part in batches:
+            for i in range(part.num_rows):
+                k, a, b = (part.column(c)[i].as_py() for c in range(3))
+                for row in of(a, b):
+                    held.append((k, *row))
+                    chars += sum(len(x) for x in row if isinstance(x, str))
+                    if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield batch()
+                        held, chars = [], 0
+        if held:
+            yield batch()
+
+    return pairs.select(key, F.col(before).alias("before"), F.col(after).alias("after")).mapInArrow(run, schema)
+
+
 def line_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, n_added, n_removed, n_same) lines between two versions."""
-    return pairs.select(key, F.udf(diff_lines, "struct<added:bigint,removed:bigint,same:bigint>", useArrow=True)(F.col(before), F.col(after)).alias("d")).select(
-        key, F.col("d.added").alias("n_added"), F.col("d.removed").alias("n_removed"), F.col("d.same").alias("n_same")
+    fields = [StructField(n, LongType()) for n in ("n_added", "n_removed", "n_same")]
+    return _differences(pairs, key, before, after, fields, lambda a, b: [diff.counts(a, b)])
+
+
+def diff_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, row, left_no, right_no, left, right, kind): two versions side by side, rows from 1 (see ``functions.diff.rows``)."""
+    fields = [*(StructField(n, LongType()) for n in ("row", "left_no", "right_no")), *(StructField(n, StringType()) for n in ("left", "right", "kind"))]
+    return _differences(pairs, key, before, after, fields, lambda a, b: ((i, *row) for i, row in enumerate(diff.rows(a, b), 1)))
+
+
+#: Characters after a deity's name within which an epithet of its own is suspicious: a fixed value.
+NEARBY = 120
+
+
+def epithet_issues(docs: DataFrame, key: str, edition: str) -> DataFrame:
+    """(key, at, problem, snippet): epithets apart from their deities, and attributes that don't belong where they are.
+
+    An edition is cut before every tag; where tags lie and which comes next is found by windows over the pieces, so
+    the cost grows with the number of tags.  ``at`` is a 0-based character offset.
+    """
+    cut = F.split(F.replace(F.col(edition), F.lit("<"), F.lit("\x01<")), "\x01")
+    pieces = docs.select(key, F.posexplode(cut).alias("pos", "piece"))
+    place = Window.partitionBy(key).orderBy("pos")
+    before, later = place.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    is_ = lambda pattern: F.col("piece").rlike(f"^{pattern}")
+    named = F.length(F.regexp_extract("piece", r'^<rs\s+[^>]*type="epithet"', 0))
+    found = pieces.select(
+        key, "pos", "piece",
+        F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("at"),
+        is_(r"<persName\b[^>]*>").alias("opens"), is_("</persName>").alias("closes"), is_("</rs>").alias("ends"),
+        is_(r'<persName\s+[^>]*type="divine"[^>]*>').alias("deity"), is_(r'<rs\s+[^>]*type="epithet"[^>]*>').alias("epithet"), named.alias("named"),
+    )
+    found = found.select(
+        "*",
+        (F.sum(F.col("opens").cast("int")).over(before) - F.sum(F.col("closes").cast("int")).over(before)).alias("depth"),
+        F.min(F.when(F.col("closes"), F.col("at"))).over(later).alias("person_end"),
+        F.min(F.when(F.col("ends"), F.col("at"))).over(later).alias("rs_end"),
+        F.min(F.when(F.col("named") > 0, F.col("at"))).over(later).alias("next_at"),
+        F.min(F.when(F.col("named") > 0, F.col("at") + F.col("named"))).over(later).alias("next_named"),
     )
+    # What begins inside another of its kind is part of that one.
+    free = lambda kind, end: F.col(kind) & F.col(end).isNotNull() & (F.col("at") > F.coalesce(F.max(F.when(F.col(kind), F.col(end))).over(before), F.lit(-1)))
+    found = found.select("*", free("deity", "person_end").alias("person"), free("epithet", "rs_end").alias("rs")).where("person OR rs")
+    end = F.when(F.col("rs"), F.col("rs_end") + len("</rs>")).otherwise(F.col("person_end") + len("</persName>"))
+    found = found.join(docs.select(F.col(key).alias("__key"), F.col(edition).alias("__edition")), F.col(key) == F.col("__key"))
+    whole = F.substr("__edition", F.col("at") + 1, end - F.col("at"))
+    alone = F.coalesce(F.col("next_at") > F.col("person_end"), F.lit(True))
+    near = F.coalesce(F.col("next_named") <= F.col("person_end") + len("</persName>") + NEARBY, F.lit(False))
+    tag = F.split_part("piece", F.lit(">"), F.lit(1))
+    checks = {
+        "epithet_outside_person": F.col("rs") & (F.coalesce("depth", F.lit(0)) <= 0),
+        "nymref_on_epithet": F.col("rs") & F.contains(whole, F.lit("nymRef=")),
+        "key_on_epithet": F.col("rs") & F.contains(whole, F.lit("key=")),
+        "epithet_nearby": F.col("person") & alone & near,
+        "nymref_on_person": F.col("person") & F.contains(tag, F.lit("nymRef=")),
+    }
+    listed = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks.items())))
+    snippet = F.substring(F.regexp_replace(whole, r"\s+", " "), 1, 90)
+    issues = found.select(key, "at", F.explode(listed).alias("problem"), snippet.alias("snippet"))
+    hyphens = docs.select(key, F.regexp_extract_all(edition, F.lit(r"(?m)<lb[^>]*/>[^<]*-\s*$"), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    first = F.substring(F.regexp_replace(F.element_at("found", 1), r"\s+", " "), 1, 90)
+    return issues.unionByName(hyphens.select(key, F.lit(None).cast("long").alias("at"), F.concat(F.lit("hyphen_at_line_end "), F.size("found")).alias("problem"), first.alias("snippet")))

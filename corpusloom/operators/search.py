@@ -1,6 +1,6 @@
 """Full-text search over fields of records: kept postings, expansion, lower-bounded BM25.
 
-Postings are one row per record, field and term.  They are written once, sorted by
+Postings are one row per record, field and term.  ``segments`` keeps them, sorted by
 term, beside the vocabulary and the fields' sizes; a query reads the vocabulary,
 and of the postings what its terms need (the scan skips row groups without them).
 A query's words are expanded over the vocabulary (equal, with the word as prefix,
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, iconography_text, strip_tags
@@ -69,20 +69,6 @@ def index_of(rows: DataFrame) -> Index:
     return Index(rows, rows.select("term").distinct(), means.join(F.broadcast(total)))  # one row
 
 
-def keep_index(rows: DataFrame, path: str) -> Index:
-    """Writes the postings, then what is derived from them; later sessions open the path."""
-    spark = rows.sparkSession
-    rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index = index_of(spark.read.parquet(f"{path}/postings"))
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.fields.write.mode("overwrite").parquet(f"{path}/fields")
-    return open_index(spark, path)
-
-
-def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "fields")))
-
-
 def postings(records: DataFrame, fields: dict[str, float], *, id: str = "id", marked: bool = False) -> DataFrame:  # noqa: A002
     """(id, field, boost, term, tf, size): size is the field's number of terms."""
     texts = (F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), (strip_tags(F.col(f), " ") if marked else F.col(f)).alias("text")) for f, b in fields.items())

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import markup, records as xml, search
+from corpusloom.operators import markup, records as xml, search, segments
 from corpusloom.plans.views import RECORDS, records, table
 from corpusloom.sources import corpus
+from corpusloom.sources.versions import fingerprint, shared_folder
 from corpusloom.streaming import changes
 
 Q: dict[str, str] = {}
@@ -72,24 +73,18 @@ Q["highlight"] = r"SELECT doc_id, regexp_replace(text, '(?i)(the|tion)', '<mark>
 FIELDS = {"text": 1.0, "source": 0.5}
 
 
-#: Folders of the indexes kept by this session.
-_KEPT: dict[tuple[str, str, str], str] = {}
-
-
-def _kept_index(spark: SparkSession, d: str, name: str, rows: DataFrame) -> search.Index:
-    """An index kept in the folder that the session names for such tables, once per session; else not kept."""
-    folder, key = spark.conf.get("spark.checkpoint.dir", None), (spark.sparkContext.applicationId, d, name)
-    if not folder:
-        return search.index_of(rows)
-    if key not in _KEPT:
-        path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
-        search.keep_index(rows, path)
-        _KEPT[key] = path
-    return search.open_index(spark, _KEPT[key])
+def kept_index(spark: SparkSession, d: str, name: str, rows: DataFrame, fields: dict[str, float], tables: tuple[str, ...], *, id: str = "id") -> search.Index:  # noqa: A002
+    """The index of rows, kept in the session's shared folder and brought up to date if a file of its tables has changed."""
+    where = hashlib.sha256(d.encode()).hexdigest()[:16]
+    index = segments.SegmentIndex(spark, f"{shared_folder(spark)}/index-{name}-{where}", fields)
+    source = f"{fingerprint(spark, [f'{d}/{t}.parquet' for t in tables])}/{sorted(fields)}"
+    if index.state()[1]["source"] != source:
+        index.update(rows, id=id, source=source)
+    return index.open()
 
 
 def _index(spark: SparkSession, d: str) -> search.Index:
-    return _kept_index(spark, d, "documents", search.postings(table(spark, d, "documents"), FIELDS, id="doc_id"))
+    return kept_index(spark, d, "documents", table(spark, d, "documents"), FIELDS, ("documents",), id="doc_id")
 
 
 def _found(rows: DataFrame) -> DataFrame:
@@ -163,7 +158,8 @@ LABELS = {"votive": "votivo", "patera": "coppa", "god": "dio"}
 def search_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Over the fifteen fields with their boosts."""
     texts = search.indexed_texts(_catalogue(spark, d), LABELS)
-    found = search.search(_kept_index(spark, d, "catalogue", search.postings(texts, search.FIELD_BOOST)), "Building europe coppa", prefix=False, fuzzy=0)
+    index = kept_index(spark, d, "catalogue", texts, search.FIELD_BOOST, ("orders", "customer", "nation", "region"))
+    found = search.search(index, "Building europe coppa", prefix=False, fuzzy=0)
     return found.select("id", F.round("score", 4).alias("score"), "n_words")
 
 

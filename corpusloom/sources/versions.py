@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or FALLBACK).rstrip("/")
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """What changes when a file below the paths is added, removed or rewritten: sums over names, sizes and times; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    row = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return "/".join(map(str, row))
+
+
 class Conflict(RuntimeError):
     """Someone else has committed since the version that a change was based on."""
 

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import markup, text
+from corpusloom.functions import diff, markup, text
 from corpusloom.operators import catalogue, derive, mutate, records, rules, search, statistics, timeline
 from corpusloom.operators import markup as markup_ops
 from corpusloom.sources import corpus
@@ -177,13 +177,7 @@ def test_spans_and_search(spark):
     assert ids("artemis temple", every=True) == {2} and ids("artemiz stone", prefix=False) == {2, 3} and ids("  ") == set()
 
 
-def test_kept_index_and_fields(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, titolo string")
-    kept = search.keep_index(search.postings(docs, {"titolo": 3.0}), str(tmp_path / "index"))
-    again = search.open_index(spark, str(tmp_path / "index"))
-    for query in ("word7 common", "word"):
-        want = {tuple(r) for r in search.search(search.index_of(search.postings(docs, {"titolo": 3.0})), query).collect()}
-        assert {tuple(r) for r in search.search(again, query).collect()} == want == {tuple(r) for r in search.search(kept, query).collect()}
+def test_indexed_fields(spark):
     read = records.with_searchable(records.extract(records.split_records(spark.createDataFrame([(TEI,)], "xml string"))))
     row = search.indexed_texts(read, {"votive": "votivo"}).collect()[0]
     assert list(row.asDict()) == ["id", *search.FIELD_BOOST] and len(search.FIELD_BOOST) == 15
@@ -230,7 +224,7 @@ def test_edition_trees():
     nodes = markup.edition_tree('<div><ab>\n <lb n="7" break="no"/> a \n b<lb/>c <w>d\n</w> </ab></div>')
     assert markup.serialize(markup.renumbered(nodes)) == '<lb n="1"/>a b<lb n="2"/>c <w>d</w>'
     assert markup.shown_text(markup.tree("<choice><sic>x</sic><corr>y</corr></choice><lb/><expan><abbr>a</abbr><ex>b</ex></expan><subst><del>p</del><add>q</add></subst>")) == "y aq"
-    assert markup.diff_lines("a\nb\nc\nd", "b\nx\nd\na") == (2, 2, 2) and markup.diff_lines(None, "") == (0, 0, 1)
+    assert diff.counts("a\nb\nc\nd", "b\nx\nd\na") == (2, 2, 2) and diff.counts(None, "") == (0, 0, 1)
 
 
 def test_labels(spark):
