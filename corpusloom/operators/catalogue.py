@@ -103,11 +103,33 @@ def page(records: DataFrame, number: int, *keys: Column | str, size: int = PAGE)
     return records.orderBy(*keys).offset((number - 1) * size).limit(size)
 
 
+#: Buckets of about equal numbers of rows that ``even_buckets`` makes at most.
+BUCKETS = 512
+
+
+def even_buckets(rows: DataFrame, field: str, most: int = BUCKETS) -> Column:
+    """A bucket for ``positions`` from a numeric field: quantiles of the rows part it, however its values lie.
+
+    The quantiles are at most ``most`` numbers; a row finds its bucket by halving them.  Nulls, which sort first, have
+    a bucket of their own.
+    """
+    shares = [i / most for i in range(1, most)]
+    cuts = sorted(set(rows.approxQuantile(field, shares, 1 / (4 * most)) or []))
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(field).cast("double") < cuts[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
+
+    return F.when(F.col(field).isNull(), -1).otherwise(halved(0, len(cuts)))
+
+
 def positions(rows: DataFrame, bucket: Column, *keys: Column | str, name: str = "position") -> DataFrame:
     """rows with their place, from 1, in the order of keys.
 
     ``bucket`` must not fall as the keys rise.  Rows are numbered within their
-    bucket; only the buckets' sizes are added up in one place.
+    bucket; only the buckets' sizes are added up in one place, so there should be few (``even_buckets``).
     """
     held = rows.withColumn("__bucket", bucket)
     sizes = held.groupBy("__bucket").agg(F.count("*").alias("__n"))

@@ -71,53 +71,69 @@ EDITION_RULES = {
 
 
 def edition_issues(found: DataFrame, key: str, tokens: str = "tokens", error: str = "error") -> DataFrame:
-    """(key, line, rule, severity) of what tokens (see ``tokens``) of an edition break; a line of 0 is the whole."""
-    every = F.col(tokens)
-    is_el = lambda t, name: (t["kind"] == "el") & (t["name"] == name)
-    above = lambda a, t: (F.size(a["path"]) < F.size(t["path"])) & (F.slice(t["path"], F.lit(1), F.size(a["path"])) == a["path"])
-    parent = lambda t: F.slice(t["path"], F.lit(1), F.size(t["path"]) - 1)
-    children = lambda t: F.filter(every, lambda c: parent(c) == t["path"])
-    upto = lambda i: F.slice(every, F.lit(1), i)
-    breaks = lambda i: F.size(F.filter(upto(i), lambda x: is_el(x, "lb")))
-    at = lambda t, name: F.coalesce(F.element_at(t["attrs"], name), F.lit(""))
-    has = lambda t, name: at(t, name) != ""
-
-    def rules(t: Column, i: Column) -> list[tuple[str, Column]]:
-        value, epithet = t["value"], is_el(t, "rs") & (at(t, "type") == "epithet")
-        said = F.try_element_at(F.filter(upto(i), lambda x: (x["kind"] == "text") | is_el(x, "lb")), F.lit(-1))
-        divine = is_el(t, "persName") & (at(t, "type") == "divine")
-        alone = epithet & ~F.exists(every, lambda a: is_el(a, "persName") & above(a, t))
-        beside = F.size(F.filter(every, lambda a: is_el(a, "persName") & (at(a, "type") == "divine") & (parent(a) == parent(t)) & (F.try_element_at(a["path"], F.lit(-1)) < F.try_element_at(t["path"], F.lit(-1)))))
-        of_epithet = lambda p: F.exists(every, lambda x: (x["kind"] == "text") & (F.trim(x["value"]) != "") & F.exists(children(p), lambda e: is_el(e, "rs") & (at(e, "type") == "epithet") & above(e, x)))
-        return [
-            ("leiden_residue", value.rlike(r"[\[\]{}]|- - -")),
-            ("attribute_in_text", value.rlike(r'[A-Za-z:_-]+\s*=\s*"[^"]*"')),
-            ("empty_attribute", F.exists(F.map_values(t["attrs"]), lambda v: v == "")),
-            ("unit_not_ascii", has(t, "unit") & at(t, "unit").rlike(r"[^\x00-\x7F]")),
-            ("unit_unknown", has(t, "unit") & ~at(t, "unit").isin("character", "line") & ~at(t, "unit").rlike(r"[^\x00-\x7F]")),
-            ("first_line_continues", is_el(t, "lb") & (at(t, "break") == "no") & (breaks(i) == 0)),
-            ("hyphen_before_line", is_el(t, "lb") & (i > 0) & (said["kind"] == "text") & said["value"].rlike(r"-\s*$")),
-            ("nymref_on_person", is_el(t, "persName") & has(t, "nymRef")),
-            ("nymref_on_epithet", epithet & has(t, "nymRef")),
-            ("key_on_epithet", epithet & has(t, "key")),
-            ("epithet_outside_person", alone & (beside < 2)),
-            ("epithet_after_coordinated", alone & (beside >= 2)),
-            ("divine_without_name", divine & ~F.exists(children(t), lambda c: is_el(c, "name")) & F.exists(children(t), lambda c: c["kind"] == "el")),
-            ("divine_without_key", divine & ~has(t, "key")),
-            ("epithet_in_key", is_el(t, "persName") & at(t, "type").isin("ruler", "emperor") & F.contains(F.lower(at(t, "key")), F.lit("theos")) & of_epithet(t)),
-            ("office_without_key", is_el(t, "rs") & (at(t, "type") == "office") & ~has(t, "key")),
-            ("gap_of_zero", is_el(t, "gap") & (at(t, "quantity") == "0")),
-            ("gap_without_extent", is_el(t, "gap") & ~has(t, "quantity") & ~has(t, "atLeast") & ~has(t, "extent")),
-        ]
-
-    def broken(t: Column, i: Column) -> Column:
-        line = F.greatest(breaks(i), F.lit(1))
-        return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.struct(line.alias("line"), F.lit(name).alias("rule"))) for name, rule in rules(t, i))))
-
-    listed = F.when(F.col(error).isNotNull(), F.array(F.struct(F.lit(0).alias("line"), F.lit("not_well_formed").alias("rule")))).otherwise(F.flatten(F.transform(every, broken)))
-    rows = found.select(key, F.explode(listed).alias("x")).select(key, "x.line", "x.rule")
+    """(key, line, rule, severity) of what tokens (see ``tokens``) of an edition break; a line of 0 is the whole.
+
+    Tokens are rows: what precedes one is found by windows, what lies above or below by joins on paths of the few
+    tokens that ask for it.  Each empty attribute counts.
+    """
+    each = found.where(F.col(error).isNull()).select(F.col(key), F.posexplode(tokens).alias("i", "t"))
+    attr = lambda name: F.coalesce(F.element_at("t.attrs", name), F.lit(""))
+    size = F.size("t.path")
+    rows = each.select(
+        key, "i", F.col("t.kind").alias("kind"), F.col("t.name").alias("name"), F.col("t.value").alias("value"), F.col("t.attrs").alias("attrs"), F.col("t.path").alias("path"),
+        F.slice("t.path", F.lit(1), size - 1).alias("parent"), F.element_at("t.path", -1).alias("nth"), *(attr(a).alias(f"a_{a}") for a in ("type", "key", "nymRef", "unit", "break", "quantity", "atLeast", "extent")),
+    )
+    is_ = lambda name: F.col("name").eqNullSafe(name)
+    text, lb, epithet, divine = F.col("kind") == "text", is_("lb"), is_("rs") & (F.col("a_type") == "epithet"), is_("persName") & (F.col("a_type") == "divine")
+    place, siblings = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key, "parent").orderBy("nth")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(
+        "*",
+        F.count_if(lb).over(before(place)).alias("breaks"),
+        F.last(F.when(text | lb, F.struct("kind", "value")), ignorenulls=True).over(before(place)).alias("said"),
+        F.count_if(divine).over(before(siblings)).alias("beside"),
+    )
+    whole = rows  # with what other tokens say of each
+    pair = lambda of, path: of.select(F.col(key).alias("__key"), F.col(path).alias("__path"))
+    same = lambda path: F.col(key).eqNullSafe(F.col("__key")) & (F.col(path) == F.col("__path"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("above")
+    persons = pair(rows.where(is_("persName")), "path")
+    inside = rows.where(epithet & (F.size("path") > 1)).select(key, "path", above).join(persons, same("above")).select(F.col(key).alias("e_key"), F.col("path").alias("e_path")).distinct()
+    whole = whole.join(inside, F.col(key).eqNullSafe(F.col("e_key")) & (F.col("path") == F.col("e_path")) & epithet, "left")
+    kids = rows.where(F.col("kind") == "el").groupBy(F.col(key).alias("k_key"), F.col("parent").alias("k_path")).agg(F.bool_or(is_("name")).alias("named"), F.min_by("path", F.when(epithet, F.col("nth"))).alias("epithet_path"))
+    whole = whole.join(kids, F.col(key).eqNullSafe(F.col("k_key")) & (F.col("path") == F.col("k_path")) & is_("persName"), "left")
+    kept_key = is_("persName") & F.col("a_type").isin("ruler", "emperor") & F.contains(F.lower("a_key"), F.lit("theos"))
+    asked = whole.where(kept_key & F.col("epithet_path").isNotNull()).select(F.col(key).alias("__key"), F.col("epithet_path").alias("__path"))
+    spoken = rows.where(text & (F.trim("value") != "") & (F.size("path") > 1)).join(asked.select(F.col("__key").alias("s_key")).distinct(), F.col(key).eqNullSafe(F.col("s_key")), "left_semi")
+    saying = spoken.select(key, above).join(asked, same("above"), "left_semi").select(F.col(key).alias("t_key"), F.col("above").alias("t_path")).distinct()
+    whole = whole.join(saying, F.col(key).eqNullSafe(F.col("t_key")) & (F.col("epithet_path") == F.col("t_path")) & kept_key, "left")
+
+    alone, has, odd = epithet & F.col("e_path").isNull(), lambda a: F.col(f"a_{a}") != "", F.col("a_unit").rlike(r"[^\x00-\x7F]")
+    rules = [
+        ("leiden_residue", F.col("value").rlike(r"[\[\]{}]|- - -")),
+        ("attribute_in_text", F.col("value").rlike(r'[A-Za-z:_-]+\s*=\s*"[^"]*"')),
+        ("unit_not_ascii", has("unit") & odd),
+        ("unit_unknown", has("unit") & ~F.col("a_unit").isin("character", "line") & ~odd),
+        ("first_line_continues", lb & (F.col("a_break") == "no") & (F.col("breaks") == 0)),
+        ("hyphen_before_line", lb & (F.col("said.kind") == "text") & F.col("said.value").rlike(r"-\s*$")),
+        ("nymref_on_person", is_("persName") & has("nymRef")),
+        ("nymref_on_epithet", epithet & has("nymRef")),
+        ("key_on_epithet", epithet & has("key")),
+        ("epithet_outside_person", alone & (F.col("beside") < 2)),
+        ("epithet_after_coordinated", alone & (F.col("beside") >= 2)),
+        ("divine_without_name", divine & ~F.coalesce("named", F.lit(True))),
+        ("divine_without_key", divine & ~has("key")),
+        ("epithet_in_key", kept_key & F.col("t_path").isNotNull()),
+        ("office_without_key", is_("rs") & (F.col("a_type") == "office") & ~has("key")),
+        ("gap_of_zero", is_("gap") & (F.col("a_quantity") == "0")),
+        ("gap_without_extent", is_("gap") & ~has("quantity") & ~has("atLeast") & ~has("extent")),
+    ]
+    empty = F.transform(F.filter(F.map_values("attrs"), lambda v: v == ""), lambda v: F.lit("empty_attribute"))
+    listed = F.concat(F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules))), F.coalesce(empty, F.array().cast("array<string>")))
+    broken = whole.select(key, F.greatest("breaks", F.lit(1)).cast("int").alias("line"), F.explode(listed).alias("rule"))
+    broken = broken.unionByName(found.where(F.col(error).isNotNull()).select(key, F.lit(0).alias("line"), F.lit("not_well_formed").alias("rule")))
     errors = [name for name, hard in EDITION_RULES.items() if hard]
-    return rows.withColumn("severity", F.when(F.col("rule").isin(*errors), "error").otherwise("warning"))
+    return broken.withColumn("severity", F.when(F.col("rule").isin(*errors), "error").otherwise("warning"))
 
 
 def searchable(docs: DataFrame, key: str, text: str) -> DataFrame:

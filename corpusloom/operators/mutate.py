@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.catalogue import positions
+from corpusloom.operators.catalogue import even_buckets, positions
+from corpusloom.operators.search import Index, search_many
 
 
 def newest(incoming: DataFrame, key: str, order: str, *, last: bool = True) -> DataFrame:
@@ -26,7 +27,7 @@ def merge_append(existing: DataFrame, incoming: DataFrame, key: str, order: str)
 
 def keyed(key: str) -> Column:
     """Whether a row has a key; null and empty ones name nothing, so such rows never meet."""
-    return F.coalesce(F.col(key) != "", F.lit(False))
+    return F.coalesce(F.col(key).cast("string") != "", F.lit(False))
 
 
 def merge_skip(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -54,18 +55,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return joined.select(*(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in existing.columns))
 
 
-def assign_ids(records: DataFrame, order: str, *, id: str = "id", span: int = 1 << 20) -> DataFrame:  # noqa: A002
+def assign_ids(records: DataFrame, order: str, *, id: str = "id") -> DataFrame:  # noqa: A002
     """Ids that aren't positive become the greatest id plus the row's place among them."""
     lacking = records.where(F.coalesce(F.col(id), F.lit(0)) <= 0)
     most = records.agg(F.coalesce(F.greatest(F.max(id), F.lit(0)), F.lit(0)).alias("__most"))
-    numbered = positions(lacking, F.floor(F.col(order) / span), order, name="__place").join(F.broadcast(most))  # one row
+    numbered = positions(lacking, even_buckets(lacking, order), order, name="__place").join(F.broadcast(most))  # one row
     filled = numbered.withColumn(id, F.col("__most") + F.col("__place")).drop("__most", "__place")
     return records.where(F.col(id) > 0).unionByName(filled)
 
 
-def renumbered(records: DataFrame, *, id: str = "id", span: int = 1 << 20) -> DataFrame:  # noqa: A002
+def renumbered(records: DataFrame, *, id: str = "id") -> DataFrame:  # noqa: A002
     """Ids become places in the order of the old ids, kept as old_id."""
-    return positions(records.withColumnRenamed(id, "old_id"), F.floor(F.col("old_id") / span), "old_id", name=id)
+    old = records.withColumnRenamed(id, "old_id")
+    return positions(old, even_buckets(old, "old_id"), "old_id", name=id)
 
 
 def staleness(current: DataFrame, saves: DataFrame, key: str, digest: str, base: str) -> DataFrame:
@@ -126,6 +128,17 @@ def cross_references(notes: DataFrame, records: DataFrame, *, text: str, key: st
     return refs.select(key, F.col("ref").cast("long").alias("ref")).join(there, F.col("ref") == F.col("__id"), "left").select(key, "ref", F.col("__id").isNotNull().alias("known"))
 
 
+def tags(notes: DataFrame, *, text: str, key: str) -> DataFrame:
+    """(key, tag): the #words of each note, once each; a tag is searched for as its word."""
+    return notes.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"#[A-Za-z0-9_]+"), F.lit(0)))).alias("tag"))
+
+
+def tag_hits(notes: DataFrame, index: Index, *, text: str, key: str) -> DataFrame:
+    """(tag, id, score, n_words): the records that each tag of the notes finds, all tags in one join with the index."""
+    each = tags(notes, text=text, key=key).select("tag").distinct()
+    return search_many(index, each, "tag", "tag").withColumnRenamed("query", "tag")
+
+
 def ledger_of_record(entries: DataFrame, records: DataFrame) -> DataFrame:
     """Ledger entries joined to the record of that entry id, of several the one of least number, else of that number."""
     by_entry = records.where(keyed("entryId")).groupBy(F.col("entryId").alias("__e")).agg(F.min("id").alias("__id1"))
@@ -140,9 +153,13 @@ def note_appended(notes: DataFrame, note: DataFrame) -> DataFrame:
 
 
 def status_set(notes: DataFrame, key: str, changes: DataFrame) -> DataFrame:
-    """Notes with the status, and the time of resolving, that changes (key, status, at) give to their entries."""
-    new = changes.select(key, F.col("status").alias("__status"), F.col("at").alias("__at"))
-    joined = notes.join(new, key, "left")
-    status = F.coalesce("__status", "status")
-    resolved = F.when(F.col("__status").isNull(), F.col("resolved")).when(F.col("__status") == "resolved", F.coalesce("resolved", "__at"))
-    return joined.withColumn("status", status).withColumn("resolved", resolved).drop("__status", "__at").select(*notes.columns)
+    """Notes with the status, and the time of resolving, that changes (key, status, at) give to their entries.
+
+    Of several changes of an entry the last by time counts (at one time, ``resolved``); resolving anew sets a new time.
+    """
+    last = changes.where(keyed(key)).groupBy(F.col(key).alias("__key")).agg(F.max(F.struct("at", "status")).alias("__last"))
+    joined = notes.join(last, F.col(key) == F.col("__key"), "left")
+    changed = F.col("__last").isNotNull()
+    status = F.when(changed, F.col("__last.status")).otherwise(F.col("status"))
+    resolved = F.when(~changed, F.col("resolved")).when(F.col("__last.status") == "resolved", F.col("__last.at"))
+    return joined.withColumn("status", status).withColumn("resolved", resolved).select(*notes.columns)

@@ -15,8 +15,18 @@ def first_violation(*rules: tuple[str, Column]) -> Column:
     return F.coalesce(*(F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules), F.lit(None).cast("string"))
 
 
+def units(c: Column | str) -> Column:
+    """The length in UTF-16 units, as limits count it: a character beyond U+FFFF is two."""
+    return F.octet_length(F.encode(c, "UTF-16BE")) / 2
+
+
+def too_long(c: Column | str, most: int) -> Column:
+    size = F.length(c)
+    return (size > most) | ((size > most // 2) & (units(c) > most))  # units are counted near the limit only
+
+
 def longer(field: str, most: int) -> tuple[str, Column]:
-    return f"{field} longer than {most}", F.length(field) > most
+    return f"{field} longer than {most}", too_long(field, most)
 
 
 def more(field: str, most: int) -> tuple[str, Column]:
@@ -27,11 +37,14 @@ def record_shape() -> Column:
     """The limits of a record that may be written, in the order in which they are tested."""
     short, medium = ("regione", "citta", "tipo", "materiale"), ("note_interne", "note_interne_rawXml")
     lists = {"epiteti": FEW, "divinita": FEW, "onomastica": FEW, "textTypes": FEW, "imperatori": FEW, "persone": MANY, "traduzioni": FEW, "bibliografia": FEW, "revisions": MANY}
-    rules = [("id is no number from 0", F.col("id").isNull() | F.isnan(F.col("id").cast("double")) | (F.col("id") < 0))]
+    number = F.col("id").try_cast("double")
+    rules = [("id is no number from 0", number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | (number < 0))]
     rules += [longer(f, SHORT) for f in short] + [longer("testo", LONG)] + [longer(f, MEDIUM) for f in medium] + [more(f, n) for f, n in lists.items()]
     rules += [longer("iconografia.function", SHORT), longer("iconografia.note", MEDIUM), more("iconografia.figures", FEW)]
-    rules.append((f"traits more than {FEW}", F.exists("iconografia.figures", lambda f: F.size(f["traits"]) > FEW)))
-    rules.append(("place longer than 50", F.exists("iconografia.figures", lambda f: F.length(f["place"]) > 50)))
+    traits, place = f"traits more than {FEW}", "place longer than 50"
+    fault = lambda f: F.when(F.size(f["traits"]) > FEW, F.lit(traits)).when(too_long(f["place"], 50), F.lit(place))
+    first = F.get(F.array_compact(F.transform("iconografia.figures", fault)), F.lit(0))  # figure by figure
+    rules += [(name, first == name) for name in (traits, place)]
     return first_violation(*rules)
 
 

@@ -115,6 +115,26 @@ def search(index: Index, query: str, *, every: bool = False, prefix: bool = True
     return out.where(F.col("n_words") == len(words)) if every else out
 
 
+def search_many(index: Index, queries: DataFrame, query: str, text: str, *, every: bool = False) -> DataFrame:
+    """(query, id, score, n_words) of many queries at once: one join of their words with the postings.
+
+    Words are looked for as they are, without prefixes or neighbours.  Queries of one name are one query.
+    """
+    words = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term")).distinct()
+    terms = words.select("term").distinct()
+    postings = index.postings.join(terms, "term", "left_semi")
+    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))  # a posting is a record's only one of its field and term
+    scored = postings.join(frequency, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row per field
+    idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    weighed = scored.groupBy("id", "term").agg(F.sum(F.col("boost") * idf * (DELTA + part)).alias("score"))
+    found = words.join(weighed, "term").groupBy("query", "id").agg(F.sum("score").alias("score"), F.count("*").alias("n_words"))
+    if not every:
+        return found
+    asked = words.groupBy("query").agg(F.count("*").alias("__asked"))
+    return found.join(asked, "query").where("n_words = __asked").drop("__asked")
+
+
 def vocabulary_lookup(rows: DataFrame, label: str, text: str, most: int = 40) -> DataFrame:
     """The first labels, by name, that contain a text but for case and accents."""
     from pyspark.sql.functions import col

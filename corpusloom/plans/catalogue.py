@@ -153,7 +153,7 @@ SELECT place, n_active, '#' || lpad(lower(hex(CAST(floor(255 * share + 0.5) AS B
 
 
 def renumber(spark: SparkSession, d: str) -> DataFrame:
-    return mutate.renumbered(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), span=1000)
+    return mutate.renumbered(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"))
 
 
 Q["renumber"] = "SELECT c_custkey AS old_id, c_name, row_number() OVER (ORDER BY c_custkey) AS id FROM customer"

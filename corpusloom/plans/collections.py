@@ -168,7 +168,7 @@ Q["upsert"] = "SELECT d.doc_id, CAST(quality AS INT) AS quality, CASE WHEN toxic
 
 def assign_ids(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.when(F.col("p_size") < 5, F.lit(0).cast("long")).otherwise(F.col("p_partkey")).alias("id"), F.col("p_partkey").alias("ord"), "p_name")
-    return mutate.assign_ids(parts, "ord", span=500)
+    return mutate.assign_ids(parts, "ord")
 
 
 Q["assign_ids"] = """WITH x AS (SELECT CASE WHEN p_size < 5 THEN 0 ELSE p_partkey END AS id, p_partkey AS ord, p_name FROM part)

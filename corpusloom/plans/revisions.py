@@ -7,9 +7,10 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import catalogue, markup, search, segments, timeline
-from corpusloom.plans.texts import _EQUAL, _FIELDS_SQL, _search_sql
+from corpusloom.operators import catalogue, imports, markup, mutate, search, segments, timeline
+from corpusloom.plans.texts import _EQUAL, _FIELDS_SQL, _index, _search_sql
 from corpusloom.plans.views import RECORDS, records, table
+from corpusloom.sources import corpus
 from corpusloom.sources.versions import shared_folder
 
 Q: dict[str, str] = {}
@@ -136,4 +137,98 @@ p AS (
 SELECT p_partkey, "at", problem, substring(regexp_replace(whole, '\s+', ' ', 'g'), 1, 90) AS snippet FROM p
 UNION ALL SELECT p_partkey, NULL, 'hyphen_at_line_end 1', '<lb n="2"/>cut-' FROM i WHERE k % 6 = 0"""
 
-QUERIES = [search_updated, diff_rows, two_sided_lanes, collated_names, epithet_nearby]
+
+def edition_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Editions of one to four lines put together from parts, with faults here and there."""
+    k = F.col("p_partkey")
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+
+    def line(i):
+        h = k * 7 + i * 3
+        part = lambda m, r, text: F.when(h % m == r, text).otherwise("")
+        return F.concat(
+            F.lit('<lb n="'), i + 1, F.lit('"'), part(5, 0, ' break="no"'), F.lit("/>"), word, part(7, 2, " [x]"), part(6, 1, "-"),
+            part(3, 0, F.concat(F.lit('<gap quantity="'), h % 4, F.lit('"/>'))), part(3, 1, F.concat(F.lit('<gap unit="'), F.col("p_type"), F.lit('"'), F.when(h % 2 == 1, ' extent="unknown"').otherwise(""), F.lit("/>"))),
+            part(8, 3, F.concat(F.lit('<persName type="divine"'), F.when(h % 9 < 4, ' key="" ref=""').otherwise(' key="z"'), F.lit("><name>a</name></persName>"))),
+            part(10, 4, F.concat(F.lit('<persName type="ruler" key="Some Theos"><name>b</name>'), F.when(h % 4 < 2, '<rs type="epithet">c</rs>').otherwise('<rs type="epithet"> </rs>'), F.lit("</persName>"))),
+            part(11, 6, '<rs type="epithet" key="q">d</rs>'),
+        )
+
+    edition = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 4), line), "")
+    return markup.edition_issues(markup.tokens(table(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition"), "p_partkey")
+
+
+Q["edition_faults"] = r"""WITH l AS (SELECT p_partkey, unnest(range(p_partkey % 4 + 1)) AS i FROM part), h AS (SELECT p_partkey, i, p_partkey * 7 + i * 3 AS h, CAST(i + 1 AS INTEGER) AS line FROM l),
+f AS (SELECT p_partkey, line, 'first_line_continues' AS rule FROM h WHERE i = 0 AND h % 5 = 0
+  UNION ALL SELECT p_partkey, line, 'leiden_residue' FROM h WHERE h % 7 = 2
+  UNION ALL SELECT a.p_partkey, a.line, 'hyphen_before_line' FROM h AS a JOIN h AS b ON a.p_partkey = b.p_partkey AND b.i = a.i + 1 WHERE a.h % 6 = 1 AND a.h % 8 <> 3 AND a.h % 10 <> 4 AND a.h % 11 <> 6
+  UNION ALL SELECT p_partkey, line, 'gap_of_zero' FROM h WHERE h % 3 = 0 AND h % 4 = 0
+  UNION ALL SELECT p_partkey, line, 'unit_unknown' FROM h WHERE h % 3 = 1
+  UNION ALL SELECT p_partkey, line, 'gap_without_extent' FROM h WHERE h % 3 = 1 AND h % 2 = 0
+  UNION ALL SELECT p_partkey, line, 'empty_attribute' FROM h, range(2) WHERE h % 8 = 3 AND h % 9 < 4
+  UNION ALL SELECT p_partkey, line, 'divine_without_key' FROM h WHERE h % 8 = 3 AND h % 9 < 4
+  UNION ALL SELECT p_partkey, line, 'epithet_in_key' FROM h WHERE h % 10 = 4 AND h % 4 < 2
+  UNION ALL SELECT p_partkey, line, 'key_on_epithet' FROM h WHERE h % 11 = 6
+  UNION ALL SELECT p_partkey, line, CASE WHEN (SELECT count(*) FROM h AS b WHERE b.p_partkey = a.p_partkey AND b.i <= a.i AND b.h % 8 = 3) >= 2 THEN 'epithet_after_coordinated' ELSE 'epithet_outside_person' END FROM h AS a WHERE h % 11 = 6)
+SELECT p_partkey, line, rule, CASE WHEN rule IN ('leiden_residue', 'hyphen_before_line', 'divine_without_key', 'epithet_in_key', 'epithet_after_coordinated') THEN 'warning' ELSE 'error' END AS severity FROM f"""
+
+
+def status_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of conversations after changes of status, of which a conversation has several."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("e"), F.col("turn").alias("created"), F.length("text").alias("n"))
+    status = F.when(F.col("n") % 2 == 0, "open").otherwise("resolved")
+    notes = c.select("e", status.alias("status"), "created", F.when(F.col("n") % 2 == 1, F.col("created") + 1).alias("resolved"))
+    changes = c.where("e % 3 <> 0 AND n % 5 < 3").select("e", F.when(F.col("n") % 3 == 0, "open").otherwise("resolved").alias("status"), (F.col("created") * 10).alias("at"))
+    return mutate.status_set(notes, "e", changes)
+
+
+Q["status_changes"] = """WITH c AS (SELECT conv_id AS e, turn AS created, length(text) AS n FROM conversations),
+x AS (SELECT e, CASE WHEN n % 3 = 0 THEN 'open' ELSE 'resolved' END AS status, created * 10 AS at_ FROM c WHERE e % 3 <> 0 AND n % 5 < 3), l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY e ORDER BY at_ DESC, status DESC) = 1)
+SELECT c.e, coalesce(l.status, CASE WHEN n % 2 = 0 THEN 'open' ELSE 'resolved' END) AS status, created, CASE WHEN l.e IS NULL THEN CASE WHEN n % 2 = 1 THEN created + 1 END WHEN l.status = 'resolved' THEN at_ END AS resolved FROM c LEFT JOIN l ON c.e = l.e"""
+
+
+def import_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as an import in which ids, titles and other fields are missing here and there."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        F.when(k % 4 == 1, F.lit(None)).when(k % 4 == 2, 0).otherwise(k + 100000).cast("long").alias("id"), F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, "").alias("titolo"), F.when(k % 5 > 1, F.col("p_brand")).alias("tipo"),
+        F.when(k % 2 == 0, F.array(F.lit("Iscrizione GRECA"), F.col("p_type"))).alias("textTypes"), F.when(k % 6 == 0, F.col("p_size").cast("string")).when(k % 6 == 1, "x").alias("data_inizio"), F.array("p_type").alias("onomastica"), k.alias("ord"),
+    )
+    made = imports.defaulted(rows, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "ord")
+    return made.select("id", "entryId", "titolo", "tipo", "dim_unita", F.array_join("textTypes", ",").alias("kinds"), "data_inizio", "iscrizione", F.size("phi").cast("long").alias("n_phi"), F.array_join("onomastica", ",").alias("names"))
+
+
+Q["import_defaults"] = """WITH r AS (SELECT p_partkey AS k, *, CASE WHEN p_partkey % 4 IN (1, 2) THEN NULL ELSE p_partkey + 100000 END AS own, row_number() OVER (ORDER BY p_partkey) AS place FROM part),
+n AS (SELECT *, coalesce(own, (SELECT max(s_suppkey) FROM supplier) + count(*) FILTER (WHERE own IS NULL) OVER (ORDER BY k)) AS id FROM r)
+SELECT CAST(id AS BIGINT) AS id, 'gen-import-' || place AS "entryId", CASE WHEN k % 3 = 0 THEN p_name ELSE 'Scheda #' || coalesce(own, place) END AS titolo, CASE WHEN k % 5 > 1 THEN p_brand ELSE '' END AS tipo, 'metre' AS dim_unita,
+  CASE WHEN k % 2 = 0 THEN p_type ELSE '' END AS kinds, CASE WHEN k % 6 = 0 THEN CAST(p_size AS DOUBLE) END AS data_inizio, false AS iscrizione, CAST(0 AS BIGINT) AS n_phi, p_type AS names FROM n"""
+
+
+def tag_search(spark: SparkSession, d: str) -> DataFrame:
+    """What each #word of the notes finds among documents, all words at once."""
+    notes = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("nota"), F.concat("text", F.lit(" #"), F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" #src1")).alias("text"))
+    found = mutate.tag_hits(notes, _index(spark, d), text="text", key="nota")
+    return found.select("tag", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "n_words")
+
+
+Q["tag_search"] = rf"""WITH f AS ({_FIELDS_SQL}), a AS (SELECT id, field, boost, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS terms FROM f),
+p AS (SELECT id, field, boost, len(terms) AS size, unnest(terms) AS term FROM a), i AS (SELECT id, field, boost, size, term, count(*) AS tf FROM p GROUP BY ALL),
+m AS (SELECT field, avg(size) AS mean FROM (SELECT DISTINCT id, field, size FROM i) GROUP BY 1), n AS (SELECT count(DISTINCT id) AS total FROM i), df AS (SELECT field, term, count(*) AS df FROM i GROUP BY 1, 2),
+g AS (SELECT DISTINCT unnest(regexp_extract_all(text || ' #' || split_part(text, ' ', 2) || ' #src1', '#[A-Za-z0-9_]+')) AS tag FROM conversations),
+q AS (SELECT DISTINCT tag, unnest(regexp_extract_all(lower(tag), '[\p{{L}}\p{{N}}]+')) AS term FROM g)
+SELECT tag, id AS doc_id, round(sum(boost * ln(1 + (total - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * size / mean)))), 4) AS score, count(DISTINCT term) AS n_words
+FROM q JOIN i USING (term) JOIN df USING (field, term) JOIN m USING (field), n GROUP BY 1, 2"""
+
+
+def save_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as XML, with faults in a line of their own: which parse, and the line of the first fault."""
+    k = F.col("p_partkey")
+    faults = ["<b></c>", "<b c=d/>", "&nope;", '<b c="1" c="2"/>', "<b", "a & b", "<b/>", "x", "&lt;", "<!-- c -->"]
+    fault = F.element_at(F.array(*map(F.lit, faults)), (k % len(faults) + 1).cast("int"))
+    xml = F.concat(F.lit("<a>"), F.repeat(F.lit("\n"), (k % 7).cast("int")), F.col("p_name"), F.lit(" "), fault, F.lit("\n</a>"))
+    return corpus.well_formed(table(spark, d, "part").select("p_partkey", xml.alias("xml")), "p_partkey", "xml").select("p_partkey", F.col("reason").isNull().alias("ok"), "line")
+
+
+Q["save_gate"] = "SELECT p_partkey, p_partkey % 10 >= 6 AS ok, CASE WHEN p_partkey % 10 < 6 THEN 1 + p_partkey % 7 + CASE WHEN p_partkey % 10 = 4 THEN 1 ELSE 0 END END AS line FROM part"
+
+QUERIES = [search_updated, diff_rows, two_sided_lanes, collated_names, epithet_nearby, edition_faults, status_changes, import_defaults, tag_search, save_gate]

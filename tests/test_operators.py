@@ -192,7 +192,7 @@ def test_sources(spark, tmp_path):
     assert {r.file for r in docs.collect()} == {"a.xml", "c.xml"}
     assert records.split_records(docs).count() == 1
     assert {(r.file, r["size"]) for r in corpus.listing(spark, str(tmp_path)).collect()} == {("a.xml", len(TEI.encode())), ("c.xml", 4)}
-    assert corpus.one_file(docs, "a.xml").count() == 1
+    assert corpus.named_file(docs, "a.xml").count() == 1
     (tmp_path / "s.json").write_text('{"generatedAt": "now",\n "files": {"x.xml": "<TEI/>", "y.xml": "z"}}')
     assert {tuple(r) for r in corpus.snapshot(spark, str(tmp_path / "s.json")).collect()} == {("x.xml", "<TEI/>"), ("y.xml", "z")}
 
