@@ -73,43 +73,42 @@ EDITION_RULES = {
 def edition_issues(found: DataFrame, key: str, tokens: str = "tokens", error: str = "error") -> DataFrame:
     """(key, line, rule, severity) of what tokens (see ``tokens``) of an edition break; a line of 0 is the whole.
 
-    Tokens are rows: what precedes one is found by windows, what lies above or below by joins on paths of the few
-    tokens that ask for it.  Each empty attribute counts.
+    Tokens are rows of one shuffle: what precedes one is found by windows, what is above and right below it the token
+    says.  Only the rare ruler whose key names an epithet is looked up among all tokens.  Each empty attribute counts.
     """
-    each = found.where(F.col(error).isNull()).select(F.col(key), F.posexplode(tokens).alias("i", "t"))
-    attr = lambda name: F.coalesce(F.element_at("t.attrs", name), F.lit(""))
-    size = F.size("t.path")
+    every = F.col(tokens)
+    of = lambda t, name: F.coalesce(F.element_at(t["attrs"], name), F.lit(""))
+    is_epithet = lambda t: t["name"].eqNullSafe("rs") & (of(t, "type") == "epithet")
+    keyed = lambda t: t["name"].eqNullSafe("persName") & of(t, "type").isin("ruler", "emperor") & F.contains(F.lower(of(t, "key")), F.lit("theos"))
+    below = lambda x, path: F.slice(x["path"], F.lit(1), F.size(path)) == path
+
+    def says(t: Column) -> Column:
+        """Whether the first epithet right below a token has a text."""
+        first = F.get(F.filter(every, lambda e: is_epithet(e) & (F.size(e["path"]) == F.size(t["path"]) + 1) & below(e, t["path"])), F.lit(0))["path"]
+        return F.exists(every, lambda x: (x["kind"] == "text") & (F.trim(x["value"]) != "") & below(x, first))
+
+    broken_off = F.array(F.struct(F.lit(None).cast(found.schema[tokens].dataType.elementType).alias("t"), F.lit(False).alias("says")))
+    looked = F.transform(every, lambda t: F.struct(t.alias("t"), F.when(keyed(t) & F.array_contains(t["kids"], "rs"), says(t)).otherwise(F.lit(False)).alias("says")))
+    each = found.select(key, F.col(error).isNotNull().alias("malformed"), F.posexplode(F.when(F.col(error).isNotNull(), broken_off).otherwise(looked)).alias("i", "x"))
+    t = F.col("x.t")
+    attr = lambda name: of(t, name)
     rows = each.select(
-        key, "i", F.col("t.kind").alias("kind"), F.col("t.name").alias("name"), F.col("t.value").alias("value"), F.col("t.attrs").alias("attrs"), F.col("t.path").alias("path"),
-        F.slice("t.path", F.lit(1), size - 1).alias("parent"), F.element_at("t.path", -1).alias("nth"), *(attr(a).alias(f"a_{a}") for a in ("type", "key", "nymRef", "unit", "break", "quantity", "atLeast", "extent")),
+        key, "malformed", "i", "x.says", t["kind"].alias("kind"), t["name"].alias("name"), t["value"].alias("value"), t["attrs"].alias("attrs"), t["above"].alias("above"), t["kids"].alias("kids"),
+        F.slice(t["path"], F.lit(1), F.size(t["path"]) - 1).alias("parent"), F.element_at(t["path"], -1).alias("nth"), keyed(t).alias("keyed"), *(attr(a).alias(f"a_{a}") for a in ("type", "key", "nymRef", "unit", "break", "quantity", "atLeast", "extent")),
     )
     is_ = lambda name: F.col("name").eqNullSafe(name)
     text, lb, epithet, divine = F.col("kind") == "text", is_("lb"), is_("rs") & (F.col("a_type") == "epithet"), is_("persName") & (F.col("a_type") == "divine")
-    place, siblings = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key, "parent").orderBy("nth")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
+    place, siblings = before(Window.partitionBy(key).orderBy("i")), before(Window.partitionBy(key, "parent").orderBy("nth"))
+    whole = rows.select(
         "*",
-        F.count_if(lb).over(before(place)).alias("breaks"),
-        F.last(F.when(text | lb, F.struct("kind", "value")), ignorenulls=True).over(before(place)).alias("said"),
-        F.count_if(divine).over(before(siblings)).alias("beside"),
+        F.count_if(lb).over(place).alias("breaks"),
+        F.last(F.when(text | lb, F.struct("kind", "value")), ignorenulls=True).over(place).alias("said"),
+        F.count_if(divine).over(siblings).alias("beside"),
     )
-    whole = rows  # with what other tokens say of each
-    pair = lambda of, path: of.select(F.col(key).alias("__key"), F.col(path).alias("__path"))
-    same = lambda path: F.col(key).eqNullSafe(F.col("__key")) & (F.col(path) == F.col("__path"))
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("above")
-    persons = pair(rows.where(is_("persName")), "path")
-    inside = rows.where(epithet & (F.size("path") > 1)).select(key, "path", above).join(persons, same("above")).select(F.col(key).alias("e_key"), F.col("path").alias("e_path")).distinct()
-    whole = whole.join(inside, F.col(key).eqNullSafe(F.col("e_key")) & (F.col("path") == F.col("e_path")) & epithet, "left")
-    kids = rows.where(F.col("kind") == "el").groupBy(F.col(key).alias("k_key"), F.col("parent").alias("k_path")).agg(F.bool_or(is_("name")).alias("named"), F.min_by("path", F.when(epithet, F.col("nth"))).alias("epithet_path"))
-    whole = whole.join(kids, F.col(key).eqNullSafe(F.col("k_key")) & (F.col("path") == F.col("k_path")) & is_("persName"), "left")
-    kept_key = is_("persName") & F.col("a_type").isin("ruler", "emperor") & F.contains(F.lower("a_key"), F.lit("theos"))
-    asked = whole.where(kept_key & F.col("epithet_path").isNotNull()).select(F.col(key).alias("__key"), F.col("epithet_path").alias("__path"))
-    spoken = rows.where(text & (F.trim("value") != "") & (F.size("path") > 1)).join(asked.select(F.col("__key").alias("s_key")).distinct(), F.col(key).eqNullSafe(F.col("s_key")), "left_semi")
-    saying = spoken.select(key, above).join(asked, same("above"), "left_semi").select(F.col(key).alias("t_key"), F.col("above").alias("t_path")).distinct()
-    whole = whole.join(saying, F.col(key).eqNullSafe(F.col("t_key")) & (F.col("epithet_path") == F.col("t_path")) & kept_key, "left")
-
-    alone, has, odd = epithet & F.col("e_path").isNull(), lambda a: F.col(f"a_{a}") != "", F.col("a_unit").rlike(r"[^\x00-\x7F]")
+    alone, has, odd = epithet & ~F.array_contains("above", "persName"), lambda a: F.col(f"a_{a}") != "", F.col("a_unit").rlike(r"[^\x00-\x7F]")
     rules = [
+        ("not_well_formed", F.col("malformed")),
         ("leiden_residue", F.col("value").rlike(r"[\[\]{}]|- - -")),
         ("attribute_in_text", F.col("value").rlike(r'[A-Za-z:_-]+\s*=\s*"[^"]*"')),
         ("unit_not_ascii", has("unit") & odd),
@@ -121,17 +120,16 @@ def edition_issues(found: DataFrame, key: str, tokens: str = "tokens", error: st
         ("key_on_epithet", epithet & has("key")),
         ("epithet_outside_person", alone & (F.col("beside") < 2)),
         ("epithet_after_coordinated", alone & (F.col("beside") >= 2)),
-        ("divine_without_name", divine & ~F.coalesce("named", F.lit(True))),
+        ("divine_without_name", divine & (F.size("kids") > 0) & ~F.array_contains("kids", "name")),
         ("divine_without_key", divine & ~has("key")),
-        ("epithet_in_key", kept_key & F.col("t_path").isNotNull()),
+        ("epithet_in_key", F.col("keyed") & F.col("says")),
         ("office_without_key", is_("rs") & (F.col("a_type") == "office") & ~has("key")),
         ("gap_of_zero", is_("gap") & (F.col("a_quantity") == "0")),
         ("gap_without_extent", is_("gap") & ~has("quantity") & ~has("atLeast") & ~has("extent")),
     ]
     empty = F.transform(F.filter(F.map_values("attrs"), lambda v: v == ""), lambda v: F.lit("empty_attribute"))
     listed = F.concat(F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules))), F.coalesce(empty, F.array().cast("array<string>")))
-    broken = whole.select(key, F.greatest("breaks", F.lit(1)).cast("int").alias("line"), F.explode(listed).alias("rule"))
-    broken = broken.unionByName(found.where(F.col(error).isNotNull()).select(key, F.lit(0).alias("line"), F.lit("not_well_formed").alias("rule")))
+    broken = whole.select(key, F.when(F.col("malformed"), 0).otherwise(F.greatest("breaks", F.lit(1))).cast("int").alias("line"), F.explode(listed).alias("rule"))
     errors = [name for name, hard in EDITION_RULES.items() if hard]
     return broken.withColumn("severity", F.when(F.col("rule").isin(*errors), "error").otherwise("warning"))
 

@@ -21,8 +21,9 @@ def units(c: Column | str) -> Column:
 
 
 def too_long(c: Column | str, most: int) -> Column:
-    size = F.length(c)
-    return (size > most) | ((size > most // 2) & (units(c) > most))  # units are counted near the limit only
+    """Whether a text has more than so many units; they are counted only where its bytes allow it (never fewer than units)."""
+    size, octets = F.length(c), F.octet_length(c)
+    return (octets > most) & ((size > most) | ((size + (octets - size) / 3 > most) & (units(c) > most)))
 
 
 def longer(field: str, most: int) -> tuple[str, Column]:

@@ -70,10 +70,13 @@ def index_of(rows: DataFrame) -> Index:
 
 
 def postings(records: DataFrame, fields: dict[str, float], *, id: str = "id", marked: bool = False) -> DataFrame:  # noqa: A002
-    """(id, field, boost, term, tf, size): size is the field's number of terms."""
+    """(id, field, boost, term, tf, size): size is the field's number of terms.
+
+    Records are dealt by id while they are texts, so their terms are counted where they are cut.
+    """
     texts = (F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), (strip_tags(F.col(f), " ") if marked else F.col(f)).alias("text")) for f, b in fields.items())
     said = F.explode(F.filter(F.array(*texts), lambda x: x["text"] != "")).alias("x")  # what is empty isn't folded
-    rows = records.select(F.col(id).alias("id"), said).select("id", "x.field", "x.boost", F.regexp_extract_all(fold(F.col("x.text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    rows = records.select(id, *fields).repartition(id).select(F.col(id).alias("id"), said).select("id", "x.field", "x.boost", F.regexp_extract_all(fold(F.col("x.text")), F.lit(TERM), F.lit(0)).alias("terms"))
     rows = rows.select("id", "field", "boost", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     return rows.groupBy("id", "field", "boost", "size", "term").agg(F.count("*").alias("tf"))
 

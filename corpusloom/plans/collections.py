@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import mutate, rules, statistics
-from corpusloom.plans.views import ITEMS, VERSIONS, items, places, table, versions
+from corpusloom.plans.views import ITEMS, VERSIONS, items, places, table, versions, spread
 
 Q: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +63,7 @@ Q["cooccurrence_assoc"] = f"WITH {ITEMS} SELECT marca AS row_value, tipo AS col_
 
 
 def variant_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    words = spread(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
     return statistics.variant_conflicts(words, "word", text.fold_spaced(F.col("word")))
 
 

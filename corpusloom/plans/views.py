@@ -13,6 +13,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of texts; dealt anew where its files give so few partitions that threads would stand idle."""
+    rows, threads = table(spark, d, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(threads) if 2 * rows.rdd.getNumPartitions() <= threads else rows
+
+
 def places(spark: SparkSession, d: str) -> DataFrame:
     """(n_nationkey, citta, regione); a row per nation."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
