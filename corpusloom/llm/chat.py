@@ -5,7 +5,10 @@ role and text, so ties are settled) and rendered as a stream of blocks: a block
 closed after the turn with which it has ``block`` characters.  Most conversations are
 one block; a very long one is many, and no task holds more than a few blocks of it.
 Its digests go over its blocks in order, so one task reads them, with a block in
-memory.  A template's ``loop`` sees the turns of a block.
+memory.  Blocks together say what the whole conversation would: ``loop`` counts on from
+block to block, and what a template has before and after its loop over the messages
+stands once.  A template that looks at the messages in any other way is rendered from
+the whole conversation, which then is one block.
 
 A null text or role is empty; a null conversation id is a conversation of its
 own; equal rows are turns of their own; extra columns are ignored; an empty
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.templates import compile_template, unescape_control
+from corpusloom.llm.templates import compile_template, stream_template, unescape_control
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -49,22 +52,21 @@ def _rows(batches):
             yield from zip(*(c.slice(a, 512).to_pylist() for c in (ids, roles, texts)), strict=True)
 
 
-def _blocks(rows, block: int):
-    """(conversation, number of the block, its messages)."""
+def _blocks(rows, block: int | None):
+    """(conversation, number of the block, the place of its first message, its messages, whether it is the last)."""
     for conv, same in groupby(rows, key=lambda r: r[0]):
-        messages, chars, number = [], 0, 0
+        messages, chars, number, start = [], 0, 0, 0
         for _, role, text in same:
+            if block is not None and chars >= block:
+                yield conv, number, start, messages, False
+                messages, chars, number, start = [], 0, number + 1, start + len(messages)
             messages.append({"role": role or "", "text": text or ""})
             chars += len(role or "") + len(text or "")
-            if chars >= block:
-                yield conv, number, messages
-                messages, chars, number = [], 0, number + 1
-        if messages:
-            yield conv, number, messages
+        yield conv, number, start, messages, True
 
 
 def _formatted(batches, template: str, block: int):
-    render, out, chars = compile_template(template), [], 0
+    streamed, whole, out, chars = stream_template(template), compile_template(template), [], 0
 
     def batch():
         ids, blocks, n, texts, spans = zip(*out, strict=True)
@@ -73,8 +75,9 @@ def _formatted(batches, template: str, block: int):
         loss = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
         return pa.RecordBatch.from_arrays([*longs, pa.array(texts, pa.string()), loss], ["conv_id", "block", "n_turns", "formatted", "loss"])
 
-    for conv, number, messages in _blocks(_rows(batches), block):
-        out.append((conv, number, len(messages), *render({"messages": messages})))
+    for conv, number, start, messages, last in _blocks(_rows(batches), block if streamed else None):
+        rendered = streamed.render(messages, start, last) if streamed else whole({"messages": messages})
+        out.append((conv, number, len(messages), *rendered))
         chars += len(out[-1][3])
         if len(out) >= FLUSH or chars >= FLUSH_CHARS:
             yield batch()

@@ -366,3 +366,45 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
         return "".join(out.pieces), out.spans
 
     return render
+
+
+def _mentions(node, name: str) -> bool:
+    if isinstance(node, (list, tuple)):
+        return any(_mentions(n, name) for n in node)
+    if isinstance(node, Name):
+        return node.name == name
+    if isinstance(node, Block):
+        return any(_mentions(n, name) for n in (node.head, node.body, node.other))
+    return any(_mentions(n, name) for n in vars(node).values()) if isinstance(node, (Get, Op, Filter)) else False
+
+
+class Streamed:
+    """A template that is one loop over a list, with something before and after it: the list may come in parts.
+
+    What an element is rendered to depends on itself and its place only, so parts rendered one after the other say
+    what the whole list would.
+    """
+
+    def __init__(self, before: list, loop: Block, after: list):
+        self.before, self.after, self.name, self.body = _body(before), _body(after), loop.head[0], _body(loop.body)
+
+    def render(self, part: list, start: int, last: bool) -> tuple[str, list[tuple[int, int]]]:
+        """(text, spans) of a part that begins at place ``start`` of the list, and ends it if ``last``."""
+        out, names = Output(), {}
+        self.before(names, out if start == 0 else Output())  # its variables hold in every part
+        for i, x in enumerate(part, start):
+            place = {"index": i + 1, "index0": i, "first": i == 0, "last": last and i == start + len(part) - 1}
+            self.body(names | {self.name: x, "loop": place}, out)
+        if last:
+            self.after(names, out)
+        return "".join(out.pieces), out.spans
+
+
+def stream_template(source: str, over: str = "messages") -> Streamed | None:
+    """The template as one that takes the list ``over`` in parts; None if it looks at the list in any other way."""
+    root = parse(source)
+    loops = [i for i, n in enumerate(root) if isinstance(n, Block) and n.kind == "for" and n.head[1] == Name(over)]
+    if len(loops) != 1:
+        return None
+    before, loop, after = root[: loops[0]], root[loops[0]], root[loops[0] + 1 :]
+    return None if _mentions([before, loop.body, after], over) else Streamed(before, loop, after)

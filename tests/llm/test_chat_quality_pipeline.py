@@ -53,6 +53,32 @@ def test_a_long_conversation_is_many_blocks(spark):
     assert chat.read_back(formatted).collect() == chat.read_back(chat.format_conversations(df)).collect()
 
 
+LOOPS = [
+    "{% for m in messages %}{% if loop.first %}<s>{% endif %}{{ loop.index }}{{ m.text }};{% if loop.last %}</s>{% endif %}{% endfor %}",
+    "{% set a = 'x' %}head {{ a }} {% for m in messages %}{{ a }}{% generation %}{{ m.text }}{% endgeneration %}{{ loop.index0 }}{% endfor %} tail{% generation %}!{% endgeneration %}",
+    "{% for m in messages %}{% for n in messages %}{{ n.role }}{% endfor %}{% endfor %}",  # needs the whole
+    "{{ messages | length }}{% for m in messages %}{{ m.text }}{% endfor %}",
+    "{% for m in messages %}{{ m.text }}{% endfor %}{% for m in messages %}{{ m.role }}{% endfor %}",
+    "nothing of them",
+]
+
+
+@pytest.mark.parametrize("template", LOOPS)
+def test_blocks_say_what_the_whole_does(spark, template):
+    rows = [(c, t, f"r{t}", "é" * (7 * t % 11)) for c in range(4) for t in range(1 + 5 * c)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (1, 9, 1 << 20):
+        formatted = chat.format_conversations(df, template=template, block=block).orderBy("conv_id", "block").collect()
+        for c in range(4):
+            mine = [r for r in formatted if r.conv_id == c]
+            text, spans = compile_template(template)({"messages": [{"role": r, "text": x} for d, _, r, x in rows if d == c]})
+            assert "".join(r.formatted for r in mine) == text and sum(r.n_turns for r in mine) == 1 + 5 * c
+            before = [sum(len(r.formatted) for r in mine[:i]) for i in range(len(mine))]
+            assert [(b + s.start, b + s.end) for r, b in zip(mine, before) for s in r.loss] == spans
+    many = len({r.block for r in chat.format_conversations(df, template=template, block=1).collect()})
+    assert many > 5 if template in LOOPS[:2] else many == 1
+
+
 def measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
