@@ -2,7 +2,10 @@
 
 A paragraph is a run of lines that aren't blank.  What is classified are its
 *windows*, of one to ``LINES`` consecutive lines joined by spaces, so that a notice
-wrapped over lines is read whole and one in a long paragraph isn't drowned.  A
+wrapped over lines is read whole and one in a long paragraph isn't drowned.  Where a
+paragraph has more lines than that, of fewer than ``UNIT`` words on average, windows of
+one to ``LINES`` runs of ``UNIT`` words are read as well, so it doesn't matter how narrow a
+notice is wrapped.  A
 logistic regression over word 1- and 2-grams (present or not) tells licence
 families from each other and from other text.  It is trained here, on notices made
 from the families' names and usual sentences, and on at most ``OTHERS`` lines of
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import Scratch
 
-OTHERS, SAMPLE, ENOUGH, LINES = 3000, 64, 0.7, 4
+OTHERS, SAMPLE, ENOUGH, LINES, UNIT = 3000, 64, 0.7, 4, 12
 #: Parts that sentences and families are left out in, and how many other lines and rounds those fits take.
 PARTS, FEW_OTHERS, FEW_ROUNDS = 3, 400, 80
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -233,11 +236,26 @@ def verdicts(spark: SparkSession, lines: DataFrame, model: Model) -> DataFrame:
     return found.join(held, "h", "left").select("h", "family", "score", (F.coalesce("share", F.lit(0.0)) >= ENOUGH).alias("confirmed"))
 
 
-def windows(lines, trigger: str):
-    """The windows of an array of lines that hold a trigger, once each."""
-    n = F.size(lines)
-    runs = F.transform(F.sequence(F.lit(1), F.lit(LINES)), lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(lines, i, k), " "))))
-    return F.array_distinct(F.filter(F.flatten(F.array_compact(runs)), lambda x: x.rlike(trigger)))
+def windows(lines, words, trigger: str):
+    """The windows of an array of lines that hold a trigger, once each; words: those of lines to be read in units too, else none.
+
+    Both are columns, not expressions: they are looked at once for each window.
+    """
+
+    def runs(parts):
+        n = F.size(parts)
+        return F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.lit(LINES)), lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(parts, i, k), " "))))))
+
+    n = F.size(words)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(UNIT))).otherwise(F.array().cast("array<int>"))
+    units = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LINES), F.ceil((n - i + 1) / UNIT).cast("int"))), lambda k: F.array_join(F.slice(words, i, k * UNIT), " "))))
+    return F.array_distinct(F.filter(F.concat(runs(lines), units), lambda x: x.rlike(trigger)))
+
+
+def narrow_words(lines):
+    """The words of lines that are more than a window has, and shorter than a unit on average; else none."""
+    words = F.filter(F.split(F.array_join(lines, " "), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((F.size(lines) > LINES) & (F.size(words) < UNIT * F.size(lines)), words).otherwise(F.array().cast("array<string>"))
 
 
 def scanned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,7 +272,8 @@ def scanned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     read = scratch.table(read, "read")
     each = read.where(F.size("asked") > 0).select("doc_id", "fp", F.posexplode("asked").alias("pos", "paragraph")).distinct()
     lines = F.filter(F.split("paragraph", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    each = each.select("doc_id", "fp", "pos", lines.alias("lines")).select("doc_id", "fp", "pos", F.explode(windows(F.col("lines"), trigger)).alias("line")).withColumn("h", F.xxhash64("line"))
+    each = each.select("doc_id", "fp", "pos", lines.alias("lines")).select("doc_id", "fp", "pos", "lines", narrow_words(F.col("lines")).alias("words"))
+    each = each.select("doc_id", "fp", "pos", F.explode(windows(F.col("lines"), F.col("words"), trigger)).alias("line")).withColumn("h", F.xxhash64("line"))
     each = scratch.table(each, "windows")
     distinct = scratch.table(each.groupBy("h").agg(F.min("line").alias("line")), "distinct")
     judged = scratch.table(verdicts(spark, distinct, model), "verdicts")

@@ -87,3 +87,22 @@ def test_no_licence_without_a_trigger():
         best = np.maximum(model.weights[:-1, :-1] - model.weights[:-1, -1:], 0)[[model.place[g] for g in free]].sum(0)
         assert np.exp(model.weights[-1, :-1] - model.weights[-1, -1] + best).sum() < 1
         assert all(licenses.grams(t) & set(model.triggers) for _, t, _ in licenses.notices())
+
+
+def test_a_notice_may_be_wrapped_at_any_width(spark):
+    said = {
+        "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "mit": MIT,
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.",
+    }
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    widths = (1, 2, 3, 4, 5, 9, 100)
+    texts = {(f, n): wrap(t, n) for f, t in said.items() for n in widths}
+    around = {(f, n): "\n".join([wrap(PROSE, n), wrap(t, n), wrap(PROSE, n)]) for f, t in said.items() for n in (2, 3)}
+    keys = [*texts.items(), *around.items()]
+    out = found(spark, {i: t for i, (_, t) in enumerate(keys)})
+    for i, ((family, n), t) in enumerate(keys):
+        assert out[i].licence == family, (family, n, t, out[i])
+        assert out[i].confirmed or i >= len(texts), (family, n)
+    assert found(spark, {1: wrap(" ".join([PROSE] * 5), 2)})[1].licence == "none"
