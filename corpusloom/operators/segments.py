@@ -155,6 +155,10 @@ class SegmentIndex:
         self.log.commit(number, state | {"segments": kept | ({name: n} if n else {}), "dead": [name] if self._read([name], "dead", "").limit(1).count() else []})
         return chosen
 
+    def vacuum(self, keep: int = 2, *, older_than: float = 7 * 86400) -> list[str]:
+        """Removes all but the last commits, and segments and tombstones that those don't name and that are older than so many seconds."""
+        return self.log.vacuum(lambda state: [*state["segments"], *state["dead"]], keep, older_than)
+
 
 def _without(rows: DataFrame, dead: DataFrame) -> DataFrame:
     gone = dead.select(F.col("id").alias("__id"), F.col("segment").alias("__segment"))

@@ -246,4 +246,22 @@ SELECT report, key, n, variants FROM f UNION ALL SELECT coalesce(report, 'all'),
 UNION ALL SELECT 'epithets', coalesce(p_type, 'all'), count(DISTINCT e), NULL FROM (SELECT p_type, unnest([p_brand, 'Soter']) AS e FROM part) GROUP BY ROLLUP (p_type)
 UNION ALL SELECT 'reach', citta, max(20 + CASE WHEN n <= 1 THEN 42 ELSE 36 + least(n * 40, 108) END) + 40, NULL FROM b GROUP BY citta"""
 
-QUERIES = [record_fields, labels, running_text, edition_indices, catalogue_flags, catalogue_hits, editor_lists, ledger_records, index_reports]
+
+def iconography_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records with figures: the distinct functions, places and traits, and each figure's traits by kind."""
+    k = F.col("p_partkey")
+    trait = lambda kind, key: F.struct(F.lit(kind).alias("type"), key.alias("key"))
+    w = [F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    first = F.struct(F.lit(1).alias("n"), F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("place"), F.array(trait("held", w[1]), trait("held", w[0]), trait("worn", F.col("p_type"))).alias("traits"))
+    second = F.struct(F.lit(2).alias("n"), F.lit("below").alias("place"), F.array(trait("worn", w[0])).alias("traits"))
+    ico = F.struct(F.when(k % 5 > 0, F.col("p_type")).alias("function"), F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("figures"))
+    rows = table(spark, d, "part").select(k.alias("id"), F.when(k % 7 > 0, ico).alias("iconografia"))
+    facets = catalogue.nested_facets(rows).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("n"), "facet", "value")
+    return facets.unionByName(derive.grouped_traits(rows, "id").select("id", "n", F.col("type").alias("facet"), F.array_join("traits", ",").alias("value")))
+
+
+Q["iconography_lists"] = """WITH p AS (SELECT p_partkey AS id, p_type AS t, p_brand AS b, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part WHERE p_partkey % 7 > 0),
+f AS (SELECT 'function' AS facet, t AS value FROM p WHERE id % 5 > 0 UNION SELECT 'place', b FROM p WHERE id % 2 = 0 UNION SELECT 'place', 'below' FROM p WHERE id % 3 = 0 UNION SELECT 'trait', unnest([w1, w2, t]) FROM p)
+SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS INTEGER) AS n, facet, value FROM f UNION ALL SELECT id, 1, 'held', least(w1, w2) || ',' || greatest(w1, w2) FROM p UNION ALL SELECT id, 1, 'worn', t FROM p UNION ALL SELECT id, 2, 'worn', w1 FROM p WHERE id % 3 = 0"""
+
+QUERIES = [record_fields, labels, running_text, edition_indices, catalogue_flags, catalogue_hits, editor_lists, ledger_records, index_reports, iconography_lists]

@@ -14,6 +14,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -97,6 +98,18 @@ class Log:
     def remove(self, path: str) -> None:
         self._store().delete(self._at(f"{self.base}/{path}"), True)
 
+    def vacuum(self, folders: Callable[[dict], Iterable[str]], keep: int, older_than: float) -> list[str]:
+        """Removes all but the last commits, and the folders of data that those don't name and that are older than so many seconds."""
+        numbers = self.numbers()
+        held = {folder for n in numbers[-keep:] for folder in folders(self.read(n))}
+        for n in numbers[:-keep]:
+            self.remove(f"commits/{n:010d}.json")
+        each = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self._names("data")]
+        gone = [name for name, at in each if name not in held and at <= time.time() - older_than]
+        for name in gone:
+            self.remove(f"data/{name}")
+        return gone
+
 
 class Versions:
     """Tables that are replaced together."""
@@ -132,14 +145,7 @@ class Versions:
 
     def vacuum(self, keep: int = 2, *, older_than: float = 7 * 86400) -> list[str]:
         """Removes all but the last versions, and folders without a commit that are older than so many seconds."""
-        numbers = self.log.numbers()
-        held = {self.log.read(n)["folder"] for n in numbers[-keep:]}
-        for n in numbers[:-keep]:
-            self.log.remove(f"commits/{n:010d}.json")
-        gone = [s.getPath().getName() for s in self.log._names("data") if s.getPath().getName() not in held and s.getModificationTime() / 1000 <= time.time() - older_than]
-        for folder in gone:
-            self.log.remove(f"data/{folder}")
-        return gone
+        return self.log.vacuum(lambda content: [content["folder"]], keep, older_than)
 
 
 @dataclass(frozen=True)
@@ -169,3 +175,21 @@ def replace_all(store: Versions, records: DataFrame, violation: Column, *, key:
     if version and before:
         removed = store.open(name, before).select(key).distinct().join(store.open(name, version).select(key), key, "left_anti").count()
     return Saved(version, counts["n"] if version else 0, counts["failed"], removed, marked.where("violation IS NOT NULL"))
+
+
+def put(store: Versions, rows: DataFrame, *, key: str, name: str = "records", based_on: int | None = None) -> int | None:
+    """A version in which rows replace those of their keys, or are added; rows without a key are added."""
+    before = store.current() if based_on is None else based_on
+    if not before:
+        return store.save({name: rows}, based_on=before)
+    old = store.open(name, before)
+    return store.save({name: old.join(rows.select(key), key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))}, based_on=before)
+
+
+def delete(store: Versions, keys: DataFrame, *, key: str, name: str = "records", enabled: bool = False, based_on: int | None = None) -> int | None:
+    """A version without the rows of some keys; nothing is ever deleted unless that is enabled."""
+    before = store.current() if based_on is None else based_on
+    if not enabled or not before:
+        return before or None
+    old = store.open(name, before)
+    return store.save({name: old.join(keys.select(key), key, "left_anti").select(*old.columns)}, based_on=before)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import rules, search, segments
-from corpusloom.sources.versions import Conflict, Versions, replace_all
+from corpusloom.sources.versions import Conflict, Versions, delete, put, replace_all
 
 FIELDS = {"title": 2.0, "body": 1.0}
 
@@ -34,6 +34,19 @@ def test_replace_all_or_nothing(spark, tmp_path):
     assert len(store.vacuum(1, older_than=0)) == 2 and store.open("records").count() == 40 and store.log.numbers() == [2]
 
 
+def test_single_writes_and_deletes(spark, tmp_path):
+    store = Versions(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame(r, "file string, xml string")
+    assert put(store, rows(("a", "1"), ("b", "1"), (None, "0")), key="file") == 1
+    assert put(store, rows(("b", "2"), ("c", "2"), (None, "2")), key="file") == 2
+    held = lambda: sorted(map(tuple, store.open("records").collect()), key=repr)
+    assert held() == sorted([("a", "1"), ("b", "2"), ("c", "2"), (None, "0"), (None, "2")], key=repr)
+    assert delete(store, rows(("a", ""), ("z", "")), key="file") == 2 and len(held()) == 5  # not enabled
+    assert delete(store, rows(("a", ""), ("z", "")), key="file", enabled=True) == 3 and ("a", "1") not in held() and len(held()) == 4
+    with pytest.raises(Conflict):
+        put(store, rows(("d", "3")), key="file", based_on=2)
+
+
 def texts(rng, n):
     word = lambda: "".join(rng.choices("aeo tn", k=5)).strip() or "é"
     return [(i, " ".join(word() for _ in range(3)), " ".join(word() for _ in range(rng.randint(0, 20)))) for i in range(n)]
@@ -75,6 +88,8 @@ def test_follows_its_table(spark, tmp_path):
     assert len(state["segments"]) < 7
     index.update(spark.createDataFrame([(5000, "tea", "tea")], schema), whole=False)  # rows that are not all there are
     assert index.documents(index.state()[1], "bigint").count() == len(rows) + 1
+    held = found(index.open(), "tea ante")
+    assert index.vacuum(older_than=3600) == [] and index.vacuum(1, older_than=0) and found(index.open(), "tea ante") == held
     index.update(spark.createDataFrame([], schema))
     assert found(index.open(), "tea") == set() and index.state()[1]["total"] == 0
 
