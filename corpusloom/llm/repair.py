@@ -281,7 +281,8 @@ def repaired(
     same = Window.partitionBy("conv_id", "there", F.xxhash64("role", "text"), "role", "text").orderBy("turn")
     seen = F.row_number().over(same) > 1
     fault = F.when(_blank(F.col("text")), "blank").when(seen, "duplicate").when(_cut_off(F.col("text")), "truncated")
-    judged = source.repartition("conv_id").withColumn("fault", fault).sortWithinPartitions("conv_id", "turn", "role", "text")
+    repeated = F.coalesce(F.col("fault") == "duplicate", F.lit(False))  # of equal rows the first is the one that isn't
+    judged = source.repartition("conv_id").withColumn("fault", fault).sortWithinPartitions("conv_id", "turn", "role", "text", repeated)
     ordered = judged.select("conv_id", "there", "turn", "role", "text", "fault")
     return ordered.mapInArrow(lambda batches: _repaired(batches, spool, block), EDITED)
 

@@ -114,6 +114,7 @@ def rows():
         for turn in range(rng.randint(0, 9)):
             out.append((conv, turn + rng.randint(0, 2), rng.choice(["user", "assistant", "system", "tool", "user", "assistant"]), rng.choice(["a", "b.", " \n", "c?\t", "d… ", "e! f", "."]) * rng.randint(1, 3)))
     out += [(500, i, "assistant" if i % 2 else "user", f"{i % 7} very long. " * 40) for i in range(900)]
+    out += [(conv, turn, role, "same!") for conv in range(1000, 1040) for turn, role in ((1, "user"), (2, "assistant")) for _ in range(6)]  # the first of equal rows isn't the duplicate
     out += [(conv, turn, "user", "gone.") for conv in range(600, 900) for turn in range(1) if zlib.crc32(f"{conv}:{turn}".encode()) % 20 == 0]
     return out
 
