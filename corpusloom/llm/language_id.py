@@ -6,15 +6,19 @@ a text gets the language of lowest cross-entropy per character.
 
 1. Character n-grams of the training texts are counted by language: summed in
    each task over its distinct words, then shuffled.  Continuation counts, totals
-   of contexts and discounts are taken from all of them, in Spark.  About ``GRAMS``
-   n-grams go into the models, so what the driver builds and broadcasts is bounded
-   whatever the corpus (some 50 bytes each, and 8 for every language beyond four).
-   Every language has an equal part of them, and what it doesn't need goes to the
-   others; of a language's n-grams its most frequent are taken.
+   of contexts and discounts are taken from all of them, in Spark, and all of them
+   are in the models.
 2. Models are sorted arrays of n-gram hashes, with the discounted share of each
-   n-gram and the back-off weight of each context, a column per language.  The
-   weight of a context is what the shares taken leave of it, so the mass of
-   n-grams that weren't taken goes to the lower order.
+   n-gram and the back-off weight of each context, a column per language.  Up to
+   ``GRAMS`` n-grams (some 50 bytes each) are broadcast as one.  More are cut into
+   blocks by the character before the last: all that the probability of a
+   character is made of hangs on the character before it, but for the 1-grams,
+   which every block has.  So a word's log probability is the sum of what the
+   blocks give for its characters.  Blocks are put together by the executors and
+   kept as a table in the shared folder; a task gathers the words of ``HELD`` bytes
+   of text, then reads one block after the other.  A block holds ``GRAMS`` n-grams
+   of four languages, fewer of more, or those of the characters of one bucket of
+   ``BUCKETS``, if these are more.
 3. One in 64 training texts isn't counted but scored; how often the best language
    is the right one there, by its lead, calibrates ``score``, and how high the
    cross-entropy of right ones gets sets the limit of ``rejected``.
@@ -28,10 +32,13 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import io
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +47,8 @@ from corpusloom.llm.scratch import Scratch
 
 ORDER, GRAMS, SLICE = 4, 1 << 20, 2 << 20
 CACHED, MERGE = 1_000_000, 1_000_000
-#: Bins to a doubling of an n-gram's count, and the parts that the last bin taken is split into.
-BINS, WHOLE = 64, 1 << 20
+#: Buckets of characters that blocks are made of; bytes of text whose words meet the blocks together; characters scored at once.
+BUCKETS, HELD, AT_ONCE = 1024, 64 << 20, 1 << 18
 #: Bins of a lead (characters' standard units) and of a cross-entropy (nats).
 LEAD_BIN, LEADS, ENTROPY_BIN, ENTROPIES = 0.25, 200, 0.05, 400
 UNKNOWN = "und"
@@ -86,7 +93,7 @@ def _unique_words(held: list[tuple]) -> tuple:
     return lang[first], h[first], np.bincount(back, n, len(first)), to, raw[take]
 
 
-COUNTS = "lang string, o int, g long, ctx long, suf long, open boolean, n long"
+COUNTS = "lang string, o int, g long, ctx long, suf long, prev long, open boolean, n long"
 
 
 def _grams_of(words: tuple, names: list[str]):
@@ -112,6 +119,7 @@ def _grams_of(words: tuple, names: list[str]):
                     pa.array(kernel.as_long(g)),
                     pa.array(kernel.as_long(hashes[o - 1][where - 1])),
                     pa.array(kernel.as_long(hashes[o - 1][where])),
+                    pa.array(kernel.as_long(hashes[1][where - 1])) if o > 1 else pa.array(np.zeros(len(g), np.int64)),
                     pa.array(opens),
                     pa.array(np.bincount(back, weight[at], len(g)).astype(np.int64)),
                 ],
@@ -173,53 +181,59 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def parts(sizes: dict[str, int], most: int) -> dict[str, int]:
-    """How many of ``most`` each language gets: equal parts, of which those that need less leave the rest to the others."""
-    out: dict[str, int] = {}
-    for i, (name, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
-        out[name] = min(size, max(1, (most - sum(out.values())) // (len(sizes) - i)))
-    return out
+def merged(counts: DataFrame) -> DataFrame:
+    """COUNTS of all tasks, a row for each language and n-gram."""
+    first = (F.min(c).alias(c) for c in ("ctx", "suf", "prev"))
+    return counts.groupBy("lang", "o", "g").agg(*first, F.max("open").alias("open"), F.sum("n").alias("n"))
 
 
-def taken(counts: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, float]:
-    """(lang, o, g, ctx and share of about ``most`` n-grams, the share of an unknown character); all counts have their part in the shares."""
+def all_shares(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float, list[str], np.ndarray, int]:
+    """(lang, o, g, ctx, bucket and share of every n-gram, the share of an unknown character, languages, n-grams by bucket, 1-grams)."""
     counts = scratch.table(counts, "counts")
     # Lower orders count what an n-gram follows, except at a word's start, where nothing can precede it.
     kinds = counts.where(F.col("o") > 1).groupBy("lang", F.col("suf").alias("g"), (F.col("o") - 1).alias("o")).agg(F.count("*").alias("kinds"))
     plain = (F.col("o") == ORDER) | F.col("open")
     used = counts.join(kinds, ["lang", "o", "g"], "left").withColumn("used", F.when(plain, F.col("n")).otherwise(F.coalesce("kinds", F.lit(1))))
     total = F.sum("used").over(Window.partitionBy("lang", "o", "ctx"))  # as many rows as characters may follow
-    bin = F.floor(F.log2("n") * BINS).cast("int")
-    used = scratch.table(used.select("lang", "o", "g", "ctx", "used", total.alias("total"), bin.alias("bin")), "used")
-    cells = used.groupBy("lang", "o", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("used") == 1).alias("once"), F.count_if(F.col("used") == 2).alias("twice")).collect()  # bounded by the bins
-    sizes, seen = Counter(), defaultdict(Counter)
+    bucket = F.when(F.col("o") > 1, F.pmod("prev", F.lit(BUCKETS))).cast("int")  # 1-grams belong to all
+    used = scratch.table(used.select("lang", "o", "g", "ctx", bucket.alias("bucket"), "used", total.alias("total")), "used")
+    cells = used.groupBy("lang", "o", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("used") == 1).alias("once"), F.count_if(F.col("used") == 2).alias("twice")).collect()  # bounded by the buckets
+    sizes, singles, seen = np.zeros(BUCKETS, np.int64), 0, defaultdict(Counter)
     for r in cells:
-        sizes[r.lang] += r.n
-        seen[r.lang, r.o] += Counter(once=r.once, twice=r.twice)
-    left, picks = parts(sizes, most), []
-    for r in sorted(cells, key=lambda r: (-r.bin, r.o)):
-        n = min(r.n, left[r.lang])
-        left[r.lang] -= n
-        if n:  # of the last cell, those of least hash
-            x = seen[r.lang, r.o]
-            picks.append((r.lang, r.o, r.bin, discount(x["once"], x["twice"]), n * WHOLE // r.n))
-    picked = F.broadcast(counts.sparkSession.createDataFrame(picks, "lang string, o int, bin int, cut double, part long"))
-    found = used.join(picked, ["lang", "o", "bin"]).where(F.pmod(F.xxhash64("g"), F.lit(WHOLE)) < F.col("part"))
+        seen[r.lang, r.o].update(once=r.once, twice=r.twice)
+        if r.bucket is None:
+            singles += r.n
+        else:
+            sizes[r.bucket] += r.n
+    cuts = [(lang, o, discount(x["once"], x["twice"])) for (lang, o), x in seen.items()]
+    cuts = F.broadcast(counts.sparkSession.createDataFrame(cuts, "lang string, o int, cut double"))  # a row for each language and order
     letters = used.where(F.col("o") == 1).select("g").distinct().count()
-    return found.select("lang", "o", "g", "ctx", ((F.col("used") - F.col("cut")) / F.col("total")).alias("share")), 1.0 / (letters + 1)
+    share = (F.col("used") - F.col("cut")) / F.col("total")
+    return used.join(cuts, ["lang", "o"]).select("lang", "o", "g", "ctx", "bucket", share.alias("share")), 1.0 / (letters + 1), sorted({lang for lang, _ in seen}), sizes, singles
+
+
+def packed(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The block of each bucket: neighbours share one as long as they hold ``most`` together."""
+    blocks, held, block = np.zeros(len(sizes), np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            block, held = block + 1, 0
+        blocks[i] = block
+        held += n
+    return blocks
 
 
 class Models:
     """Sorted n-gram and context hashes, with a column of shares and back-off weights per language.
 
-    Made from ``taken`` rows and the share of an unknown character, or from counts.
+    Made from ``all_shares`` and the share of an unknown character, or from counts.
     """
 
-    def __init__(self, rows: pa.Table, floor: float | None = None):
+    def __init__(self, rows: pa.Table, floor: float | None = None, names: list[str] | None = None):
         if "share" not in rows.column_names:
             rows = shares(rows)
         lang = rows["lang"].combine_chunks().dictionary_encode()
-        self.names = sorted(lang.dictionary.to_pylist()) if len(rows) else []
+        self.names = names or (sorted(lang.dictionary.to_pylist()) if len(rows) else [])
         place = np.array([self.names.index(x) for x in lang.dictionary.to_pylist()], np.int64)
         k = place[lang.indices.to_numpy()] if len(rows) else np.zeros(0, np.int64)
         g, ctx = (rows[x].to_numpy().view(np.uint64) for x in ("g", "ctx"))
@@ -233,10 +247,15 @@ class Models:
         self.weight = (1 - held).reshape(len(self.contexts), count).astype(np.float32)
         self.floor = floor or 1.0 / (np.count_nonzero(np.unique(g[rows["o"].to_numpy() == 1])) + 1)
 
-    def word_scores(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(natural log probability by word and language, characters with the closing boundary) of words as symbols."""
+    def word_scores(self, c: np.ndarray, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(natural log probability by word and language, characters with the closing boundary) of words as symbols.
+
+        Where buckets are given that are ``mine``, other characters count nothing.
+        """
         hashes, longest = ngrams(c)
         at = np.arange(1, len(c))
+        if mine is not None:
+            at = at[mine[(hashes[1][:-1] % np.uint64(BUCKETS)).astype(np.int64)]]
         p = np.full((len(at), len(self.names)), self.floor, np.float32)
         for o in range(1, ORDER + 1):
             use = np.flatnonzero(longest[at] >= o)
@@ -247,7 +266,56 @@ class Models:
             q[seen] += self.share[gram[seen]]
             p[use] = q
         firsts = np.flatnonzero(c[:-1] == 0)
-        return np.add.reduceat(np.log(p), firsts, axis=0), np.diff(np.append(firsts, len(at)))
+        logs = np.log(p)
+        if mine is not None:
+            logs = np.zeros((len(c) - 1, len(self.names)), np.float32)
+            logs[at - 1] = np.log(p)
+        return np.add.reduceat(logs, firsts, axis=0), np.diff(np.append(firsts, len(c) - 1))
+
+
+class Blocks:
+    """Models too large to be broadcast, a row of a table for each block."""
+
+    def __init__(self, rows: DataFrame, floor: float, names: list[str], blocks: np.ndarray, scratch: Scratch):
+        self.names, self.floor, self.blocks, self.n = names, floor, blocks, int(blocks.max()) + 1
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.n - 1)))
+        block = F.element_at(F.lit(blocks.tolist()), F.col("bucket") + 1).cast("int")
+        dealt = rows.where("bucket IS NULL").withColumn("block", every).unionByName(rows.where("bucket IS NOT NULL").withColumn("block", block))
+        # Blocks are bounded, so one may be put together in one task.
+        made = dealt.groupBy("block").applyInArrow(lambda key, table: _block(key, table, floor, names), "block int, arrays binary")
+        scratch.table(made, "blocks")
+        self.path = f"{scratch.base}/blocks"
+
+    def load(self, block: int) -> Models:
+        store, base = fs.FileSystem.from_uri(self.path)
+        found = ds.dataset(base, filesystem=store, format="parquet").to_table(columns=["arrays"], filter=ds.field("block") == block)
+        models = Models.__new__(Models)
+        models.names, models.floor = self.names, self.floor
+        with np.load(io.BytesIO(found["arrays"][0].as_py())) as arrays:
+            models.__dict__ |= {k: arrays[k] for k in ARRAYS}
+        return models
+
+    def word_scores(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What one model of all blocks would give."""
+        firsts = np.flatnonzero(c[:-1] == 0)
+        cuts = np.unique(np.searchsorted(firsts, np.arange(0, len(c), AT_ONCE)))
+        cuts = np.append(cuts[cuts < len(firsts)], len(firsts))
+        ends = np.append(firsts, len(c) - 1)
+        scores = np.zeros((len(firsts), len(self.names)))
+        for block in range(self.n):
+            models, mine = self.load(block), self.blocks == block
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                scores[a:b] += models.word_scores(c[ends[a] : ends[b] + 1], mine)[0]
+        return scores.astype(np.float32), np.diff(ends)
+
+
+ARRAYS = ("grams", "contexts", "share", "weight")
+
+
+def _block(key, table: pa.Table, floor: float, names: list[str]) -> pa.Table:
+    models, out = Models(table, floor, names), io.BytesIO()
+    np.savez(out, **{k: getattr(models, k) for k in ARRAYS})
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "arrays": pa.array([out.getvalue()], pa.binary())})
 
 
 def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +336,33 @@ class Scorer:
     def clear(self) -> None:
         self.h, self.scores, self.n = np.zeros(0, np.uint64), np.zeros((0, len(self.models.names)), np.float32), np.zeros(0, np.int64)
 
+    def know(self, words: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Scores those of the words, sorted by hash, that aren't kept yet."""
+        new = ~_found(self.h, words)[1]
+        if new.any() and len(self.h) + np.count_nonzero(new) > CACHED:
+            self.clear()
+            new[:] = True
+        if new.any():
+            scores, n = self.models.word_scores(symbols(raw, starts[new], ends[new]))
+            every = np.concatenate([self.h, words[new]])
+            order = np.argsort(every, kind="stable")
+            self.h, self.scores, self.n = every[order], np.concatenate([self.scores, scores])[order], np.concatenate([self.n, n])[order]
+
+    def ahead(self, texts: pa.Array) -> None:
+        """Scores all words of many texts together, so that each block is read once."""
+        held: list[tuple] = []
+        for _, _, raw, offsets in kernel.text_slices(texts, SLICE):
+            starts, ends, _ = kernel.words(raw, offsets, LETTERS)
+            if len(starts):
+                h, first = np.unique(kernel.span_hash(kernel.running(LETTERS[raw]), starts, ends), return_index=True)
+                lengths = (ends - starts)[first]
+                to = np.concatenate([[0], np.cumsum(lengths)])
+                held.append((np.zeros(len(h), np.int64), h, np.ones(len(h), np.int64), to, raw[np.repeat(starts[first] - to[:-1], lengths) + np.arange(to[-1])]))
+        if held:
+            _, h, _, offsets, raw = _unique_words(held)
+            order = np.argsort(h)
+            self.know(h[order], raw, offsets[:-1][order], offsets[1:][order])
+
     def texts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probability by text and language, characters by text)."""
         starts, ends, by_text = kernel.words(raw, offsets, LETTERS)
@@ -277,14 +372,7 @@ class Scorer:
             return total, chars
         h = kernel.span_hash(kernel.running(LETTERS[raw]), starts, ends)
         words, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.h) + len(words) > CACHED:
-            self.clear()
-        new = ~_found(self.h, words)[1]
-        if new.any():
-            scores, n = self.models.word_scores(symbols(raw, starts[first[new]], ends[first[new]]))
-            every = np.concatenate([self.h, words[new]])
-            order = np.argsort(every, kind="stable")
-            self.h, self.scores, self.n = every[order], np.concatenate([self.scores, scores])[order], np.concatenate([self.n, n])[order]
+        self.know(words, raw, starts[first], ends[first])
         at = np.searchsorted(self.h, words)[back]
         some = np.flatnonzero(np.diff(by_text))
         total[some] = np.add.reduceat(self.scores[at], by_text[some], axis=0)
@@ -292,8 +380,25 @@ class Scorer:
         return total, chars
 
 
+def _gathered(batches, scorer: Scorer):
+    """The batches, after the words of about ``HELD`` bytes of them have been scored."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > HELD:
+            scorer.ahead(pa.chunked_array([x.column(1) for x in held]))
+            yield from held
+            held, size = [], 0
+    if held:
+        scorer.ahead(pa.chunked_array([x.column(1) for x in held]))
+        yield from held
+
+
 def _guessed(batches, models: Models):
     scorer, names = Scorer(models), models.names
+    if isinstance(models, Blocks):
+        batches = _gathered(batches, scorer)
     for batch in batches:
         lettered = batch.column(2).to_pylist()
         for a, b, raw, offsets in kernel.text_slices(batch.column(1), SLICE):
@@ -332,16 +437,23 @@ def slope(leads: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> float:
     return a
 
 
+def learned(counts: DataFrame, scratch: Scratch) -> Models | Blocks:
+    """The models of all n-grams, in one or, beyond ``GRAMS``, in blocks; they score alike."""
+    rows, floor, names, sizes, singles = all_shares(counts, scratch)
+    most = GRAMS * 4 // max(4, len(names))  # a model has a column for every language
+    if singles + int(sizes.sum()) <= most:
+        return Models(rows.drop("bucket").toArrow(), floor)
+    return Blocks(rows, floor, names, packed(sizes, most), scratch)
+
+
 def identified(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, cross_entropy, rejected; learned from training."""
     spark = docs.sparkSession
     usable = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     aside = F.crc32(F.col("doc_id").cast("string")) % 64 == 1
-    counts = usable.where(~F.coalesce(aside, F.lit(True))).select("text", "lang").mapInArrow(_counted, COUNTS)
-    counts = counts.groupBy("lang", "o", "g").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("open").alias("open"), F.sum("n").alias("n"))
+    counts = merged(usable.where(~F.coalesce(aside, F.lit(True))).select("text", "lang").mapInArrow(_counted, COUNTS))
     scratch = Scratch(spark, "language")
-    found, floor = taken(counts, scratch, GRAMS)
-    models = Models(found.toArrow(), floor)
+    models = learned(counts, scratch)
     scratch.drop("counts", "used")
     held = spark.sparkContext.broadcast(models)
     tried = guesses(usable.where(aside), held, also=F.col("lang")).where(F.col("lang_pred") != UNKNOWN)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import language_id
 from corpusloom.llm.queries import op9_language_id
+from corpusloom.llm.scratch import Scratch
 
 
 def made(n=300):
@@ -59,7 +60,7 @@ def test_query_learns_from_training_rows_only(spark):
 
 
 def counted(spark, texts):
-    return spark.createDataFrame(texts, "text string, lang string").mapInArrow(language_id._counted, language_id.COUNTS).groupBy("lang", "o", "g").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("open").alias("open"), F.sum("n").alias("n"))
+    return language_id.merged(spark.createDataFrame(texts, "text string, lang string").mapInArrow(language_id._counted, language_id.COUNTS))
 
 
 def test_a_rare_language_keeps_its_part(spark, monkeypatch):
@@ -73,30 +74,58 @@ def test_a_rare_language_keeps_its_part(spark, monkeypatch):
 
 
 def test_shares_are_those_of_all_counts(spark):
-    from corpusloom.llm.scratch import Scratch
-
     counts = counted(spark, [(t, lang) for _, t, lang in made(90)])
     want = {(r["lang"], r["o"], r["g"]): r["share"] for r in language_id.shares(counts.toArrow()).to_pylist()}
-    for most in (1 << 20, 300):
-        rows, floor = language_id.taken(counts, Scratch(spark, "test"), most)
-        table = rows.toArrow()
-        got = {(r["lang"], r["o"], r["g"]): r["share"] for r in table.to_pylist()}
-        assert got == pytest.approx({k: want[k] for k in got})
-        assert len(got) == len(want) if most > len(want) else 0.8 * most < len(got) < 1.2 * most
-        models = language_id.Models(table, floor)
-        letters = sorted({c for _, t, _ in made(90) for c in t if c != " "})
-        for start in ("", "k", "ka", "er", "des"):  # what may follow, and the word's end, is all of the mass
-            symbols = lambda w: np.array([0, *map(ord, w), 0], np.uint32)
-            unfinished = lambda w: models.word_scores(symbols(w)[:-1])[0][0] if w else np.zeros(3)
-            after = [np.exp(unfinished(start + c) - unfinished(start)) for c in letters]
-            if start:
-                after.append(np.exp(models.word_scores(symbols(start))[0][0] - unfinished(start)))
-            assert np.sum(after, axis=0) == pytest.approx(1, abs=0.08)
-
-
-def test_parts_of_languages():
-    assert language_id.parts({"a": 5, "b": 1000, "c": 2000}, 1000) == {"a": 5, "b": 497, "c": 498}
-    assert language_id.parts({}, 10) == {}
+    rows, floor, names, sizes, singles = language_id.all_shares(counts, Scratch(spark, "test"))
+    table = rows.toArrow()
+    assert {(r["lang"], r["o"], r["g"]): r["share"] for r in table.to_pylist()} == pytest.approx(want)
+    assert sizes.sum() + singles == len(want) and names == ["xx", "yy", "zz"]
+    models = language_id.Models(table, floor)
+    letters = sorted({c for _, t, _ in made(90) for c in t if c != " "})
+    for start in ("", "k", "ka", "er", "des"):  # what may follow, and the word's end, is all of the mass
+        symbols = lambda w: np.array([0, *map(ord, w), 0], np.uint32)
+        unfinished = lambda w: models.word_scores(symbols(w)[:-1])[0][0] if w else np.zeros(3)
+        after = [np.exp(unfinished(start + c) - unfinished(start)) for c in letters]
+        if start:
+            after.append(np.exp(models.word_scores(symbols(start))[0][0] - unfinished(start)))
+        assert np.sum(after, axis=0) == pytest.approx(1, abs=0.08)
+
+
+def test_blocks_score_as_one_model_does(spark, monkeypatch):
+    counts = counted(spark, [(t, lang) for _, t, lang in made(150)] + [("愛と平和 и мир", "mixed")])
+    whole = language_id.learned(counts, Scratch(spark, "test"))
+    assert isinstance(whole, language_id.Models)
+    monkeypatch.setattr(language_id, "AT_ONCE", 7)
+    words = ["kanori", "ión", "schung", "xyz", "愛と", "мир", "k", "ei", *{w for _, t, _ in made(60) for w in t.split()}]
+    c = np.array([0, *(x for w in words for x in [*map(ord, w), 0])], np.uint32)
+    for most in (100, 300, 1):  # the last: a block for each character
+        monkeypatch.setattr(language_id, "GRAMS", most)
+        blocks = language_id.learned(counts, Scratch(spark, "test"))
+        assert isinstance(blocks, language_id.Blocks) and blocks.n > 1 and blocks.names == whole.names
+        got, n = blocks.word_scores(c)
+        want, m = whole.word_scores(c)
+        assert n.tolist() == m.tolist() == [len(w) + 1 for w in words]
+        assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_many_ngrams_give_the_same_rows(spark, docs, monkeypatch):
+    """Hard texts too; words met in one go, kept scores thrown away."""
+    training = spark.createDataFrame(made(), "doc_id long, text string, lang string")
+    texts = docs.select("doc_id", "text").unionByName(training.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    rows = lambda: sorted(language_id.identified(texts, training).collect(), key=str)
+    want = rows()
+    monkeypatch.setattr(language_id, "GRAMS", 200)
+    for cached, held in ((1_000_000, 1 << 20), (5, 1 << 20), (1_000_000, 1)):
+        monkeypatch.setattr(language_id, "CACHED", cached)
+        monkeypatch.setattr(language_id, "HELD", held)
+        got = rows()
+        assert [(r.doc_id, r.lang_pred) for r in got] == [(r.doc_id, r.lang_pred) for r in want]
+        assert [r.cross_entropy for r in got] == pytest.approx([r.cross_entropy for r in want], rel=1e-4)
+
+
+def test_buckets_share_blocks():
+    assert language_id.packed(np.array([3, 3, 9, 0, 1, 2]), 6).tolist() == [0, 0, 1, 2, 2, 2]
+    assert language_id.packed(np.zeros(3, np.int64), 6).tolist() == [0, 0, 0]
 
 
 def test_against_kneser_ney_by_hand(spark):
@@ -144,7 +173,7 @@ def test_against_kneser_ney_by_hand(spark):
 
 
 def test_a_rare_language_is_predicted(spark, monkeypatch):
-    """One row in a hundred, of a corpus with more n-grams than the models may hold."""
+    """One row in a hundred, of a corpus with more n-grams than a block may hold."""
     monkeypatch.setattr(language_id, "GRAMS", 3000)
     rng = np.random.default_rng(11)
     syllables = {"aa": [a + b + c for a in "bcdfg" for b in "aei" for c in "lmnrs"], "bb": [a + b + c for a in "hjklp" for b in "ouy" for c in "tvwxz"], "rare": ["qui", "sto", "ma", "ne"]}
