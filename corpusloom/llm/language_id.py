@@ -155,7 +155,7 @@ def _counted(batches):
 
 
 def shares(rows: pa.Table) -> pa.Table:
-    """lang, g, ctx and share of counts (COUNTS) that are all there are; ``taken`` does the same in Spark."""
+    """lang, g, ctx and share of counts (COUNTS) that are all there are; ``all_shares`` does the same in Spark."""
     lang = rows["lang"].combine_chunks().dictionary_encode()
     k = lang.indices.to_numpy().astype(np.int64) if len(rows) else np.zeros(0, np.int64)
     o, n, opens = rows["o"].to_numpy(), rows["n"].to_numpy().astype(np.float64), rows["open"].to_numpy().astype(bool)
