@@ -9,7 +9,7 @@ from corpusloom.functions import text
 from corpusloom.functions.markup import leiden
 from corpusloom.operators import catalogue, derive, markup, mutate, records as xml, rules, search, statistics, timeline
 from corpusloom.plans.texts import _index
-from corpusloom.plans.views import RECORDS, records, table
+from corpusloom.plans.views import RECORDS, records, spread, table
 
 Q: dict[str, str] = {}
 
@@ -47,7 +47,7 @@ def _composed(pieces: list) -> Column:
 
 def record_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every field that is read of records put together from parts, a row each, lists and structures in one text."""
-    files = table(spark, d, "part").select(_composed(_RECORD).alias("xml"))
+    files = spread(spark, d, "part").select(_composed(_RECORD).alias("xml"))
     found = xml.extract(xml.split_records(files))
     some = lambda *c: F.concat_ws("/", *(F.coalesce(x.cast("string"), F.lit("-")) for x in c))
     each = lambda c, f: F.array_join(F.transform(c, f), "; ")

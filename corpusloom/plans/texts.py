@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import markup, records as xml, search, segments
-from corpusloom.plans.views import RECORDS, records, table
+from corpusloom.plans.views import RECORDS, records, spread, table
 from corpusloom.sources import corpus
 from corpusloom.sources.versions import fingerprint, shared_folder
 from corpusloom.streaming import changes
@@ -18,21 +18,21 @@ Q: dict[str, str] = {}
 
 
 def fold_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return spread(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
 Q["fold_text"] = "SELECT doc_id, lower(replace(strip_accents(text), 'ς', 'σ')) AS folded FROM documents"
 
 
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("shown"), text.strip_tags(F.col("html"), " ").alias("indexed"))
+    return spread(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("shown"), text.strip_tags(F.col("html"), " ").alias("indexed"))
 
 
 Q["strip_markup"] = r"""SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS shown, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS indexed FROM pages"""
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("sha256"))
+    return spread(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("sha256"))
 
 
 Q["content_hash"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
@@ -40,7 +40,7 @@ Q["content_hash"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
 def unescape_entities(spark: SparkSession, d: str) -> DataFrame:
     twice = F.replace(F.col("html"), F.lit("&"), F.lit("&amp;"))
-    return table(spark, d, "pages").select("page_id", text.unescape_xml(twice).alias("amp_first"), text.unescape_xml(twice, ampersand_first=False).alias("amp_last"))
+    return spread(spark, d, "pages").select("page_id", text.unescape_xml(twice).alias("amp_first"), text.unescape_xml(twice, ampersand_first=False).alias("amp_last"))
 
 
 _REST = ["'&lt;', '<'", "'&gt;', '>'", "'&quot;', '\"'", "'&apos;', ''''"]
@@ -65,7 +65,7 @@ SELECT doc_id, substring(CASE WHEN key = '' THEN 'entry' ELSE key END, 1, 128) A
 
 
 def highlight(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), "the and tion").alias("shown"))
+    return spread(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), "the and tion").alias("shown"))
 
 
 Q["highlight"] = r"SELECT doc_id, regexp_replace(text, '(?i)(the|tion)', '<mark>\1</mark>', 'g') AS shown FROM documents"
@@ -145,7 +145,7 @@ Q["search_fuzzy"] = _search_sql(["thention", "eauouon"], False, _FUZZY)
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Records with a title, lists and nested fields, as the catalogue's index takes them."""
     figure = F.struct(F.lit("god").alias("type"), F.lower("materiale").alias("key"), F.array(F.struct(F.lit("held").alias("type"), F.lit("patera").alias("key"))).alias("traits"))
-    return records(spark, d).select(
+    return records(spark, d, spread).select(
         "id", "citta", "regione", "tipo", "materiale", F.concat_ws(" ", F.lit("Stele"), "citta").alias("titolo"), F.array("materiale", F.lit("Soter")).alias("epiteti"),
         F.array(F.struct(F.col("tipo").alias("testo"), F.lit("to Building").alias("note"))).alias("traduzioni"), F.concat(F.lit("<b>Seen</b> in "), "regione").alias("note_interne"),
         F.struct(F.lit("votive").alias("function"), F.array(figure).alias("figures"), F.lit(None).cast("string").alias("note")).alias("iconografia"),
@@ -193,7 +193,7 @@ SELECT page_id, len(list_filter(range(1, length(shown) + 1), lambda i: substring
 
 
 def tokenize_markup(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.tokens(table(spark, d, "pages"), "page_id", "html")
+    found = markup.tokens(spread(spark, d, "pages"), "page_id", "html")
     return found.select("page_id", "error", F.size("tokens").cast("long").alias("n_tokens"))
 
 
@@ -223,7 +223,7 @@ EDITIONS = [
 def edition_issues(spark: SparkSession, d: str) -> DataFrame:
     """Parts with one of the editions each."""
     edition = F.element_at(F.array(*map(F.lit, EDITIONS)), (F.col("p_partkey") % len(EDITIONS) + 1).cast("int"))
-    found = markup.tokens(table(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition")
+    found = markup.tokens(spread(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition")
     return markup.edition_issues(found, "p_partkey")
 
 
@@ -234,7 +234,7 @@ Q["edition_issues"] = """SELECT p_partkey, line, rule, severity FROM part JOIN (
 
 
 def nesting_scan(spark: SparkSession, d: str) -> DataFrame:
-    return markup.outside(markup.tags(table(spark, d, "pages"), "page_id", "html"), "page_id", "p", "article")
+    return markup.outside(markup.tags(spread(spark, d, "pages"), "page_id", "html"), "page_id", "p", "article")
 
 
 _TAGS = r"""t AS (SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS tag FROM (SELECT page_id, regexp_extract_all(html, '<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*?)(/?)>', 0) AS x FROM pages)),
@@ -244,7 +244,7 @@ SELECT page_id, count(*) AS n_inner, count(*) FILTER (WHERE depth <= 0) AS n_out
 
 
 def tag_balance(spark: SparkSession, d: str) -> DataFrame:
-    return markup.balance(markup.tags(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return markup.balance(markup.tags(spread(spark, d, "pages"), "page_id", "html"), "page_id")
 
 
 Q["tag_balance"] = f"""WITH {_TAGS} SELECT page_id, name, count(*) FILTER (WHERE step = 1) AS open, count(*) FILTER (WHERE step = -1) AS closed FROM g
@@ -252,7 +252,7 @@ GROUP BY 1, 2 HAVING count(*) FILTER (WHERE step = 1) <> count(*) FILTER (WHERE
 
 
 def markup_rules(spark: SparkSession, d: str) -> DataFrame:
-    return markup.issues(table(spark, d, "pages"), "page_id", "html")
+    return markup.issues(spread(spark, d, "pages"), "page_id", "html")
 
 
 Q["markup_rules"] = r"""WITH r AS (SELECT * FROM (VALUES ('square', '\[[^\]<>]*\]'), ('angle', '⟨[^⟩]*⟩'), ('double', '⟦[^⟧]*⟧'), ('braces', '\{[^}<>]*\}'), ('dots', '\.\.\.|…'), ('hyphen', '-\s*<lb\b')) AS v(rule, pattern))
@@ -298,7 +298,7 @@ Q["sniff_format"] = "SELECT CASE WHEN event_type = 'click' THEN 'json' ELSE 'xml
 
 def record_extract(spark: SparkSession, d: str) -> DataFrame:
     """Records written as XML, two to a file, split and read again; a date with a lower bound only is that year."""
-    rows = records(spark, d).withColumn("titolo", F.concat_ws(" & ", "citta", "tipo")).withColumn("entryId", F.concat(F.lit("e"), F.col("id").cast("string")))
+    rows = records(spark, d, spread).withColumn("titolo", F.concat_ws(" & ", "citta", "tipo")).withColumn("entryId", F.concat(F.lit("e"), F.col("id").cast("string")))
     tei = xml.to_xml(rows)
     files = tei.withColumn("xml", F.concat(F.lit("<teiCorpus>"), "tei", F.lit("\n"), F.replace("tei", F.lit('<idno type="id">'), F.lit('<idno type="id">9')), F.lit("</teiCorpus>"))).select("xml")
     found = xml.extract(xml.split_records(files), keep=("part",))

@@ -25,9 +25,12 @@ def places(spark: SparkSession, d: str) -> DataFrame:
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("citta"), F.col("r_name").alias("regione"))
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as records: place, kind, material, and an interval of signed numbers with missing bounds."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+def records(spark: SparkSession, d: str, read=table) -> DataFrame:
+    """Orders as records: place, kind, material, and an interval of signed numbers with missing bounds.
+
+    ``read`` is ``spread`` where much is done with each record.
+    """
+    o, c = read(spark, d, "orders"), table(spark, d, "customer")
     start = F.datediff(F.to_date("o_orderdate"), F.lit("1998-04-01").cast("date")).cast("long")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(places(spark, d), c.c_nationkey == F.col("n_nationkey"))
     return rows.select(
