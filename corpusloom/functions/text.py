@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKS = "[̀-ͯ]"
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 ROMAN = ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 
 
@@ -26,9 +27,10 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; a final sigma equals any other."""
+    """Lower case without accents; a final sigma equals any other.  Plain ASCII is only lower-cased."""
     source, target = accent_table()
-    return F.lower(F.translate(F.regexp_replace(F.translate(c, source, target), MARKS, ""), "ς", "σ"))
+    bare = F.translate(c, f"{source}ς{_MARKS}", f"{target}σ")  # marks have no counterpart, so they go
+    return F.lower(F.when(F.octet_length(c) == F.char_length(c), c).otherwise(bare))
 
 
 def fold_spaced(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """Full-text search over fields of records: kept postings, expansion, lower-bounded BM25.
 
-Postings are one row per record, field and term.  ``segments`` keeps them, sorted by
-term, beside the vocabulary and the fields' sizes; a query reads the vocabulary,
-and of the postings what its terms need (the scan skips row groups without them).
+Postings are one row per record, field and term.  ``segments`` keeps them in files of
+some records each, sorted by term, beside the vocabulary and the fields' sizes; a query
+reads the vocabulary, and of the postings what its terms need (the scan skips pages
+without them).  Terms are never dealt by: a term that all records hold is in all files.
 A query's words are expanded over the vocabulary (equal, with the word as prefix,
 or within an edit distance that grows with the word), then joined with the postings
 by term, so neither texts nor records meet in pairs.  Scores are BM25+ with field
@@ -23,6 +24,10 @@ K1, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY = 0.375, 0.45, 0.2
 #: Up to so many terms of a query are pushed to the scan of the postings, more are joined.
 PUSHED = 500
+#: Up to so many terms are sent to the postings (some 60 bytes each), with more both sides are dealt by term.
+SENT = 200_000
+#: Up to so many words of a query are counted as bits of a number.
+BITS = 63
 
 #: Field boosts of the catalogue's index: fixed values.
 FIELD_BOOST = {
@@ -55,11 +60,12 @@ def indexed_texts(records: DataFrame, labels: dict[str, str] | None = None, *, i
 
 
 class Index(NamedTuple):
-    """postings (id, field, boost, term, tf, size); terms (term); fields (field, mean, total: of all records that hold a term)."""
+    """postings (id, field, boost, term, tf, size); terms (term); fields (field, mean, total: of all records that hold a term); parts: into how many its hits are dealt, if known."""
 
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    parts: int | None = None
 
 
 def index_of(rows: DataFrame) -> Index:
@@ -69,16 +75,17 @@ def index_of(rows: DataFrame) -> Index:
     return Index(rows, rows.select("term").distinct(), means.join(F.broadcast(total)))  # one row
 
 
-def postings(records: DataFrame, fields: dict[str, float], *, id: str = "id", marked: bool = False) -> DataFrame:  # noqa: A002
+def postings(records: DataFrame, fields: dict[str, float], *, id: str = "id", marked: bool = False, parts: int | None = None) -> DataFrame:  # noqa: A002
     """(id, field, boost, term, tf, size): size is the field's number of terms.
 
-    Records are dealt by id while they are texts, so their terms are counted where they are cut.
+    Records are dealt by id while they are texts, into so many parts, so their terms are counted where they are cut.
     """
-    texts = (F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), (strip_tags(F.col(f), " ") if marked else F.col(f)).alias("text")) for f, b in fields.items())
+    texts = (F.struct(F.lit(f).alias("field"), (strip_tags(F.col(f), " ") if marked else F.col(f)).alias("text")) for f in fields)
+    boost = F.element_at(F.create_map(*(x for f, b in fields.items() for x in (F.lit(f), F.lit(float(b))))), F.col("field"))
     said = F.explode(F.filter(F.array(*texts), lambda x: x["text"] != "")).alias("x")  # what is empty isn't folded
-    rows = records.select(id, *fields).repartition(id).select(F.col(id).alias("id"), said).select("id", "x.field", "x.boost", F.regexp_extract_all(fold(F.col("x.text")), F.lit(TERM), F.lit(0)).alias("terms"))
-    rows = rows.select("id", "field", "boost", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    return rows.groupBy("id", "field", "boost", "size", "term").agg(F.count("*").alias("tf"))
+    rows = records.select(id, *fields).repartition(*(() if parts is None else (parts,)), id).select(F.col(id).alias("id"), said).select("id", "x.field", F.regexp_extract_all(fold(F.col("x.text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    rows = rows.select("id", "field", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    return rows.groupBy("id", "field", "size", "term").agg(F.count("*").alias("tf")).select("id", "field", boost.alias("boost"), "size", "term", "tf")
 
 
 def expanded(vocabulary: DataFrame, words: list[str], *, prefix: bool, fuzzy: float) -> DataFrame:
@@ -107,15 +114,34 @@ def search(index: Index, query: str, *, every: bool = False, prefix: bool = True
     if not words:
         return index.postings.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words")).where(F.lit(False))
     terms = expanded(index.terms, words, prefix=prefix, fuzzy=fuzzy)
-    few = [r.term for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
-    postings = index.postings.where(F.col("term").isin(few)) if len(few) <= PUSHED else index.postings
-    found = postings.join(terms, "term")
-    frequency = found.select("id", "field", "term").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(frequency, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row per field
+    few = terms.limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:
+        terms = terms.sparkSession.createDataFrame([tuple(r) for r in few], "word string, term string, weight double")
+        postings, small = index.postings.where(F.col("term").isin(sorted({r.term for r in few}))), F.broadcast
+    else:
+        small = _sent(terms)
+        postings = index.postings.join(small(terms.select("term").distinct()), "term", "left_semi")
+    terms = small(terms)
+    scored = _weighed(postings, index, small).join(terms, "term")
+    said = F.countDistinct("word")
+    if len(words) <= BITS:
+        said = F.bit_count(F.bit_or(F.element_at(F.create_map(*(x for i, w in enumerate(words) for x in (F.lit(w), F.lit(1 << i).cast("long")))), F.col("word")))).cast("long")
+    out = scored.groupBy("id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"), said.alias("n_words"))
+    return out.where(F.col("n_words") == len(words)) if every else out
+
+
+def _sent(rows: DataFrame):
+    """How few rows are marked, to be sent to the postings, which then stay where they are; many are left as they are."""
+    return F.broadcast if rows.limit(SENT + 1).count() <= SENT else lambda x: x
+
+
+def _weighed(postings: DataFrame, index: Index, small) -> DataFrame:
+    """(id, term, score) of the asked postings, which are all that there are of their terms; ``small`` marks what is sent to them."""
+    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))  # a posting is a record's only one of its field and term
+    scored = postings.join(small(frequency), ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row per field
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    out = scored.groupBy("id").agg(F.sum(F.col("boost") * F.col("weight") * idf * (DELTA + part)).alias("score"), F.countDistinct("word").alias("n_words"))
-    return out.where(F.col("n_words") == len(words)) if every else out
+    return scored.select("id", "term", (F.col("boost") * idf * (DELTA + part)).alias("score"))
 
 
 def search_many(index: Index, queries: DataFrame, query: str, text: str, *, every: bool = False) -> DataFrame:
@@ -124,14 +150,11 @@ def search_many(index: Index, queries: DataFrame, query: str, text: str, *, ever
     Words are looked for as they are, without prefixes or neighbours.  Queries of one name are one query.
     """
     words = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term")).distinct()
-    terms = words.select("term").distinct()
-    postings = index.postings.join(terms, "term", "left_semi")
-    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))  # a posting is a record's only one of its field and term
-    scored = postings.join(frequency, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row per field
-    idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    weighed = scored.groupBy("id", "term").agg(F.sum(F.col("boost") * idf * (DELTA + part)).alias("score"))
-    found = words.join(weighed, "term").groupBy("query", "id").agg(F.sum("score").alias("score"), F.count("*").alias("n_words"))
+    small = _sent(words)
+    postings = index.postings.join(small(words.select("term").distinct()), "term", "left_semi")
+    # Dealt by record, so that neither a common term nor a query that finds much is in one place.
+    weighed = _weighed(postings, index, small).join(small(words), "term").repartition(*(() if index.parts is None else (index.parts,)), "id")
+    found = weighed.groupBy("query", "id", "term").agg(F.sum("score").alias("score")).groupBy("query", "id").agg(F.sum("score").alias("score"), F.count("*").alias("n_words"))
     if not every:
         return found
     asked = words.groupBy("query").agg(F.count("*").alias("__asked"))

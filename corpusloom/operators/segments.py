@@ -15,6 +15,8 @@ Rows of one id are one document; a null id is an id of its own.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from corpusloom.sources.versions import Conflict, Log
 LAYOUT = 1
 EMPTY = {"segments": {}, "dead": [], "fields": {}, "total": 0, "source": None}
 TRIES = 5
+#: Bytes of text that one task cuts into postings, and postings that one task merges: more input gives more tasks, not larger ones.
+PART_BYTES, PART_ROWS = 4 << 20, 1 << 20
 SIZES = "map<string,int>"
 
 
@@ -71,22 +75,30 @@ class SegmentIndex:
         number, state = self.state()
         id_type = rows.schema[id].dataType.simpleString()
         own = F.sha2(F.to_json(F.struct(*(F.col(f).cast("string").alias(f) for f in self.fields))), 256) if digest is None else digest
-        each = rows.select(F.col(id).alias("id"), own.alias("digest")).groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"))
+        size = reduce(add, (F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)).cast("long") for f in self.fields))
+        each = rows.select(F.col(id).alias("id"), own.alias("digest"), size.alias("bytes")).groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"), F.sum("bytes").alias("bytes"))
         name = uuid.uuid4().hex
         here, there = each.alias("n"), self.documents(state, id_type).alias("o")
         met = here.join(there, F.col("n.id").eqNullSafe(F.col("o.id")), "full_outer")
         isnt = F.col("n.digest").isNotNull() & ~F.coalesce(F.col("n.digest") == F.col("o.digest"), F.lit(False))
         lost = F.col("o.digest").isNotNull() & (isnt | (F.col("n.digest").isNull() if whole else F.lit(False)))
-        found = met.where(isnt | lost).select(F.when(isnt, F.struct(F.col("n.id").alias("id"), F.col("n.digest").alias("digest"))).alias("fresh"), F.when(lost, F.struct("o.id", "o.segment", "o.sizes")).alias("old"))
+        fresh, old = F.struct(F.col("n.id").alias("id"), F.col("n.digest").alias("digest"), F.col("n.bytes").alias("bytes")), F.struct("o.id", "o.segment", "o.sizes")
+        if state["segments"]:
+            found = met.where(isnt | lost).select(F.when(isnt, fresh).alias("fresh"), F.when(lost, old).alias("old"))
+        else:
+            found = here.select(fresh.alias("fresh"), F.lit(None).cast(f"struct<id:{id_type},segment:string,sizes:{SIZES}>").alias("old"))
         found.write.parquet(self._path(name, "changes"))
         changes = self.spark.read.parquet(self._path(name, "changes"))
-        counts = changes.agg(F.count("fresh").alias("fresh"), F.count("old").alias("old"), F.count_if(F.col("fresh").isNotNull() & F.col("old").isNotNull()).alias("changed")).first()
+        counts = changes.agg(F.count("fresh").alias("fresh"), F.count("old").alias("old"), F.count_if(F.col("fresh").isNotNull() & F.col("old").isNotNull()).alias("changed"), F.coalesce(F.sum("fresh.bytes"), F.lit(0)).alias("bytes")).first()
         report = {"added": counts.fresh - counts.changed, "changed": counts.changed, "deleted": counts.old - counts.changed}
         new = {"segments": dict(state["segments"]), "dead": list(state["dead"]), "fields": {f: list(v) for f, v in state["fields"].items()}, "total": state["total"], "source": source}
         if counts.fresh:
             ids = changes.where("fresh IS NOT NULL").select(F.col("fresh.id").alias("id"), F.col("fresh.digest").alias("digest"))
-            chosen = rows.withColumnRenamed(id, "id").join(ids.select(F.col("id").alias("__id")), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-            self._segment(name, search.postings(chosen, self.fields), ids)
+            chosen = rows.withColumnRenamed(id, "id")
+            if state["segments"]:  # else every one is new
+                chosen = chosen.join(ids.select(F.col("id").alias("__id")), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+            parts = max(-(-counts.bytes // PART_BYTES), min(self.spark.sparkContext.defaultParallelism, 1 + (counts.bytes >> 20)))
+            self._segment(name, search.postings(chosen, self.fields, parts=parts), ids)
             new["segments"][name] = counts.fresh
             self._add(new, self._read([name], "docs", ""), 1)
         if counts.old:
@@ -99,14 +111,19 @@ class SegmentIndex:
         return report
 
     def _segment(self, name: str, postings: DataFrame, ids: DataFrame) -> None:
-        ordered = postings.withColumn("segment", F.lit(name)).repartitionByRange("term").sortWithinPartitions("term")
+        """Postings are written where they are, dealt by id, a file sorted by term each: dealt by term, what all documents say would go to one task."""
+        ordered = postings.withColumn("segment", F.lit(name)).sortWithinPartitions("term")
         ordered.write.parquet(self._path(name, "postings"))
         self._derived(name, ids)
 
     def _derived(self, name: str, ids: DataFrame) -> None:
         written = self._read([name], "postings", "")
         written.select("term").distinct().write.parquet(self._path(name, "terms"))
-        sizes = written.select(F.col("id").alias("__id"), "field", "size").distinct().groupBy("__id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "size")))).alias("sizes"))  # a few fields
+        said, unlike = lambda f: F.when(F.col("field") == f, F.col("size")), F.raise_error(F.lit("an id has rows of unlike size"))
+        ends = written.groupBy(F.col("id").alias("__id")).agg(*(end(said(f)).alias(f"{end.__name__}_{i}") for i, f in enumerate(sorted(self.fields)) for end in (F.min, F.max)))
+        one = lambda i: F.when(F.col(f"min_{i}") < F.col(f"max_{i}"), unlike.cast("int")).otherwise(F.col(f"min_{i}"))
+        pairs = F.array(*(F.struct(F.lit(f).alias("field"), one(i).alias("size")) for i, f in enumerate(sorted(self.fields))))
+        sizes = ends.select("__id", F.map_from_entries(F.filter(pairs, lambda x: x["size"].isNotNull())).alias("sizes"))
         docs = ids.select("id", "digest").join(sizes, F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "digest", F.coalesce("sizes", F.create_map().cast(SIZES)).alias("sizes"), F.lit(name).alias("segment"))
         docs.write.parquet(self._path(name, "docs"))
 
@@ -129,7 +146,8 @@ class SegmentIndex:
             postings = _without(postings, self._dead(state, postings.schema["id"].dataType.simpleString()))
         sums = [(f, size / n, state["total"]) for f, (n, size) in sorted(state["fields"].items()) if n]
         fields = self.spark.createDataFrame(sums, "field string, mean double, total long")
-        return search.Index(postings.drop("segment"), self._read(names, "terms", "").distinct(), fields)
+        parts = max(self.spark.sparkContext.defaultParallelism, sum(size for _, size in state["fields"].values()) // PART_ROWS)
+        return search.Index(postings.drop("segment"), self._read(names, "terms", "").distinct(), fields, parts)
 
     def compact(self, at_least: int = 4) -> list[str]:
         """Merges the small segments, if there are so many that each is at most twice as large as all smaller ones together; returns their names."""
@@ -147,7 +165,8 @@ class SegmentIndex:
         id_type = self._read(chosen, "docs", "").schema["id"].dataType.simpleString()
         dead = self._dead(state, id_type)
         live = lambda part: _without(self._read(chosen, part, ""), dead)
-        self._segment(name, live("postings").drop("segment"), live("docs"))
+        parts = -(-self._read(chosen, "postings", "").count() // PART_ROWS)
+        self._segment(name, live("postings").drop("segment").repartition(max(parts, 1), "id"), live("docs"))
         rest = dead.where(~F.col("segment").isin(chosen))
         rest.write.parquet(self._path(name, "dead"))
         kept = {n: size for n, size in state["segments"].items() if n not in chosen}

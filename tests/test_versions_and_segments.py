@@ -118,3 +118,33 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(one.log, "commit", late)
     one.update(spark.createDataFrame([(2, "tea", "")], schema), whole=False)
     assert {i for i, _, _ in found(one.open(), "tea")} == {1, 2}
+
+
+def test_common_terms_are_not_in_one_task(spark, tmp_path):
+    """What all documents say lies in all files of the postings, each sorted by term."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("tea for "), F.col("id").cast("string")).alias("title"), F.repeat(F.lit("tea leaf "), 70).alias("body"))
+    index = segments.SegmentIndex(spark, str(tmp_path / "index"), FIELDS)
+    index.update(rows)
+    name = next(iter(index.state()[1]["segments"]))
+    held = index._read([name], "postings", "").withColumn("file", F.col("_metadata.file_name"))
+    per_file = [r.n for r in held.where("term = 'tea'").groupBy("file").agg(F.count("*").alias("n")).collect()]
+    assert sum(per_file) == 8000 and len(per_file) > 2 and max(per_file) < 4000
+    for (file,) in held.select("file").distinct().collect():
+        terms = [r.term for r in spark.read.parquet(index._path(name, "postings", file)).select("term").collect()]
+        assert terms == sorted(terms)
+
+
+def test_many_terms_leave_the_postings_where_they_are(spark, tmp_path, monkeypatch):
+    """A prefix of more terms than are pushed, and many queries at once, send their words to the postings; without that the results are the same."""
+    rows = spark.range(1500).select("id", F.concat(F.lit("tea"), F.col("id").cast("string")).alias("title"), F.lit("tea leaf").alias("body"))
+    index = segments.SegmentIndex(spark, str(tmp_path / "index"), FIELDS)
+    index.update(rows)
+    asked = spark.range(300).select(F.concat(F.lit("#tea"), (F.col("id") * 2).cast("string"), F.lit(" leaf")).alias("q"))
+    hits = lambda: [search.search(index.open(), "tea leaf", fuzzy=0), search.search_many(index.open(), asked, "q", "q")]
+    held = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    sent = hits()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in sent]
+    assert not any("SortMergeJoin" in p for p in plans)
+    got = [held(df) for df in sent]
+    monkeypatch.setattr(search, "SENT", 1)
+    assert [held(df) for df in hits()] == got and len(got[0]) == 1500 and len(got[1]) == 300 * 1500
