@@ -18,20 +18,30 @@ def inner_text(tokens: Column, path: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(below, lambda t: t["value"]), ""), r"\s+", " "))
 
 
+PERSON = "person"
+
+
+def edition_index(editions: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """(key, index, who, value) of an edition's persons, read once: suggestions (see ``index_suggestions``), and first mentions (see ``edition_persons``) below ``PERSON``."""
+    rows = editions.select(key, F.col(tokens).alias("t"), F.posexplode(named(F.col(tokens), "persName")).alias("pos", "p"))
+    own = F.element_at("p.attrs", "key")
+    shown = F.trim(F.when(own.isNull(), inner_text(F.col("t"), F.col("p.path"))).otherwise(own))
+    rows = rows.select(key, "pos", own.alias("own"), F.element_at("p.attrs", "type").alias("kind"), F.element_at("p.attrs", "xml:id").alias("xmlId"), shown.alias("label"))
+    index = F.when(F.col("kind") == "divine", "divinita").when(F.col("kind") == "attested", "onomastica").when(F.col("kind").isin("ruler", "emperor"), "imperatori")
+    said = F.when(index.isNotNull() & (F.col("label") != ""), F.struct(index.alias("index"), F.col("label").alias("who"), F.col("label").alias("value")))
+    person = F.when(F.col("xmlId").isNotNull(), F.struct(F.lit(PERSON).alias("index"), F.col("xmlId").alias("who"), F.col("own").alias("value")))
+    each = rows.select(key, "pos", F.explode(F.array_compact(F.array(said, person))).alias("x"))
+    return each.groupBy(key, F.col("x.index").alias("index"), F.col("x.who").alias("who")).agg(F.min_by("x.value", "pos").alias("value"))
+
+
 def index_suggestions(editions: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """(key, index, value) that an edition's persons suggest: nested ones too, rulers and emperors alike, no aliases."""
-    persons = named(F.col(tokens), "persName")
-    label = F.coalesce(F.element_at("p.attrs", "key"), F.col("shown"))
-    index = F.when(F.col("kind") == "divine", "divinita").when(F.col("kind") == "attested", "onomastica").when(F.col("kind").isin("ruler", "emperor"), "imperatori")
-    rows = editions.select(key, F.col(tokens).alias("t"), F.explode(persons).alias("p"))
-    rows = rows.select(key, "p", F.element_at("p.attrs", "type").alias("kind"), inner_text(F.col("t"), F.col("p.path")).alias("shown"))
-    return rows.select(key, index.alias("index"), F.trim(label).alias("value")).where(F.col("index").isNotNull() & (F.col("value") != "")).distinct()
+    return edition_index(editions, key, tokens).where(F.col("index") != PERSON).select(key, "index", "value")
 
 
 def edition_persons(editions: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """(key, xmlId, personKey): the first mention of each person that has an id."""
-    rows = editions.select(key, F.posexplode(named(F.col(tokens), "persName")).alias("pos", "p")).withColumn("xmlId", F.element_at("p.attrs", "xml:id")).where("xmlId IS NOT NULL")
-    return rows.groupBy(key, "xmlId").agg(F.min_by(F.element_at("p.attrs", "key"), "pos").alias("personKey"))
+    return edition_index(editions, key, tokens).where(F.col("index") == PERSON).select(key, F.col("who").alias("xmlId"), F.col("value").alias("personKey"))
 
 
 def carried_over(derived: DataFrame, previous: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

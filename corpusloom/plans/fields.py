@@ -9,7 +9,7 @@ from corpusloom.functions import text
 from corpusloom.functions.markup import leiden
 from corpusloom.operators import catalogue, derive, markup, mutate, records as xml, rules, search, statistics, timeline
 from corpusloom.plans.texts import _index
-from corpusloom.plans.views import RECORDS, records, spread, table
+from corpusloom.plans.views import RECORDS, dealt, records, table
 
 Q: dict[str, str] = {}
 
@@ -47,7 +47,7 @@ def _composed(pieces: list) -> Column:
 
 def record_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every field that is read of records put together from parts, a row each, lists and structures in one text."""
-    files = spread(spark, d, "part").select(_composed(_RECORD).alias("xml"))
+    files = dealt(spark, d, "part", "p_partkey").select(_composed(_RECORD).alias("xml"))
     found = xml.extract(xml.split_records(files))
     some = lambda *c: F.concat_ws("/", *(F.coalesce(x.cast("string"), F.lit("-")) for x in c))
     each = lambda c, f: F.array_join(F.transform(c, f), "; ")
@@ -140,9 +140,8 @@ def edition_indices(spark: SparkSession, d: str) -> DataFrame:
         '<persName type="divine" key="{w1}"><name>x</name></persName> <persName type="attested">{w2} <name>n</name></persName>', (2, 0, '<persName type="ruler" key="R{s}" xml:id="r"/>', '<persName type="emperor" xml:id="r">E {b}</persName>'),
         (3, 0, '<persName type="emperor" key="late" xml:id="r">y</persName>', ""), (4, 1, '<persName type="divine"><persName type="attested" key="in">z</persName></persName>', ""),
     ])
-    found = markup.tokens(table(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition")
-    persons = derive.edition_persons(found, "p_partkey").select("p_partkey", F.lit("person").alias("index"), F.coalesce("personKey", F.lit("-")).alias("value"))
-    return derive.index_suggestions(found, "p_partkey").unionByName(persons)
+    found = markup.tokens(dealt(spark, d, "part", "p_partkey").withColumn("edition", edition), "p_partkey", "edition")
+    return derive.edition_index(found, "p_partkey").select("p_partkey", "index", F.coalesce("value", F.lit("-")).alias("value"))
 
 
 Q["edition_indices"] = """WITH p AS (SELECT p_partkey, p_partkey AS k, p_size, p_brand, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part)

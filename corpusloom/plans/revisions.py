@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import catalogue, imports, markup, mutate, search, segments, timeline
 from corpusloom.plans.texts import _EQUAL, _FIELDS_SQL, _index, _search_sql
-from corpusloom.plans.views import RECORDS, records, table
+from corpusloom.plans.views import RECORDS, dealt, records, table
 from corpusloom.sources import corpus
 from corpusloom.sources.versions import shared_folder
 
@@ -113,7 +113,7 @@ def epithet_nearby(spark: SparkSession, d: str) -> DataFrame:
         pick(4, 1, '<rs type="epithet">inner</rs>'), F.lit("</persName>"), F.repeat(F.concat(F.lit(" "), F.col("p_name")), (k % 17).cast("int")), pick(6, 0, '<lb n="2"/>cut-\n<lb n="3"/>x'),
         F.lit("<rs"), pick(7, 4, ' nymRef="y"'), F.lit(' type="epithet"'), pick(9, 5, ' key="z"'), F.lit(">"), word(2), F.lit("</rs>"), pick(3, 1, '<persName type="divine">b</persName>'), F.lit("</ab>"),
     )
-    return markup.epithet_issues(table(spark, d, "part").select("p_partkey", edition.alias("edition")), "p_partkey", "edition")
+    return markup.epithet_issues(dealt(spark, d, "part", "p_partkey").select("p_partkey", edition.alias("edition")), "p_partkey", "edition")
 
 
 def _pick(m: int, r: int, text: str) -> str:
@@ -155,7 +155,7 @@ def edition_faults(spark: SparkSession, d: str) -> DataFrame:
         )
 
     edition = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 4), line), "")
-    return markup.edition_issues(markup.tokens(table(spark, d, "part").withColumn("edition", edition), "p_partkey", "edition"), "p_partkey")
+    return markup.edition_issues(markup.tokens(dealt(spark, d, "part", "p_partkey").withColumn("edition", edition), "p_partkey", "edition"), "p_partkey")
 
 
 Q["edition_faults"] = r"""WITH l AS (SELECT p_partkey, unnest(range(p_partkey % 4 + 1)) AS i FROM part), h AS (SELECT p_partkey, i, p_partkey * 7 + i * 3 AS h, CAST(i + 1 AS INTEGER) AS line FROM l),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Places and parts are dimensions; beyond this many rows they are shuffled (some 60 bytes each).
 BROADCAST_ROWS = 500_000
+#: Rows with which much is done that one task gets, so that more rows give more tasks, not larger ones.
+DEALT_ROWS = 1 << 14
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +21,15 @@ def spread(spark: SparkSession, d: str, name: str) -> DataFrame:
     return rows.repartition(threads) if 2 * rows.rdd.getNumPartitions() <= threads else rows
 
 
+def dealt(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A table dealt by its key into parts by its number of rows, however few its files and row groups are.
+
+    What is then cut, windowed or grouped by the key stays where it is.
+    """
+    rows = table(spark, d, name)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // DEALT_ROWS)), key)
+
+
 def places(spark: SparkSession, d: str) -> DataFrame:
     """(n_nationkey, citta, regione); a row per nation."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")

@@ -5,9 +5,12 @@ import tracemalloc
 from functools import lru_cache
 from itertools import product
 
+import pytest
+
+from compare import DATA
 from corpusloom.functions import diff
 from corpusloom.operators import catalogue, markup, search, timeline
-from corpusloom.plans import texts
+from corpusloom.plans import fields, revisions, texts, views
 from corpusloom.plans.views import table
 
 
@@ -153,3 +156,22 @@ def test_kept_index_follows_files(spark, tmp_path):
     assert {r.doc_id for r in texts.search_or(spark, str(tmp_path)).collect()} == {1, 2}
     want = search.search(search.index_of(search.postings(table(spark, str(tmp_path), "documents"), texts.FIELDS, id="doc_id")), "Thé réau ciónes", prefix=False, fuzzy=0)
     assert {(r.id, round(r.score, 4), r.n_words) for r in want.collect()} == {(r.doc_id, r.score, r.n_words) for r in texts.search_or(spark, str(tmp_path)).collect()}
+
+
+@pytest.mark.parametrize("query", [revisions.epithet_nearby, revisions.edition_faults, fields.edition_indices, fields.record_fields])
+def test_much_work_is_dealt_by_rows(spark, monkeypatch, query):
+    """A table in one file is dealt by its key into parts by its rows before much is done with each row."""
+    monkeypatch.setattr(views, "DEALT_ROWS", 20)
+    plan = query(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(p_partkey#\d+L?, 10\), REPARTITION_BY_NUM", plan)
+
+
+def test_pieces_of_editions_are_not_moved(spark):
+    """Windows over the pieces of an edition are where the edition was dealt to."""
+    plan = revisions.epithet_nearby(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\([^\n]*", plan) and all("REPARTITION_BY_NUM" in x for x in re.findall(r"Exchange hashpartitioning\([^\n]*", plan))
+
+
+def test_edition_index_is_read_once(spark):
+    plan = fields.edition_indices(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
