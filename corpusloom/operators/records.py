@@ -44,8 +44,8 @@ def attr(c: Column, name: str) -> Column:
 
 
 def filled(*columns: Column) -> Column:
-    """The first that isn't empty, or null."""
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
+    """The first that isn't empty, or null; each is read once, also where the engine shares nothing (in lists)."""
+    return F.get(F.filter(F.array(*columns), lambda c: c != ""), F.lit(0))
 
 
 def spaced(c: Column) -> Column:

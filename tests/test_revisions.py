@@ -6,10 +6,11 @@ from functools import lru_cache
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import DATA
 from corpusloom.functions import diff
-from corpusloom.operators import catalogue, markup, search, timeline
+from corpusloom.operators import catalogue, markup, records, search, timeline
 from corpusloom.plans import fields, revisions, texts, views
 from corpusloom.plans.views import table
 
@@ -175,3 +176,11 @@ def test_pieces_of_editions_are_not_moved(spark):
 def test_edition_index_is_read_once(spark):
     plan = fields.edition_indices(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_fields_in_lists_are_read_once(spark):
+    """Whether a field is empty is asked of what was read, not by reading again."""
+    rows = spark.createDataFrame([(['k="a"', 'k=""', "x"],)], "x array<string>")
+    one = rows.select(F.transform("x", lambda x: records.filled(F.regexp_extract(x, 'k="([^"]*)"', 1), F.nullif(x, F.lit("x")))).alias("y"))
+    assert one.first().y == ["a", 'k=""', None]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
